@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from arborlift.config import (
     FIRST_COVER_YEAR, LAST_COVER_YEAR, OPEN_END_YEAR, PRE_INTERVENTION_YEARS,
     REQUIRED_SITE_COLUMNS, MatchConfig, require_columns,
 )
 from arborlift.functions import grid
+from arborlift.functions.stats import value_bucket, with_rank
 from arborlift.operators import polygons
 
 CLIP_BUFFER_DEG = 0.1
@@ -24,11 +25,14 @@ def with_site_years(sites: DataFrame) -> DataFrame:
 
 
 def with_site_ids(sites: DataFrame, position: str) -> DataFrame:
-    """1-based ids in input order, given before any filter.
-
-    The site list is one file's features, so one ordered window holds it.
-    """
-    return sites.withColumn("id_numeric", F.row_number().over(Window.orderBy(position)))
+    """1-based ids in input order, given before any filter."""
+    ranked = with_rank(
+        sites.withColumn("_all", F.lit(1)), ["_all"], [position],
+        value_bucket(F.col(position).cast("double")), "_rank",
+    )
+    return ranked.withColumn("id_numeric", (F.col("_rank") + 1).cast("int")).drop(
+        "_all", "_rank", "_rank_count"
+    )
 
 
 def reject_duplicate_ids(sites: DataFrame) -> DataFrame:
@@ -104,10 +108,14 @@ def treatment_key(sites: DataFrame) -> DataFrame:
     )
 
 
-def extent_cells(extent: DataFrame) -> DataFrame:
-    """Cells of the matching extent polygons, every touched cell included."""
-    touched = polygons.touched_cells(extent.withColumn("_k", F.lit(1)), "_k")
-    return touched.select(grid.cell_at(F.col("row"), F.col("col")).alias("cell"))
+def extent_cells(extent: DataFrame, key: str) -> DataFrame:
+    """Cells of the matching extent polygons, every touched cell included.
+
+    Polygons are filled one by one (``key`` tells them apart), as overlapping
+    ones would cancel out under the even-odd rule.
+    """
+    touched = polygons.touched_cells(extent, key)
+    return touched.select(grid.cell_at(F.col("row"), F.col("col")).alias("cell")).distinct()
 
 
 def candidate_cells(in_extent: DataFrame, key: DataFrame) -> DataFrame:

@@ -208,6 +208,10 @@ def histogram_equal_width(matches: DataFrame, covariates) -> DataFrame:
     )
 
 
+def _whole_run(values: DataFrame) -> DataFrame:
+    return values.withColumn("site_id", F.lit(ALL_SCOPE))
+
+
 def qq_pairs(scores: DataFrame, adaptive: bool = False) -> DataFrame:
     """Paired quantiles of the treated and control scores of every scope.
 

@@ -133,7 +133,7 @@ def fit_logit(rows: DataFrame, names: list[str]) -> DataFrame:
     return betas.select(*STRATUM, "beta")
 
 
-def _spreads(scored: DataFrame, how: str) -> DataFrame:
+def pooled_spreads(scored: DataFrame, how: str) -> DataFrame:
     """Pooled spread of the score per stratum, falling back to sd, then 1."""
     arm = [*STRATUM, "treatment"]
     per_arm = scored.groupBy(*arm).agg(
@@ -163,7 +163,7 @@ def _logit_coordinates(rows: DataFrame, names: list[str], cfg: MatchConfig) -> D
     scored = stage(rows.join(betas, STRATUM).select(
         *STRATUM, "cell", "treatment", _predictor(names).alias("lp")
     ), "large-scores")
-    return scored.join(_spreads(scored, cfg.distance_scale), STRATUM).select(
+    return scored.join(pooled_spreads(scored, cfg.distance_scale), STRATUM).select(
         *STRATUM, "cell", "treatment",
         F.array(F.col("lp") / F.col("scale")).alias("coords"),
         (1 / (1 + F.exp(-F.col("lp")))).alias("pscore"),

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from arborlift.config import PRE_INTERVENTION_YEARS, REQUIRED_MATCH_COLUMNS, require_columns
+from arborlift.config import (
+    OPEN_END_YEAR, PRE_INTERVENTION_YEARS, REQUIRED_MATCH_COLUMNS, require_columns,
+)
 
 # Biomass to carbon, and carbon to CO2 equivalent (as a loss).
 CARBON_SHARE = 0.5
@@ -204,3 +206,23 @@ def run_totals(totals: DataFrame, yearly: DataFrame, failed: DataFrame) -> DataF
         .join(lost.withColumn("_k", one), "_k")
         .drop("_k")
     )
+
+
+def site_drilldown(yearly: DataFrame, sites: DataFrame) -> DataFrame:
+    """Per site: pre-intervention span, first year after the end, any emissions."""
+    ends = sites.select(
+        "site_id",
+        F.when(F.col("end_year") < OPEN_END_YEAR, F.col("end_year") + 1).alias("_post"),
+    )
+    pre = F.when(F.col("is_pre_intervention"), F.col("year"))
+    emitted = (F.sum("treatment_emissions_mgco2e") > 0) | (F.sum("control_emissions_mgco2e") > 0)
+    spans = yearly.groupBy("site_id").agg(
+        F.min(pre).alias("pre_from"), F.max(pre).alias("pre_to"),
+        F.count("*").alias("n_years"), emitted.alias("has_emissions"),
+    )
+    return spans.join(ends, "site_id").withColumnRenamed("_post", "post_from")
+
+
+def one_site(yearly: DataFrame, site_id: str) -> DataFrame:
+    """Yearly rows of one site in order; the id is pushed to the scan."""
+    return yearly.filter(F.col("site_id") == site_id).orderBy("year")

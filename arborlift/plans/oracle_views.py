@@ -16,13 +16,13 @@ _COVER = ",\n       ".join(
 )
 PIX = f"""pix0 AS (
 SELECT b.cell, CASE WHEN flag='R' THEN CAST(supp+1 AS INT) END AS id_numeric,
-       CAST(supp+1 AS INT) AS near_site, (b.cell%16+600)/7e0 AS area_ha,
+       CAST(supp+1 AS INT) AS near_site, (b.cell%16+600)/7.1e0 AS area_ha,
        n_regionkey AS admin1,
        CASE WHEN p_size=50 THEN NULL WHEN p_size<17 THEN 0 WHEN p_size<34 THEN 1 ELSE 2 END
          AS ecoregion, pa,
        p_retailprice*2/7e0 AS precip, p_size*50/7e0 AS elev,
        CASE WHEN qty<>50 THEN qty/7e0 END AS pop_2015, tax*100/7e0 AS dist_cities,
-       50e0+p_size*3 AS total_biomass,
+       (p_size*3+50)/7.1e0 AS total_biomass,
        CAST(CASE WHEN p_size=1 THEN 0 ELSE 40+b.cell%61 END AS DOUBLE) AS fc0,
        (b.cell%7)*0.5e0*(CASE WHEN flag='R' THEN 0.5e0 ELSE 1e0 END) AS loss
 FROM (SELECT l_orderkey*8+l_linenumber AS cell, max(l_suppkey) supp, max(l_partkey) part,
@@ -48,7 +48,7 @@ SELECT cell, near_site AS id_numeric,
        p.area_ha, precip, elev, pop_2015, dist_cities, total_biomass,
        CASE WHEN s.area_ha>600 THEN 0.5e0 ELSE 1e0 END AS sampled_fraction,
        CASE WHEN NOT (pa=1 AND ecoregion=2)
-            THEN (elev+coalesce(pop_2015,25e0))/400e0 END AS pscore,
+            THEN (elev+coalesce(pop_2015,25e0))/401.3e0 END AS pscore,
        COLUMNS('^fc_.*')
 FROM pix p JOIN sites s ON s.id_numeric=near_site WHERE ecoregion IS NOT NULL),
 m AS (SELECT *, CASE WHEN treatment THEN 1e0 ELSE nt/CAST(nc AS DOUBLE) END AS match_weight
@@ -119,6 +119,29 @@ FROM (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineit
 GRID = """grid AS (SELECT CAST(floor(cell/100) AS BIGINT) AS row, cell%100 AS col, elev AS value, pa AS code
 FROM pix)"""
 
+POLYGONS = """poly AS (
+SELECT CAST(s_suppkey+1 AS INT) AS id_numeric, s_nationkey AS zone,
+  'S'||lpad(CAST(s_suppkey AS VARCHAR),12,'0') AS site_id,
+  10.00123e0+s_nationkey*0.11e0 AS lon, 5.00217e0+s_acctbal/20000e0 AS lat,
+  0.0311e0+(s_suppkey%7)*0.0101e0 AS r FROM supplier),
+edge AS (SELECT id_numeric, zone, ring, lon+r*a AS x0, lat+r*b AS y0, lon+r*c AS x1, lat+r*d AS y1
+FROM poly CROSS JOIN (VALUES (0,-1.0e0,0.1e0,-0.5e0,-0.9e0), (0,-0.5e0,-0.9e0,0.6e0,-0.8e0), (0,0.6e0,-0.8e0,1.0e0,0.2e0),
+  (0,1.0e0,0.2e0,0.4e0,0.9e0), (0,0.4e0,0.9e0,-0.6e0,0.7e0), (0,-0.6e0,0.7e0,-1.0e0,0.1e0),
+  (1,-0.3e0,0.05e0,0.02e0,-0.35e0), (1,0.02e0,-0.35e0,0.33e0,0.03e0), (1,0.33e0,0.03e0,0.04e0,0.31e0),
+  (1,0.04e0,0.31e0,-0.3e0,0.05e0)) v(ring,a,b,c,d)),
+cand AS (SELECT id_numeric, zone, "row", col, 90e0-("row"+0.5e0)/120 AS cy, (col+0.5e0)/120-180e0 AS cx
+FROM (SELECT *, unnest(range(CAST(floor((90-lat-r)*120) AS BIGINT), CAST(floor((90-lat+r)*120)+1 AS BIGINT))) AS "row" FROM poly),
+  LATERAL (SELECT unnest(range(CAST(floor((lon-r+180)*120) AS BIGINT), CAST(floor((lon+r+180)*120)+1 AS BIGINT))) AS col)),
+inside AS (SELECT c.id_numeric, c.zone, "row", col FROM cand c JOIN edge e ON c.id_numeric=e.id_numeric
+  AND least(y0,y1)<=cy AND cy<greatest(y0,y1) AND x0+(cy-y0)/(y1-y0)*(x1-x0)<=cx
+  GROUP BY ALL HAVING count(*)%2=1),
+touch AS (SELECT DISTINCT c.id_numeric, "row", col FROM cand c JOIN edge e ON c.id_numeric=e.id_numeric
+  AND greatest(0, least((cx-1/240e0-x0)/(x1-x0),(cx+1/240e0-x0)/(x1-x0)),
+                  least((cy-1/240e0-y0)/(y1-y0),(cy+1/240e0-y0)/(y1-y0)))
+   <= least(1, greatest((cx-1/240e0-x0)/(x1-x0),(cx+1/240e0-x0)/(x1-x0)),
+               greatest((cy-1/240e0-y0)/(y1-y0),(cy+1/240e0-y0)/(y1-y0)))),
+covered AS (SELECT id_numeric, "row", col FROM inside UNION SELECT id_numeric, "row", col FROM touch)"""
+
 
 def cte(*parts: str) -> str:
     """WITH clause over the given views, each stated once."""

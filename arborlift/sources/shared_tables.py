@@ -64,7 +64,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cell",
         F.when(treated, F.col("supp") + 1).cast("int").alias("id_numeric"),
         (F.col("supp") + 1).cast("int").alias("near_site"),
-        ((F.col("cell") % 16 + 600) / 7.0).alias("area_ha"),
+        ((F.col("cell") % 16 + 600) / 7.1).alias("area_ha"),
         "admin1",
         F.when(size == 50, None).when(size < 17, 0).when(size < 34, 1).otherwise(2).cast("int")
         .alias("ecoregion"),
@@ -73,7 +73,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         (size * 50 / 7.0).alias("elev"),
         F.when(F.col("qty") != 50, F.col("qty") / 7.0).alias("pop_2015"),
         (F.col("tax") * 100 / 7.0).alias("dist_cities"),
-        (F.lit(50.0) + size * 3).alias("total_biomass"),
+        ((size * 3 + 50) / 7.1).alias("total_biomass"),
         F.when(size == 1, 0).otherwise(40 + F.col("cell") % 61).cast("double").alias("_fc0"),
         ((F.col("cell") % 7) * 0.5 * F.when(treated, 0.5).otherwise(1.0)).alias("_loss"),
     )
@@ -117,7 +117,7 @@ def unweighted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("site_area") > 600, 0.5).otherwise(1.0).alias("sampled_fraction"),
         F.when(
             ~((F.col("pa") == 1) & (F.col("ecoregion") == 2)),
-            (F.col("elev") + F.coalesce("pop_2015", F.lit(25.0))) / 400,
+            (F.col("elev") + F.coalesce("pop_2015", F.lit(25.0))) / 401.3,
         ).alias("pscore"),
         *[f"fc_{y}" for y in YEARS],
     )
@@ -190,3 +190,28 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("html").cast("bigint").alias("size_bytes"),
         F.col("page_id").cast("string").alias("updated"),
     )
+
+
+# Corners of the derived polygons, in units of their radius.
+OUTER = ((-1.0, 0.1), (-0.5, -0.9), (0.6, -0.8), (1.0, 0.2), (0.4, 0.9), (-0.6, 0.7))
+HOLE = ((-0.3, 0.05), (0.02, -0.35), (0.33, 0.03), (0.04, 0.31))
+
+
+def site_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hexagon with a hole for every supplier; neighbours overlap."""
+    lon = F.lit(10.00123) + F.col("s_nationkey") * 0.11
+    lat = F.lit(5.00217) + F.col("s_acctbal") / 20000
+    radius = F.lit(0.0311) + (F.col("s_suppkey") % 7) * 0.0101
+
+    def ring(corners):
+        return F.array(*[
+            F.struct((lon + radius * dx).alias("x"), (lat + radius * dy).alias("y"))
+            for dx, dy in corners
+        ])
+
+    return table(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") + 1).cast("int").alias("id_numeric"),
+        _site_id(F.col("s_suppkey")).alias("site_id"),
+        F.col("s_nationkey").alias("zone"),
+        F.array(F.array(ring(OUTER), ring(HOLE))).alias("geometry"),
+    )
