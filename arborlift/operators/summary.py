@@ -89,6 +89,7 @@ def pixel_panel(matches: DataFrame, sites: DataFrame, scale_by_area: bool = Fals
             F.lit(year).alias("year"),
             now.alias("forest_at_year_end"),
             (now - before).alias("forest_change_ha"),
+            fraction.alias("forest_frac_remaining"),
             (change * CO2E_PER_CARBON).alias("emissions_mgco2e"),
         ))
     long = df.select(*keep, "_keep", F.inline(F.array(*entries)))

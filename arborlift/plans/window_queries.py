@@ -20,9 +20,11 @@ def _(spark, d):
 
 
 @query("win_baseline_fraction", cte(*PANELED) + """
-SELECT site_id, cell, year, round(forest_at_year_end,6) AS forest_at_year_end FROM pan""")
+SELECT site_id, cell, year, round(forest_at_year_end,6) AS forest_at_year_end,
+ round(frac,6) AS forest_frac_remaining FROM pan""")
 def _(spark, d):
-    return rounded(panel(spark, d).select("site_id", "cell", "year", "forest_at_year_end"))
+    return rounded(panel(spark, d).select(
+        "site_id", "cell", "year", "forest_at_year_end", "forest_frac_remaining"))
 
 
 @query("win_emissions", cte(*PANELED) + """

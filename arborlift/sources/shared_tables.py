@@ -183,7 +183,11 @@ def layer_name(user_id: Column) -> Column:
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Object listing: one page is one tile object of the layer in its path."""
-    return table(spark, sf_dir, "pages").select(
+    return manifest_rows(table(spark, sf_dir, "pages"))
+
+
+def manifest_rows(pages: DataFrame) -> DataFrame:
+    return pages.select(
         F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit(".tif")).alias("name"),
         F.regexp_extract("url", "://([^/.]+)[.]", 1).alias("covariate_name"),
         F.md5("html").alias("etag"),

@@ -50,26 +50,33 @@ def as_polygons(kind, coordinates, parts):
     ))).cast(GEOMETRY)
 
 
-def _collection_schema(properties: str) -> str:
+def _feature_schema(properties: dict[str, str]) -> str:
+    fields = ",".join(f"{n}:{t}" for n, t in properties.items())
     geometry = (
         "struct<type:string,coordinates:string,"
         "geometries:array<struct<type:string,coordinates:string>>>"
     )
-    return (
-        "type string, features array<struct<type:string,"
-        f"properties:struct<{properties}>,geometry:{geometry}>>>"
-    )
+    return f"struct<type:string,id:bigint,properties:struct<{fields}>,geometry:{geometry}>"
 
 
-def read_features(spark: SparkSession, path: str, properties: dict[str, str]) -> DataFrame:
+def read_features(spark: SparkSession, path: str, properties: dict[str, str],
+                  lines: bool = False) -> DataFrame:
     """Features of GeoJSON files: position, properties, geometry.
 
-    ``properties`` maps names to types; absent ones read as NULL. One file is
-    one JSON document, so files are the unit of parallel reading.
+    ``properties`` maps names to types; absent ones read as NULL. A feature
+    collection is one JSON document, so its file is read by one task; with
+    ``lines`` every line is a feature (with its position as ``id``) and files
+    are split freely.
     """
-    fields = ",".join(f"{n}:{t}" for n, t in properties.items())
-    doc = spark.read.schema(_collection_schema(fields)).json(path, multiLine=True)
-    rows = doc.select(F.posexplode("features").alias("position", "f"))
+    feature = _feature_schema(properties)
+    if lines:
+        text = spark.read.text(path)
+        rows = text.select(F.from_json("value", feature).alias("f"))
+        rows = rows.select(F.col("f.id").alias("position"), "f")
+    else:
+        schema = f"type string, features array<{feature}>"
+        doc = spark.read.schema(schema).json(path, multiLine=True)
+        rows = doc.select(F.posexplode("features").alias("position", "f"))
     g = F.col("f.geometry")
     return rows.select(
         "position", *[F.col(f"f.properties.{n}").alias(n) for n in properties],
@@ -83,9 +90,10 @@ SITE_PROPERTIES = {
 }
 
 
-def read_sites(spark: SparkSession, path: str, min_area_ha: float) -> DataFrame:
+def read_sites(spark: SparkSession, path: str, min_area_ha: float,
+               lines: bool = False) -> DataFrame:
     """Sites from GeoJSON, validated, with ids, years and areas."""
-    raw = read_features(spark, path, SITE_PROPERTIES)
+    raw = read_features(spark, path, SITE_PROPERTIES, lines)
     wrong = bad_geometry_types(raw).select("position", "geometry_type").collect()
     if wrong:
         listed = ", ".join(f"{r.position}: {r.geometry_type}" for r in wrong)
