@@ -162,3 +162,30 @@ def greedy_pairs(treated, treated_cells, controls, control_cells, k, caliper, ho
         if len(chosen[i]) < k and not push(i, at + 1):
             return None
     return {i: got for i, got in enumerate(chosen) if len(got) == k}
+
+
+def nearest_each(points: np.ndarray, targets: np.ndarray, cells: np.ndarray):
+    """(distance, position) of every point's nearest target; small cells win ties."""
+    order = np.lexsort((cells, targets[:, 0]))
+    targets, cells_sorted = targets[order], cells[order]
+    if targets.shape[1] == 1:
+        axis, first = np.unique(targets[:, 0], return_index=True)
+        right = np.clip(np.searchsorted(axis, points[:, 0]), 0, len(axis) - 1)
+        left = np.clip(right - 1, 0, None)
+        gap_l, gap_r = np.abs(points[:, 0] - axis[left]), np.abs(points[:, 0] - axis[right])
+        tie = gap_l == gap_r
+        smaller = cells_sorted[first[left]] < cells_sorted[first[right]]
+        take_left = (gap_l < gap_r) | (tie & smaller)
+        spot = np.where(take_left, first[left], first[right])
+        return np.where(take_left, gap_l, gap_r), order[spot]
+    by_cell = np.argsort(cells, kind="stable")
+    ranked = targets[np.argsort(order)][by_cell]
+    distance, position = np.empty(len(points)), np.empty(len(points), dtype=int)
+    step = max(1, 2_000_000 // max(ranked.size, 1))
+    for at in range(0, len(points), step):
+        block = points[at:at + step]
+        gaps = np.sqrt(((block[:, None, :] - ranked[None, :, :]) ** 2).sum(axis=2))
+        best = gaps.argmin(axis=1)
+        position[at:at + step] = by_cell[best]
+        distance[at:at + step] = gaps[np.arange(len(block)), best]
+    return distance, position

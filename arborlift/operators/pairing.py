@@ -21,14 +21,14 @@ def set_counts(matches: DataFrame) -> DataFrame:
     )
 
 
-def keep_two_armed_sets(matches: DataFrame) -> DataFrame:
-    both = set_counts(matches).filter("n_treated > 0 AND n_controls > 0")
-    return matches.join(both.select(*SET_KEY), list(SET_KEY), "left_semi")
-
-
 def with_match_weights(matches: DataFrame) -> DataFrame:
-    """Treated rows weigh 1; the controls of a set together weigh its treated."""
-    weighted = matches.join(set_counts(matches), list(SET_KEY))
+    """Treated rows weigh 1; the controls of a set together weigh its treated.
+
+    Rows of sets lacking an arm are dropped. Counts are combined map-side and
+    joined back, so a set of any size stays spread over the tasks.
+    """
+    both = set_counts(matches).filter("n_treated > 0 AND n_controls > 0")
+    weighted = matches.join(both, list(SET_KEY))
     return weighted.withColumn(
         "match_weight",
         F.when(F.col("treatment"), 1.0).otherwise(F.col("n_treated") / F.col("n_controls")),
@@ -205,23 +205,27 @@ def assign_full(placed: DataFrame, cfg: MatchConfig) -> DataFrame:
             return pd.DataFrame([], columns=names)
         coords = np.vstack(pdf["coords"].to_numpy())
         cells = pdf["cell"].to_numpy()
-        score = pdf["pscore"].to_numpy()
-        head = (pdf["id_numeric"].iloc[0], pdf["group"].iloc[0])
-        owners = solve.NearestControls(coords[treated], cells[treated])
-        rows, owner_of, at = [], {}, np.flatnonzero(~treated)
-        for i in at:
-            distance, position = owners.nearest(coords[i], 1, caliper)
-            if len(position):
-                owner_of[cells[i]] = owners.cells[position[0]]
-                rows.append((*head, cells[i], False, owner_of[cells[i]], None, distance[0],
-                             score[i]))
-        pool = solve.NearestControls(coords[~treated], cells[~treated])
-        for i in np.flatnonzero(treated):
-            distance, position = pool.nearest(coords[i], 1, caliper)
-            if len(position):
-                near = pool.cells[position[0]]
-                rows.append((*head, cells[i], True, owner_of[near], near, distance[0], score[i]))
-        return pd.DataFrame(rows, columns=names)
+        score = pdf["pscore"].to_numpy(dtype=float)
+        t_at, c_at = np.flatnonzero(treated), np.flatnonzero(~treated)
+        gap, spot = solve.nearest_each(coords[c_at], coords[t_at], cells[t_at])
+        owner = cells[t_at][spot]
+        within = gap <= caliper if caliper > 0 else np.ones(len(gap), dtype=bool)
+        near_gap, near_spot = solve.nearest_each(coords[t_at], coords[c_at], cells[c_at])
+        near_within = near_gap <= caliper if caliper > 0 else np.ones(len(near_gap), dtype=bool)
+
+        def part(at, is_treated, owners, near, gaps):
+            return pd.DataFrame({
+                "id_numeric": pdf["id_numeric"].iloc[0], "group": pdf["group"].iloc[0],
+                "cell": cells[at], "treatment": is_treated, "owner": owners, "near": near,
+                "distance": gaps, "pscore": score[at],
+            }, columns=names)
+
+        # the nearest control of a treated row is within the caliper of its own owner too
+        return pd.concat([
+            part(c_at[within], False, owner[within], 0, gap[within]),
+            part(t_at[near_within], True, owner[near_spot][near_within],
+                 cells[c_at][near_spot][near_within], near_gap[near_within]),
+        ])
 
     salted = _salted(placed, _sizes(placed, cfg))
     links = stage(

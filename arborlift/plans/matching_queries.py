@@ -134,7 +134,7 @@ def _(spark, d):
 @query("match_weights", cte(*MATCHED) + """
 SELECT site_id, cell, match_group, round(match_weight,9) AS match_weight FROM m""")
 def _(spark, d):
-    m = pairing.with_match_weights(pairing.keep_two_armed_sets(T.unweighted_matches(spark, d)))
+    m = pairing.with_match_weights(T.unweighted_matches(spark, d))
     return m.select("site_id", "cell", "match_group", F.round("match_weight", 9).alias("match_weight"))
 
 

@@ -140,15 +140,15 @@ def _(spark, d):
 
 
 @query("src_vector_reference", cte(SITES, POLYGONS) + """
-SELECT site_id, xmin, ymin FROM (SELECT id_numeric, round(min(least(x0,x1)),6) AS xmin,
- round(min(least(y0,y1)),6) AS ymin FROM edge GROUP BY 1) JOIN poly USING (id_numeric)""")
+SELECT site_id, xmin, ymin FROM (SELECT id_numeric, round(min(least(x0,x1)),5) AS xmin,
+ round(min(least(y0,y1)),5) AS ymin FROM edge GROUP BY 1) JOIN poly USING (id_numeric)""")
 def _(spark, d):
     path = tables.work_path(spark, "reference-geojson")
     tables.feature_lines(dated_sites(spark, d), "id_numeric").write.text(path)
     fields = {"site_id": "string", "area_ha": "double"}
     features = vectors.read_features(spark, path, fields, lines=True)
     out = vectors.import_reference(features, {"SITE_ID": "site_id"})
-    return rounded(out.select("site_id", "xmin", "ymin"))
+    return rounded(out.select("site_id", "xmin", "ymin"), 5)
 
 
 @query("sink_parquet", cte(PIX) + "SELECT cell, precip, admin1 FROM pix")

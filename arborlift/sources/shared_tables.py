@@ -44,21 +44,22 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max("l_partkey").alias("part"),
             F.max("l_quantity").alias("qty"),
             F.max("l_tax").alias("tax"),
-            F.max("l_returnflag").alias("flag"),
+            F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("returned"),
             F.max(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("pa"),
         )
         .withColumn("cell", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     )
-    place = (
-        table(spark, sf_dir, "supplier")
-        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.col("n_regionkey").alias("admin1"))
-    )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    base = line.join(place, F.col("supp") == F.col("s_suppkey")).join(
-        part, F.col("part") == F.col("p_partkey")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("admin1"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    # one small table after the other: joined with each other first, they would
+    # look larger than the pixels and the pixels would be broadcast
+    base = (
+        line.join(supplier, F.col("supp") == F.col("s_suppkey"))
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(part, F.col("part") == F.col("p_partkey"))
     )
-    treated = F.col("flag") == "R"
+    treated = F.col("returned") == 1
     size = F.col("p_size")
     out = base.select(
         "cell",
@@ -124,9 +125,9 @@ def unweighted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from arborlift.operators.pairing import keep_two_armed_sets, with_match_weights
+    from arborlift.operators.pairing import with_match_weights
 
-    return with_match_weights(keep_two_armed_sets(unweighted_matches(spark, sf_dir)))
+    return with_match_weights(unweighted_matches(spark, sf_dir))
 
 
 def layer_values(spark: SparkSession, sf_dir: str) -> DataFrame:

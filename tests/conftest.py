@@ -22,6 +22,7 @@ def make_session():
             "spark.master": "local[8]",
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "12g",
             "spark.local.dir": tempfile.mkdtemp(prefix="run-", dir="/tmp"),
         },
