@@ -257,14 +257,22 @@ def pending_sites(sites: DataFrame, done: DataFrame | None) -> DataFrame:
     return sites.join(done.select("id_numeric").distinct(), "id_numeric", "left_anti")
 
 
-def match_sites(pixels: DataFrame, treatment_key: DataFrame, sites: DataFrame,
-                cfg: MatchConfig) -> tuple[DataFrame, DataFrame]:
-    """Match all sites at once; returns (matches, failed sites)."""
+def match_sites(pixels: DataFrame, treatment_key: DataFrame, sites: DataFrame, cfg: MatchConfig,
+                todo: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Match all sites at once; returns (matches, failed sites).
+
+    With ``todo`` only those sites are matched, while the treated cells of all
+    ``sites`` stay out of the control pool.
+    """
     from arborlift.operators import pairing, scores
 
     require_columns(pixels.columns, ["cell", "area_ha", *cfg.layers], "pixel table")
     key = treatment_key.join(sites.select("id_numeric"), "id_numeric", "left_semi")
-    strata_table = stage(strata(pixels, key, cfg.exact_match_vars), "strata")
+    strata_table = strata(pixels, key, cfg.exact_match_vars)
+    if todo is not None:
+        strata_table = strata_table.join(todo.select("id_numeric"), "id_numeric", "left_semi")
+        sites = todo
+    strata_table = stage(strata_table, "strata")
     cells = sampled_cells(pixels, key, strata_table, cfg)
     columns = ["cell", *[c for c in cfg.covariates], *cfg.cover_columns]
     rows = cells.join(pixels.select(*dict.fromkeys(columns)), "cell")
