@@ -151,39 +151,44 @@ def sampled_cells(pixels, treatment_key, strata_table, cfg: MatchConfig) -> Data
     )
 
 
-def _cover_at(year: Column, years: list[int]) -> Column:
-    return F.coalesce(*[F.when(year == y, F.col(f"fc_{y}").cast("double")) for y in years])
-
-
 def with_pre_intervention(rows: DataFrame, sites: DataFrame) -> DataFrame:
     """Add the five-year change before the start, where it applies.
 
     It applies to sites starting in 2005 or later with both cover years at
-    hand; their rows without initial cover are dropped.
+    hand; their rows without initial cover are dropped. Which years a site
+    compares is worked out on the site table, so a row only looks them up.
     """
     years = cover_years(rows.columns)
+    listed = F.array(*[F.lit(y) for y in years])
     start = F.col("start_year")
-    first = start - PRE_INTERVENTION_YEARS
-    applies = (start >= PRE_DEFOR_FIRST_START) & first.isin(years) & start.isin(years)
-    df = rows.join(sites.select("id_numeric", "start_year"), "id_numeric")
-    df = df.withColumns({
-        "uses_pre_defor": F.coalesce(applies, F.lit(False)),
-        "_init": _cover_at(first, years),
-        "_final": _cover_at(start, years),
+    first = F.array_position(listed, start - PRE_INTERVENTION_YEARS)
+    last = F.array_position(listed, start)
+    applies = (start >= PRE_DEFOR_FIRST_START) & (first > 0) & (last > 0)
+    spans = sites.select(
+        "id_numeric", "start_year", F.coalesce(applies, F.lit(False)).alias("uses_pre_defor"),
+        (first - 1).cast("int").alias("_a"), (last - 1).cast("int").alias("_b"),
+    )
+    cover = F.array(*[F.col(f"fc_{y}").cast("double") for y in years])
+    df = rows.withColumn("_fc", cover).join(spans, "id_numeric").withColumns({
+        "_init": F.get("_fc", F.col("_a")), "_final": F.get("_fc", F.col("_b")),
     })
     df = df.filter(~F.col("uses_pre_defor") | (F.col("_init") != 0))
-    change = (F.col("_final") - F.col("_init")) / F.col("_init") * 100
+    change = (F.col("_final") - F.col("_init")) / F.nullif(F.col("_init"), F.lit(0.0)) * 100
     return df.withColumn(
-        "defor_pre_intervention", F.when(F.col("uses_pre_defor") & (F.col("_init") != 0), change)
-    ).drop("_init", "_final")
+        "defor_pre_intervention", F.when(F.col("uses_pre_defor"), change)
+    ).drop("_fc", "_a", "_b", "_init", "_final")
 
 
-def keep_shared_groups(rows: DataFrame, keys=tuple(STRATUM)) -> DataFrame:
-    """Rows of groups that have both treated and control rows."""
+def shared_groups(rows: DataFrame, keys=tuple(STRATUM)) -> DataFrame:
+    """Groups that have both treated and control rows."""
     both = rows.groupBy(*keys).agg(
         F.count_if("treatment").alias("_t"), F.count_if(~F.col("treatment")).alias("_c")
-    ).filter("_t > 0 AND _c > 0")
-    return rows.join(both.select(*keys), list(keys), "left_semi")
+    )
+    return both.filter("_t > 0 AND _c > 0").select(*keys)
+
+
+def keep_shared_groups(rows: DataFrame, keys=tuple(STRATUM)) -> DataFrame:
+    return rows.join(shared_groups(rows, keys), list(keys), "left_semi")
 
 
 def sampled_fraction(entered: DataFrame, treatment_key: DataFrame) -> DataFrame:
@@ -276,8 +281,9 @@ def match_sites(pixels: DataFrame, treatment_key: DataFrame, sites: DataFrame, c
     cells = sampled_cells(pixels, key, strata_table, cfg)
     columns = ["cell", *[c for c in cfg.covariates], *cfg.cover_columns]
     rows = cells.join(pixels.select(*dict.fromkeys(columns)), "cell")
-    rows = with_pre_intervention(rows, sites).drop(*cfg.cover_columns)
-    entered = stage(keep_shared_groups(rows), "entered")
+    rows = stage(with_pre_intervention(rows, sites).drop(*cfg.cover_columns), "sampled")
+    shared = stage(shared_groups(rows), "shared-groups")
+    entered = rows.join(shared, STRATUM, "left_semi")
 
     features, names = design_features(entered, cfg)
     placed = scores.coordinates(features, strata_table, names, cfg)
@@ -289,9 +295,12 @@ def match_sites(pixels: DataFrame, treatment_key: DataFrame, sites: DataFrame, c
         "id_numeric", "sampled_fraction", "n_control_sampled", "n_control_pool"
     ).join(sites.select("id_numeric", "site_id"), "id_numeric")
     weighted = pairing.with_match_weights(sets.join(per_site, "id_numeric"))
-    pre = entered.select(*STRATUM, "cell", "defor_pre_intervention")
     keep = list(dict.fromkeys(["cell", "area_ha", *cfg.layers]))
-    matches = weighted.join(pre, [*STRATUM, "cell"]).join(pixels.select(*keep), "cell")
+    # matched rows are few: their pixels are fetched again, and the
+    # pre-intervention change is worked out again rather than carried along
+    matches = with_pre_intervention(
+        weighted.join(pixels.select(*keep), "cell"), sites
+    ).drop("start_year", "uses_pre_defor")
 
     matched = sets.groupBy("id_numeric").agg(F.count("*").alias("n_matched"))
     stages = (

@@ -43,6 +43,22 @@ def unpivot_cover(matches: DataFrame) -> DataFrame:
     return matches.select(*keep, F.inline(rows))
 
 
+def _year_positions(sites: DataFrame, years: list[int]) -> DataFrame:
+    """Per site: positions in ``years`` of the first read, first and last kept year."""
+    start, end = F.col("start_year"), F.col("end_year")
+    read_from = F.greatest(F.lit(years[0]), start - PRE_INTERVENTION_YEARS - 1)
+    keep_from = F.greatest(F.lit(years[0] + 1), start - PRE_INTERVENTION_YEARS)
+    listed = F.array(*[F.lit(y) for y in years])
+
+    def before(limit: Column) -> Column:
+        return F.size(F.filter(listed, lambda y: y < limit))
+
+    return sites.select(
+        "site_id", "start_year", "end_year", before(read_from).alias("_first"),
+        before(keep_from).alias("_lo"), (before(end + 1) - 1).alias("_hi"),
+    )
+
+
 def pixel_panel(matches: DataFrame, sites: DataFrame, scale_by_area: bool = False) -> DataFrame:
     """Pixel-year rows with cover (ha), change (ha) and emissions.
 
@@ -50,50 +66,39 @@ def pixel_panel(matches: DataFrame, sites: DataFrame, scale_by_area: bool = Fals
     base of the first difference. Differences are against the previous listed
     year, which need not be the calendar year before. Emissions come from
     biomass density; ``scale_by_area`` multiplies them by the pixel area.
+
+    Positions of the years are worked out once per site. Only kept years are
+    exploded, and each looks up its values in the row's own cover array.
     """
     require_columns(matches.columns, REQUIRED_MATCH_COLUMNS, "match table")
     years = cover_years(matches.columns)
-    first_year = years[0]
-    df = with_site_dates(matches, sites)
-    start, end = F.col("start_year"), F.col("end_year")
-    read_from = F.greatest(F.lit(first_year), start - PRE_INTERVENTION_YEARS - 1)
-    keep_from = F.greatest(F.lit(first_year + 1), start - PRE_INTERVENTION_YEARS)
-
-    def hectares(year: int) -> Column:
-        return F.col(f"fc_{year}").cast("double") / 100 * F.col("area_ha")
-
-    keep = [c for c in df.columns if c not in {f"fc_{y}" for y in years}]
-    base = F.lit(None).cast("double")
-    for year in reversed(years):
-        base = F.when(F.lit(year) >= F.col("_from"), F.col(f"_ha_{year}")).otherwise(base)
-    df = df.select(
-        *keep, read_from.alias("_from"), keep_from.alias("_keep"),
-        *[hectares(y).alias(f"_ha_{y}") for y in years],
-    ).withColumn("_base", base)
-
+    cover = [f"fc_{y}" for y in years]
+    keep = [c for c in matches.columns if c not in {*cover, "start_year", "end_year"}]
+    hectares = F.array(*[F.col(c).cast("double") / 100 * F.col("area_ha") for c in cover])
+    df = (
+        matches.select(*keep, hectares.alias("_ha"))
+        .join(_year_positions(sites, years), "site_id")
+        .filter("_hi >= _lo")
+        .withColumn("_i", F.explode(F.sequence("_lo", "_hi")))
+    )
     mass = F.col("total_biomass").cast("double")
     if scale_by_area:
         mass = mass * F.col("area_ha")
-    entries = []
-    for prev, year in zip([None, *years], years):
-        now = F.col(f"_ha_{year}")
-        if prev is None:
-            before = fraction_before = F.lit(None).cast("double")
-        else:
-            seen = F.lit(prev) >= F.col("_from")
-            before = F.when(seen, F.col(f"_ha_{prev}"))
-            fraction_before = F.try_divide(before, F.col("_base"))
-        fraction = F.try_divide(now, F.col("_base"))
-        change = (mass * fraction - mass * fraction_before) * CARBON_SHARE
-        entries.append(F.struct(
-            F.lit(year).alias("year"),
-            now.alias("forest_at_year_end"),
-            (now - before).alias("forest_change_ha"),
-            fraction.alias("forest_frac_remaining"),
-            (change * CO2E_PER_CARBON).alias("emissions_mgco2e"),
-        ))
-    long = df.select(*keep, "_keep", F.inline(F.array(*entries)))
-    return long.filter(F.col("year").between(F.col("_keep"), end)).drop("_keep")
+    df = df.withColumns({
+        "year": F.get(F.array(*[F.lit(y) for y in years]), F.col("_i")),
+        "forest_at_year_end": F.get("_ha", F.col("_i")),
+        "_before": F.when(F.col("_i") > F.col("_first"), F.get("_ha", F.col("_i") - 1)),
+        "_base": F.get("_ha", F.col("_first")),
+    })
+    fraction = F.try_divide("forest_at_year_end", "_base")
+    fraction_before = F.try_divide("_before", "_base")
+    carbon = (mass * fraction - mass * fraction_before) * CARBON_SHARE
+    return df.select(
+        *keep, "start_year", "end_year", "year", "forest_at_year_end",
+        (F.col("forest_at_year_end") - F.col("_before")).alias("forest_change_ha"),
+        fraction.alias("forest_frac_remaining"),
+        (carbon * CO2E_PER_CARBON).alias("emissions_mgco2e"),
+    )
 
 
 def _arm_sum(value: str, treated: bool) -> Column:
