@@ -291,10 +291,14 @@ def match_sites(pixels: DataFrame, treatment_key: DataFrame, sites: DataFrame, c
 
     share = sampled_fraction(entered, key)
     pool = control_pool(strata_table)
-    per_site = share.join(pool, "id_numeric").select(
-        "id_numeric", "sampled_fraction", "n_control_sampled", "n_control_pool"
-    ).join(sites.select("id_numeric", "site_id"), "id_numeric")
-    weighted = pairing.with_match_weights(sets.join(per_site, "id_numeric"))
+    per_site = stage(
+        share.join(pool, "id_numeric").join(sites.select("id_numeric", "site_id"), "id_numeric"),
+        "site-counts",
+    )
+    counts = per_site.select(
+        "id_numeric", "site_id", "sampled_fraction", "n_control_sampled", "n_control_pool"
+    )
+    weighted = pairing.with_match_weights(sets.join(counts, "id_numeric"))
     keep = list(dict.fromkeys(["cell", "area_ha", *cfg.layers]))
     # matched rows are few: their pixels are fetched again, and the
     # pre-intervention change is worked out again rather than carried along
@@ -305,8 +309,8 @@ def match_sites(pixels: DataFrame, treatment_key: DataFrame, sites: DataFrame, c
     matched = sets.groupBy("id_numeric").agg(F.count("*").alias("n_matched"))
     stages = (
         key.groupBy("id_numeric").agg(F.count("*").alias("n_key"))
-        .join(share.select("id_numeric", "n_treatment_final",
-                           F.col("n_control_sampled").alias("n_control_final")),
+        .join(per_site.select("id_numeric", "n_treatment_final",
+                              F.col("n_control_sampled").alias("n_control_final")),
               "id_numeric", "left")
         .join(matched, "id_numeric", "left")
     )

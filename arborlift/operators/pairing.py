@@ -51,48 +51,48 @@ ASSIGN_SCHEMA = (
 FIRST_HORIZON = 16
 
 
-def score_stratum(pdf: pd.DataFrame, names: list[str], cfg: MatchConfig) -> pd.DataFrame | None:
-    """Coordinates of one stratum held by a task; None when an arm is empty."""
+def _columns(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def score_stratum(pdf: pd.DataFrame, names: list[str], cfg: MatchConfig):
+    """(coordinates, pscore) of one stratum; None when an arm is empty."""
     treated = pdf["treatment"].to_numpy(dtype=bool)
     n_t = int(treated.sum())
     if n_t == 0 or n_t == len(pdf):
         return None
     x = pdf[names].to_numpy(dtype=float)
-    out = pdf[["id_numeric", "group", "cell", "treatment"]].copy()
     if n_t < cfg.min_glm_treatment_pixels:
-        coords = solve.whitened(x, treated)
-        out["pscore"] = np.nan
-    else:
-        score = solve.logit_score(x, treated)
-        coords = (score / solve.pooled_scale(score, treated, cfg.distance_scale))[:, None]
-        out["pscore"] = 1 / (1 + np.exp(-score))
-    out["coords"] = list(coords)
-    return out
+        return solve.whitened(x, treated), np.full(len(pdf), np.nan)
+    score = solve.logit_score(x, treated)
+    scale = solve.pooled_scale(score, treated, cfg.distance_scale)
+    return (score / scale)[:, None], 1 / (1 + np.exp(-score))
 
 
-def pair_stratum(pdf: pd.DataFrame, cfg: MatchConfig, horizon: int | None = None):
+def pair_stratum(pdf: pd.DataFrame, coords: np.ndarray, pscore: np.ndarray, cfg: MatchConfig,
+                 horizon: int | None = None) -> pd.DataFrame | None:
     """Match sets of one stratum; None when ``horizon`` is too short."""
-    coords = np.vstack(pdf["coords"].to_numpy())
     cells = pdf["cell"].to_numpy()
     treated = pdf["treatment"].to_numpy(dtype=bool)
     t_at, c_at = np.flatnonzero(treated), np.flatnonzero(~treated)
-    order = np.argsort(cells[t_at], kind="stable")
-    t_at = t_at[order]
+    t_at = t_at[np.argsort(cells[t_at], kind="stable")]
+    c_at = c_at[np.argsort(cells[c_at], kind="stable")]
     pairs = solve.greedy_pairs(
         coords[t_at], cells[t_at], coords[c_at], cells[c_at],
         cfg.max_controls_per_treatment, cfg.caliper_width, horizon,
     )
     if pairs is None:
         return None
-    score = dict(zip(cells, pdf["pscore"]))
     id_numeric, group = pdf["id_numeric"].iloc[0], pdf["group"].iloc[0]
     rows = []
     for i, got in pairs.items():
         owner = cells[t_at[i]]
         label = f"{group}:{owner}"
-        rows.append((id_numeric, group, owner, True, label, 0.0, score[owner]))
-        rows += [(id_numeric, group, c, False, label, d, score[c]) for c, d in got]
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in SETS_SCHEMA.split(", ")])
+        rows.append((id_numeric, group, owner, True, label, 0.0, pscore[t_at[i]]))
+        chosen = c_at[np.searchsorted(cells[c_at], [c for c, _ in got])]
+        rows += [(id_numeric, group, c, False, label, d, pscore[at])
+                 for (c, d), at in zip(got, chosen)]
+    return pd.DataFrame(rows, columns=_columns(SETS_SCHEMA))
 
 
 def _sizes(placed: DataFrame, cfg: MatchConfig, horizon: int = 1) -> DataFrame:
@@ -165,10 +165,11 @@ def _pairs_of_large(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
     def run(horizon: int):
         def pair(pdf: pd.DataFrame) -> pd.DataFrame:
             treated = pdf["treatment"].to_numpy(dtype=bool)
-            names = [f.split()[0] for f in SETS_SCHEMA.split(", ")]
+            names = _columns(SETS_SCHEMA)
             if treated.all() or not treated.any():
                 return pd.DataFrame([], columns=names)
-            out = pair_stratum(pdf, cfg, horizon)
+            coords = np.vstack(pdf["coords"].to_numpy())
+            out = pair_stratum(pdf, coords, pdf["pscore"].to_numpy(dtype=float), cfg, horizon)
             if out is None:
                 head = pdf.iloc[0]
                 row = (head["id_numeric"], head["group"], head["cell"], True, marker, None, None)
@@ -200,7 +201,7 @@ def assign_full(placed: DataFrame, cfg: MatchConfig) -> DataFrame:
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         treated = pdf["treatment"].to_numpy(dtype=bool)
-        names = [f.split()[0] for f in ASSIGN_SCHEMA.split(", ")]
+        names = _columns(ASSIGN_SCHEMA)
         if treated.all() or not treated.any():
             return pd.DataFrame([], columns=names)
         coords = np.vstack(pdf["coords"].to_numpy())
@@ -256,14 +257,16 @@ def match_rows(placed, cfg: MatchConfig) -> DataFrame:
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         out = score_stratum(pdf, names, cfg)
-        return pd.DataFrame([], columns=[f.split()[0] for f in COORDS_SCHEMA.split(", ")]) \
-            if out is None else out
+        if out is None:
+            return pd.DataFrame([], columns=_columns(COORDS_SCHEMA))
+        coords, pscore = out
+        return pdf[[*STRATUM, "cell", "treatment"]].assign(coords=list(coords), pscore=pscore)
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         out = score_stratum(pdf, names, cfg)
         if out is None:
-            return pd.DataFrame([], columns=[f.split()[0] for f in SETS_SCHEMA.split(", ")])
-        return pair_stratum(out, cfg)
+            return pd.DataFrame([], columns=_columns(SETS_SCHEMA))
+        return pair_stratum(pdf, *out, cfg)
 
     if cfg.max_controls_per_treatment == 0:
         rows = local.groupBy(*STRATUM).applyInPandas(score, COORDS_SCHEMA)

@@ -84,6 +84,11 @@ def summarize_step(matches, key, sites, cfg: MatchConfig, out: str) -> dict[str,
     tables.write_document(tables.run_summary_document(
         run, totals, failed, summary.subsampled_sites(sampling, sites), cfg.task_id,
         cfg.random_seed), f"{out}/results_summary")
+    head = run.withColumn("task_id", F.lit(cfg.task_id)).withColumnsRenamed(
+        {"year_min": "year_range_min", "year_max": "year_range_max"})
+    summary_json = head.select(F.to_json(F.struct("*"))).first()[0]
+    tables.write_document(
+        tables.analysis_payload(yearly, totals, summary_json), f"{out}/results_payload")
     return results
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arborlift.config import REQUIRED_MATCH_COLUMNS, require_columns
@@ -194,11 +196,12 @@ def _year_key():
     return F.concat("site_id", F.lit("|"), F.lpad(F.col("year").cast("string"), 6, "0"))
 
 
-def analysis_payload(yearly: DataFrame, totals: DataFrame, summary_json: str) -> DataFrame:
+def analysis_payload(yearly: DataFrame, totals: DataFrame, summary_json: str,
+                     name: str = "", analysis_type: str = "") -> DataFrame:
     """Nested result document: summary, records and time series."""
     records = record_entries(totals).select(F.col("site_id").alias("key"), "entry")
     series = time_series_entries(yearly).select(_year_key().alias("key"), "entry")
-    head = '{"name":"Avoided emissions","analysis_type":"avoided_emissions","summary":'
+    head = f'{{"name":{json.dumps(name)},"analysis_type":{json.dumps(analysis_type)},"summary":'
     return document(yearly.sparkSession, [
         head + summary_json + ',"records":[', records, '],"time_series":[', series, "]}",
     ])
