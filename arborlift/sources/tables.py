@@ -25,11 +25,11 @@ def write_pixels(pixels: DataFrame, path: str) -> None:
 def write_matches(matches: DataFrame, path: str) -> None:
     """Match table partitioned by site; only the sites given are replaced.
 
-    Rows of a site are spread over several files by cell, so one large site
-    does not end in one task.
+    Rows are rebalanced by site: small sites get one file each, and a large
+    one is split over several tasks.
     """
-    spread = matches.repartition("id_numeric", F.pmod(F.xxhash64("cell"), F.lit(16)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+    balanced = matches.hint("rebalance", F.col("id_numeric"))
+    balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
         "compression", "zstd"
     ).partitionBy("id_numeric").parquet(path)
 
@@ -60,7 +60,7 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns) -> DataFrame:
 
 def replace_task(df: DataFrame, path: str) -> None:
     """Write result rows, replacing earlier rows of the same tasks only."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    df.hint("rebalance", F.col("task_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "task_id"
     ).parquet(path)
 
