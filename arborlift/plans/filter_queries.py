@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from arborlift.config import MatchConfig
 from arborlift.operators import extract, matching, polygons, registry, summary
-from arborlift.plans.aggregate_queries import balance, panel, rounded, yearly
+from arborlift.plans.aggregate_queries import panel, rounded, yearly
 from arborlift.plans.catalogue import query
 from arborlift.plans.oracle_views import (
-    KEY, MANIFEST, MATCHED, PANELED, PIX, POLYGONS, REGISTRY, RESULTS, SITES, cte,
+    KEY, MATCHED, PANELED, PIX, POLYGONS, REGISTRY, RESULTS, SITES, cte,
 )
 from arborlift.sources import shared_tables as T
 from arborlift.sources import vectors

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborlift.functions import grid, scalar
+from arborlift.functions import scalar
 from arborlift.operators import extract, matching, pairing, polygons, registry, summary
-from arborlift.plans.aggregate_queries import panel, rounded, totals, yearly
+from arborlift.plans.aggregate_queries import panel, rounded, totals
 from arborlift.plans.catalogue import query
 from arborlift.plans.oracle_views import (
-    KEY, MANIFEST, MATCHED, PANELED, PIX, POLYGONS, REGISTRY, RESULTS, SITES, cte,
+    KEY, MANIFEST, MATCHED, PIX, POLYGONS, REGISTRY, RESULTS, SITES, cte,
 )
 from arborlift.sources import shared_tables as T
 

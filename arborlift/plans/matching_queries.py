@@ -197,10 +197,10 @@ def _(spark, d):
 
 
 FAIL_SQL = cte(SITES, PIX, KEY) + """,
-stages AS (SELECT id_numeric, count(*) AS n_key,
+stages AS (SELECT id_numeric, count(*) FILTER (admin1<3) AS n_key,
   count(*) FILTER (ecoregion=2 AND pa=0 AND elev>330) AS ntf,
   count(*) FILTER (ecoregion=2 AND pa=0 AND elev>350) AS nm
- FROM pix WHERE id_numeric IS NOT NULL AND admin1<3 GROUP BY 1)
+ FROM pix WHERE id_numeric IS NOT NULL GROUP BY 1)
 SELECT id_numeric, site_id, site_name, error FROM (SELECT s.id_numeric, site_id, site_name,
  CASE WHEN coalesce(n_key,0)=0 THEN 'No treatment cells found for site'
   WHEN ntf=0 THEN 'No treatment pixels remaining after filtering'
@@ -211,11 +211,11 @@ SELECT id_numeric, site_id, site_name, error FROM (SELECT s.id_numeric, site_id,
 @query("match_failures", FAIL_SQL)
 def _(spark, d):
     kept = (F.col("ecoregion") == 2) & (F.col("pa") == 0)
-    px = T.pixels(spark, d).filter("id_numeric IS NOT NULL AND admin1 < 3")
+    px = T.pixels(spark, d).filter("id_numeric IS NOT NULL")
     stages = px.groupBy("id_numeric").agg(
-        F.count("*").alias("n_key"),
+        F.count_if(F.col("admin1") < 3).alias("n_key"),
         F.count_if(kept & (F.col("elev") > 330)).alias("n_treatment_final"),
-        F.count("*").alias("n_control_final"),
+        F.count_if(F.col("admin1") < 3).alias("n_control_final"),
         F.count_if(kept & (F.col("elev") > 350)).alias("n_matched"),
     )
     return matching.failures(T.sites(spark, d), stages)

@@ -9,7 +9,7 @@ from arborlift.operators import extract, matching, polygons, registry, summary
 from arborlift.plans.aggregate_queries import PROFILE_SQL, rounded, totals, yearly
 from arborlift.plans.catalogue import query
 from arborlift.plans.oracle_views import (
-    LAYERS, MANIFEST, MATCHED, PANELED, PIX, POLYGONS, REGISTRY, RESULTS, SITES, cte,
+    PIX, POLYGONS, RESULTS, SITES, cte,
 )
 from arborlift.sources import shared_tables as T
 

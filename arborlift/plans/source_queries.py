@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from arborlift.operators import extract, polygons, registry, summary
+from arborlift.operators import extract, registry, summary
 from arborlift.plans.aggregate_queries import BALANCE_SQL, balance, panel, rounded, totals, yearly
 from arborlift.plans.catalogue import query
 from arborlift.plans.oracle_views import (
-    KEY, LAYERS, MANIFEST, MATCHED, PIX, POLYGONS, RESULTS, SITES, cte,
+    KEY, MANIFEST, MATCHED, PIX, POLYGONS, RESULTS, SITES, cte,
 )
 from arborlift.schema import BY_SITE_TOTAL
 from arborlift.sources import shared_tables as T, tables, vectors

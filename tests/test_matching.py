@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arborlift.config import MatchConfig
 from arborlift.functions import solve
-from arborlift.operators import matching, pairing, proximity, scores
+from arborlift.operators import matching, proximity, scores
 from arborlift.sources import shared_tables as T
 
 
