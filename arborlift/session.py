@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,22 +25,32 @@ def build_session(app: str = "arborlift", **conf) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """Folder named by ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster
+    executors would each write to their own disk, so that is refused.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="arborlift-")
         context.setCheckpointDir(configured)
     return configured
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; nothing is there yet."""
+    return f"{shared_folder(spark).rstrip('/')}/arborlift/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared folder and read it back.
 
     A written table cuts lineage and survives lost executors, and unlike a row
     checkpoint it stays columnar, so later steps read only what they use.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/arborlift/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
