@@ -2,10 +2,11 @@
 
 Benchmark items and documents are lower-cased (A-Z) and split into words; every
 run of ``window`` consecutive item words is a gram, and an item of fewer words,
-but not none, is one shorter gram. Hashes of the document's runs probe the
-broadcast set of gram hashes in the scan stage, so no document word is shuffled;
-a probe that finds its hash is verified on the words themselves. Only verified
-hits are grouped per document.
+but not none, is one shorter gram. The set of gram hashes is broadcast, filed by
+each gram's longest word: a document word that is one of these has the run around
+it hashed and looked up, and a run that finds its hash is verified on the words
+themselves. All of this happens in the scan stage, so no document word is
+shuffled; only verified hits are grouped per document.
 
 Only built-in functions are used. Grams are broadcast up to ``broadcast_rows``
 rows (counted first); a larger benchmark is joined by shuffle on the hash.
@@ -32,33 +33,22 @@ def leak_words(text: str | Column) -> Column:
     return split_words(ascii_lower(whole(text)), GAP)
 
 
-def _runs(words: Column, size: int) -> Column:
-    """(pos, len, gram_hash) of every run of ``size`` words."""
-    last = F.size(words) - size
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(
-        i.alias("pos"), F.lit(size).alias("len"),
-        F.xxhash64(*[F.get(words, i + j) for j in range(size)]).alias("gram_hash"),
-    ))
-
-
-def _run_text(words: Column, pos: Column, size: Column) -> Column:
-    return F.array_join(F.slice(words, pos + 1, size), " ")
+def _run(words: Column, start: Column, size: Column) -> Column:
+    return F.slice(words, start + 1, size)
 
 
 def grams(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = 10) -> DataFrame:
-    """Distinct grams of the benchmark with the ids of their items."""
+    """Distinct grams of the benchmark: hash, words, items, and the longest word with its place."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), leak_words(text).alias("words"))
-    n = F.size("words")
-    cut = F.when(n >= window, _runs(F.col("words"), window))
-    for size in range(1, window):
-        cut = cut.when(n == size, _runs(F.col("words"), size))
-    runs = items.where(n > 0).select("item", "words", F.explode(cut).alias("run"))
-    return (
-        runs.select("item", "run.len", "run.gram_hash",
-                    _run_text(F.col("words"), F.col("run.pos"), F.col("run.len")).alias("gram"))
-        .groupBy("gram_hash", "len", "gram").agg(F.collect_set("item").alias("items"))
-    )
+    size = F.least(F.size("words"), F.lit(window))
+    runs = items.where(F.size("words") > 0).select(
+        "item", F.explode(F.transform(
+            F.sequence(F.lit(0), F.size("words") - size), lambda i: _run(F.col("words"), i, size))).alias("gram"))
+    distinct = runs.groupBy("gram").agg(F.collect_set("item").alias("items"))
+    longest = F.array_max(F.transform("gram", lambda w, i: F.struct(F.length(w).alias("n"), w.alias("word"), i.alias("at"))))
+    return distinct.select(
+        "gram", "items", F.xxhash64("gram").alias("gram_hash"), F.size("gram").alias("gram_len"),
+        F.xxhash64(longest["word"]).alias("anchor"), longest["at"].alias("anchor_at"))
 
 
 def find_leaks(
@@ -71,19 +61,17 @@ def find_leaks(
     array of pos and len, in words), items (sorted array).
     """
     known = grams(benchmark, item, item_text, window)
-    sizes = [r[0] for r in known.groupBy("len").count().select("len", "count").collect() if r[1]]
-    n_grams = known.count()
-    known = known.withColumnRenamed("len", "gram_len")
-    if 0 < n_grams <= broadcast_rows:
+    if known.count() <= broadcast_rows:
         known = F.broadcast(known)
-    runs = [_runs(F.col("words"), size) for size in sorted(sizes)] or [_runs(F.col("words"), window)]
     seen = docs.select(
         F.col(doc).alias("leak_id"), F.xxhash64(whole(text)).alias("leak_hash"), leak_words(text).alias("words"),
-    ).select("leak_id", "leak_hash", "words", F.explode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("run"))
-    seen = seen.select("leak_id", "leak_hash", "words", F.col("run.pos").alias("pos"),
-                       F.col("run.len").alias("len"), F.col("run.gram_hash").alias("run_hash"))
-    found = seen.join(known, (F.col("run_hash") == F.col("gram_hash")) & (F.col("len") == F.col("gram_len"))
-                      & (_run_text(F.col("words"), F.col("pos"), F.col("len")) == F.col("gram")))
+    ).select("leak_id", "leak_hash", "words", F.posexplode("words").alias("at", "word"))
+    start = F.col("at") - F.col("anchor_at")
+    run = _run(F.col("words"), start, F.col("gram_len"))
+    inside = (start >= 0) & (start + F.col("gram_len") <= F.size("words"))
+    same = F.when(inside, (F.xxhash64(run) == F.col("gram_hash")) & (run == F.col("gram"))).otherwise(False)
+    found = seen.join(known, (F.xxhash64("word") == F.col("anchor")) & same).select(
+        "leak_id", "leak_hash", start.alias("pos"), F.col("gram_len").alias("len"), "items")
     return found.groupBy("leak_id", "leak_hash").agg(
         F.sort_array(F.collect_set(F.struct("pos", "len"))).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arborlift.llm import decontaminate, quality, url_rules
-from arborlift.llm.base import LOWER, UPPER, query, table
+from arborlift.llm.base import LOWER, UPPER, query, table, whole
 
 
 def _quoted(s: str) -> str:
@@ -114,13 +114,17 @@ def _(spark, d):
 
 @query("op10_benchmark_decontamination", LEAKS)
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    found = decontaminate.with_leaks(docs, decontaminate.find_leaks(docs, table(spark, d, "benchmark")))
+    docs = table(spark, d, "documents")
+    leaks = decontaminate.find_leaks(docs, table(spark, d, "benchmark"))
+    counted = docs.select(
+        "doc_id", F.xxhash64(whole("text")).alias("text_hash"),
+        F.size(decontaminate.leak_words("text")).cast("bigint").alias("n_words"))
+    found = counted.join(
+        leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")) & (F.col("text_hash") == F.col("leak_hash")), "left")
     none = F.array().cast("array<string>")
     n_hit = F.coalesce(decontaminate.covered(F.col("spans")), F.lit(0).cast("bigint"))
     return found.select(
-        "row.doc_id",
-        F.size(decontaminate.leak_words("row.text")).cast("bigint").alias("n_words"),
+        "doc_id", "n_words",
         n_hit.alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("items", none), ",").cast("binary"), 256).alias("items_sha256"),
