@@ -39,7 +39,12 @@ class _Powers:
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word in order, and the index of its text.
+    """Hash of every word in order, and the index of its text."""
+    return placed_words(texts)[:2]
+
+
+def placed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and text of every word, and its first byte and the byte after it within the text.
 
     Words are runs without white space, lower-cased (A-Z). A word's hash is that
     of its UTF-8 bytes, so equal words have equal hashes anywhere.
@@ -47,7 +52,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data = "\n".join(texts).encode()
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
     space = SPACES[raw]
     start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
@@ -56,8 +61,11 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     total = np.cumsum(LETTERS[low] * up, dtype=np.uint64)
     before = np.where(start > 0, total[np.maximum(start, 1) - 1], np.uint64(0))
     hashes = mix((total[end - 1] - before) * down[start] + (end - start).astype(np.uint64) * ODD_STEP)
-    ends = np.cumsum([len(t.encode()) + 1 for t in texts]) if not data.isascii() else np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(ends, start, side="right")
+    size = [len(t) + 1 for t in texts] if data.isascii() else [len(t.encode()) + 1 for t in texts]
+    ends = np.cumsum(size)
+    text = np.searchsorted(ends, start, side="right")
+    first = (ends - size)[text]
+    return hashes, text, start - first, end - first
 
 
 def runs(hashes: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
