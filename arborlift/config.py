@@ -20,15 +20,13 @@ LAST_COVER_YEAR = 2024
 PRE_INTERVENTION_YEARS = 5
 PRE_DEFOR_FIRST_START = 2005
 DEFAULT_SEED = 20240101
-BOUNDS = {
-    "max_treatment_pixels": (1, 100_000),
-    "control_multiplier": (1, 500),
-    "min_site_area_ha": (0, 100_000),
-    "min_glm_treatment_pixels": (1, 10_000),
-    "max_controls_per_treatment": (0, 100),
-    "caliper_width": (0, 5.0),
-    "random_seed": (1, 2_147_483_647),
+#: Least value of each setting; only the seed has an upper bound, that of a 32-bit integer.
+LEAST = {
+    "max_treatment_pixels": 1, "control_multiplier": 1, "min_site_area_ha": 0,
+    "min_glm_treatment_pixels": 1, "max_controls_per_treatment": 0, "caliper_width": 0,
+    "random_seed": 1,
 }
+LARGEST_SEED = 2_147_483_647
 
 
 @dataclass(frozen=True)
@@ -75,9 +73,11 @@ class MatchConfig:
             missing = sorted(set(self.covariates) - set(self.ready_covariates))
             if missing:
                 raise ValueError(f"covariates not ready: {missing}")
-        for name, (low, high) in BOUNDS.items():
-            if not low <= getattr(self, name) <= high:
-                raise ValueError(f"{name} must be between {low} and {high}")
+        for name, least in LEAST.items():
+            if not getattr(self, name) >= least:
+                raise ValueError(f"{name} must be at least {least}")
+        if self.random_seed > LARGEST_SEED:
+            raise ValueError(f"random_seed must be at most {LARGEST_SEED}")
         if self.distance_scale not in ("mad", "sd"):
             raise ValueError("distance_scale must be 'mad' or 'sd'")
 

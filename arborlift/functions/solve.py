@@ -120,48 +120,90 @@ class NearestControls:
         return distance[order], positions[order]
 
 
+class _BeyondHorizon(Exception):
+    """The pairing would have to look past the controls at hand."""
+
+
 def greedy_pairs(treated, treated_cells, controls, control_cells, k, caliper, horizon=None):
     """1:k pairing without replacement, nearest pair first.
 
-    Ties are broken by treated cell, then control cell. A treated unit that
-    cannot get ``k`` controls is left out. ``horizon`` says how many nearest
-    controls of each unit are known to be present; returns ``None`` when the
-    pairing would have to look beyond it.
+    Ties are broken by treated cell, then control cell. Only units with ``k``
+    free controls within the caliper take part in a pass; those that end a pass
+    with fewer release them, and the passes go on until no left-out unit has ``k``
+    free controls. Where a pass completes nobody, the unit whose ``k``
+    nearest free controls are nearest in sum is completed alone. ``horizon`` says how
+    many nearest controls of each unit are known to be present; returns
+    ``None`` when the pairing would have to look beyond it.
     """
     pool = NearestControls(controls, control_cells)
     # at most this many controls can ever be in use, so none needs to look further
     need = len(treated_cells) * k
     fetched, size = {}, {}
-    heap = []
+    taken = np.zeros(len(control_cells), dtype=bool)
 
-    def push(i: int, at: int) -> bool:
+    def at_place(i: int, at: int):
+        """(distance, position) of a unit's control number ``at``; None past its last."""
         if at >= need:
-            return True
+            return None
         if horizon is not None and at >= horizon:
-            return False
+            raise _BeyondHorizon
         if i not in fetched or (at >= len(fetched[i][0]) and size[i] <= len(fetched[i][0])):
-            size[i] = min(max(FIRST_FETCH, size.get(i, 0) * 4), need)
+            size[i] = min(max(FIRST_FETCH, at + 1, size.get(i, 0) * 4), need)
             fetched[i] = pool.nearest(treated[i], size[i], caliper)
         distance, position = fetched[i]
-        if at < len(distance):
-            cell = pool.cells[position[at]]
-            heapq.heappush(
-                heap, (distance[at], treated_cells[i], cell, i, at, int(position[at]))
-            )
-        return True
-
-    for i in range(len(treated_cells)):
-        push(i, 0)
-    taken = np.zeros(len(control_cells), dtype=bool)
-    chosen = [[] for _ in treated_cells]
-    while heap:
-        distance, _, cell, i, at, position = heapq.heappop(heap)
-        if not taken[position]:
-            taken[position] = True
-            chosen[i].append((cell, distance))
-        if len(chosen[i]) < k and not push(i, at + 1):
-            return None
-    return {i: got for i, got in enumerate(chosen) if len(got) == k}
+        return (distance[at], int(position[at])) if at < len(distance) else None
+
+    def nearest_free(i: int):
+        """The unit's ``k`` nearest free controls, or None if it has fewer."""
+        got, at = [], 0
+        while len(got) < k:
+            found = at_place(i, at)
+            if found is None:
+                return None
+            if not taken[found[1]]:
+                got.append(found)
+            at += 1
+        return got
+
+    def one_pass(units):
+        heap, chosen = [], {i: [] for i in units}
+
+        def push(i: int, at: int) -> None:
+            found = at_place(i, at)
+            if found is not None:
+                cell = pool.cells[found[1]]
+                heapq.heappush(heap, (found[0], treated_cells[i], cell, i, at, found[1]))
+
+        for i in units:
+            push(i, 0)
+        while heap:
+            distance, _, _, i, at, position = heapq.heappop(heap)
+            if not taken[position]:
+                taken[position] = True
+                chosen[i].append((distance, position))
+            if len(chosen[i]) < k:
+                push(i, at + 1)
+        for got in chosen.values():
+            if len(got) < k:
+                taken[[position for _, position in got]] = False
+        return {i: got for i, got in chosen.items() if len(got) == k}
+
+    done, left = {}, list(range(len(treated_cells)))
+    try:
+        while True:
+            able = {i: got for i in left if (got := nearest_free(i)) is not None}
+            if not able:
+                break
+            complete = one_pass(sorted(able))
+            if not complete:
+                first = min(able, key=lambda i: (sum(d for d, _ in able[i]), treated_cells[i]))
+                taken[[position for _, position in able[first]]] = True
+                complete = {first: able[first]}
+            done |= complete
+            left = [i for i in able if i not in complete]
+    except _BeyondHorizon:
+        return None
+    return {i: [(pool.cells[p], d) for d, p in done[i]] for i in sorted(done)}
 
 
 def nearest_each(points: np.ndarray, targets: np.ndarray, cells: np.ndarray):

@@ -11,13 +11,22 @@ def value_bucket(value: Column) -> Column:
     """Order-preserving bucket of a double: octave and a step inside it.
 
     The buckets narrow towards zero like floating point numbers do, so data
-    of any scale spreads over many of them.
+    of any scale spreads over many of them. Infinities have the outermost
+    buckets, and NaN one above all, as Spark orders it.
     """
+    endless = F.lit((1024 + 1100) * OCTAVE_STEPS).cast("long")
     magnitude = F.abs(value)
-    octave = F.floor(F.log2(magnitude))
-    step = F.floor((magnitude / F.pow(F.lit(2.0), octave) - 1) * OCTAVE_STEPS)
+    finite = F.when(~F.isnan(value) & (magnitude != float("inf")), magnitude)
+    octave = F.floor(F.log2(finite))
+    step = F.floor((finite / F.pow(F.lit(2.0), octave) - 1) * OCTAVE_STEPS)
     bucket = (octave + 1100) * OCTAVE_STEPS + step
-    return F.when(value == 0, F.lit(0).cast("long")).otherwise(F.signum(value).cast("long") * bucket)
+    return (
+        F.when(value == 0, F.lit(0).cast("long"))
+        .when(F.isnan(value), endless + 1)
+        .when(value == float("inf"), endless)
+        .when(value == float("-inf"), -endless)
+        .otherwise(F.signum(value).cast("long") * bucket)
+    )
 
 
 def with_rank(df: DataFrame, keys: list[str], order: list[str], bucket: Column,

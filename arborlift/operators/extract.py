@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from arborlift.config import (
@@ -57,13 +55,6 @@ def large_sites(sites: DataFrame, min_area_ha: float) -> DataFrame:
     return sites.filter(F.col("area_ha") >= min_area_ha)
 
 
-def area_filter_counts(sites: DataFrame, min_area_ha: float) -> DataFrame:
-    return sites.agg(
-        F.count("*").alias("n_loaded"),
-        F.count_if(F.col("area_ha") >= min_area_ha).alias("n_kept"),
-    )
-
-
 def panel_years(sites: DataFrame) -> DataFrame:
     """Cover years a run over these sites needs, both ends included."""
     known_end = F.when(F.col("end_year") < OPEN_END_YEAR, F.col("end_year"))
@@ -84,11 +75,6 @@ def pivot_layers(layers: DataFrame, names: list[str]) -> DataFrame:
     ])
 
 
-def merge_layers(layers: list[DataFrame]) -> DataFrame:
-    """Wide layer tables joined on the cell."""
-    return reduce(lambda a, b: a.join(b, "cell", "full"), layers)
-
-
 def clip_to_box(pixels: DataFrame, west, south, east, north, buffer=CLIP_BUFFER_DEG):
     """Pixels in the box widened by the buffer, as plain row and column ranges."""
     rows = (F.floor(F.lit((90 - north - buffer) * 120)), F.floor(F.lit((90 - south + buffer) * 120)))

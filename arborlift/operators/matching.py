@@ -13,7 +13,6 @@ from arborlift.session import stage
 
 HASH_DIGITS = 3
 BLOCK = 256
-WINDOW_LIMIT = 1000
 MAX_LEVELS = 200
 STRATUM = ["id_numeric", "group"]
 
@@ -64,11 +63,6 @@ def control_pool(strata_table: DataFrame) -> DataFrame:
     return strata_table.groupBy("id_numeric").agg(F.sum("n_controls").alias("n_control_pool"))
 
 
-def control_candidates(pixels, treatment_key, exact_vars) -> DataFrame:
-    """Size of every site's candidate set per group."""
-    return strata(pixels, treatment_key, exact_vars)
-
-
 def _digest(*parts) -> Column:
     pieces = []
     for i, part in enumerate(parts):
@@ -83,16 +77,8 @@ def _hex_number(digest: Column, digits: int) -> Column:
 
 
 def sample_treated(treated: DataFrame, cap: int, seed: int) -> DataFrame:
-    """At most ``cap`` treated pixels per (site, group), in seeded hash order.
-
-    Up to the window-limit size Spark keeps only the first rows of each map
-    task before the shuffle; larger caps rank over hash buckets instead.
-    """
+    """At most ``cap`` treated pixels per (site, group), in seeded hash order."""
     hashed = treated.withColumn("_h", _digest(seed, F.col("id_numeric"), F.col("cell")))
-    if cap <= WINDOW_LIMIT:
-        order = Window.partitionBy(*STRATUM).orderBy("_h", "cell")
-        ranked = hashed.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= cap)
-        return ranked.drop("_r", "_h")
     bucket = _hex_number(F.col("_h"), HASH_DIGITS)
     ranked = with_rank(hashed, STRATUM, ["_h", "cell"], bucket, "_r")
     return ranked.filter(F.col("_r") < cap).drop("_r", "_r_count", "_h")

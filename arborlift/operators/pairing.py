@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -44,10 +46,6 @@ SETS_SCHEMA = (
     "id_numeric int, group string, cell bigint, treatment boolean, match_group string, "
     "distance double, pscore double"
 )
-ASSIGN_SCHEMA = (
-    "id_numeric int, group string, cell bigint, treatment boolean, owner bigint, "
-    "near bigint, distance double, pscore double"
-)
 FIRST_HORIZON = 16
 
 
@@ -192,63 +190,42 @@ def _pairs_of_large(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
 
 
 def assign_full(placed: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """Full matching: each control joins its nearest treated within the caliper.
+    """Full matching: sets of one treated and at least one control.
 
-    A treated row that attracts none joins the set owning its nearest control;
-    treated rows without any eligible control are left out.
+    Every treated row gets a control of its own first, by 1:1 pairing; every
+    control left over then joins the nearest paired treated row within the
+    caliper. Treated rows that no control is left for are left out.
     """
     caliper = cfg.caliper_width
+    pairs = stage(_pairs_of_large(placed, replace(cfg, max_controls_per_treatment=1)), "full-pairs")
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         treated = pdf["treatment"].to_numpy(dtype=bool)
-        names = _columns(ASSIGN_SCHEMA)
+        names = _columns(SETS_SCHEMA)
         if treated.all() or not treated.any():
             return pd.DataFrame([], columns=names)
         coords = np.vstack(pdf["coords"].to_numpy())
         cells = pdf["cell"].to_numpy()
-        score = pdf["pscore"].to_numpy(dtype=float)
         t_at, c_at = np.flatnonzero(treated), np.flatnonzero(~treated)
         gap, spot = solve.nearest_each(coords[c_at], coords[t_at], cells[t_at])
-        owner = cells[t_at][spot]
         within = gap <= caliper if caliper > 0 else np.ones(len(gap), dtype=bool)
-        near_gap, near_spot = solve.nearest_each(coords[t_at], coords[c_at], cells[c_at])
-        near_within = near_gap <= caliper if caliper > 0 else np.ones(len(near_gap), dtype=bool)
-
-        def part(at, is_treated, owners, near, gaps):
-            return pd.DataFrame({
-                "id_numeric": pdf["id_numeric"].iloc[0], "group": pdf["group"].iloc[0],
-                "cell": cells[at], "treatment": is_treated, "owner": owners, "near": near,
-                "distance": gaps, "pscore": score[at],
-            }, columns=names)
-
-        # the nearest control of a treated row is within the caliper of its own owner too
-        return pd.concat([
-            part(c_at[within], False, owner[within], 0, gap[within]),
-            part(t_at[near_within], True, owner[near_spot][near_within],
-                 cells[c_at][near_spot][near_within], near_gap[near_within]),
-        ])
-
-    salted = _salted(placed, _sizes(placed, cfg))
-    links = stage(
-        salted.groupBy(*STRATUM, "_salt").applyInPandas(nearest, ASSIGN_SCHEMA), "full-links"
-    )
-    label = F.concat("group", F.lit(":"), F.col("owner").cast("string")).alias("match_group")
-    controls = links.filter("NOT treatment")
-    roots = controls.select(*STRATUM, "owner").distinct()
-    best = links.filter("treatment").groupBy(*STRATUM, "cell").agg(
-        F.min(F.struct("distance", "near", "owner")).alias("best"), F.max("pscore").alias("pscore")
-    )
-    own = roots.select(*STRATUM, F.col("owner").alias("cell"), F.lit(True).alias("_own"))
-    treated = best.join(own, [*STRATUM, "cell"], "left").select(
-        *STRATUM, "cell", F.lit(True).alias("treatment"),
-        F.when(F.col("_own"), F.col("cell")).otherwise(F.col("best.owner")).alias("owner"),
-        F.when(F.col("_own"), F.lit(0.0)).otherwise(F.col("best.distance")).alias("distance"),
-        "pscore",
-    )
-    columns = [*STRATUM, "cell", "treatment", "owner", "distance", "pscore"]
-    return controls.select(*columns).unionByName(treated).select(
-        *STRATUM, "cell", "treatment", label, "distance", "pscore"
+        group = pdf["group"].iloc[0]
+        return pd.DataFrame({
+            "id_numeric": pdf["id_numeric"].iloc[0], "group": group, "cell": cells[c_at][within],
+            "treatment": False,
+            "match_group": [f"{group}:{owner}" for owner in cells[t_at][spot][within]],
+            "distance": gap[within], "pscore": pdf["pscore"].to_numpy(dtype=float)[c_at][within],
+        }, columns=names)
+
+    used = pairs.select(*STRATUM, "cell", "treatment")
+    mine = [*STRATUM, "cell", "treatment"]
+    paired = placed.filter("treatment").join(used, mine, "left_semi")
+    free = placed.filter("NOT treatment").join(used, mine, "left_anti")
+    rest = stage(paired.unionByName(free), "full-rest")
+    joined = _salted(rest, _sizes(rest, cfg)).groupBy(*STRATUM, "_salt").applyInPandas(
+        nearest, SETS_SCHEMA
     )
+    return pairs.unionByName(joined)
 
 
 def match_rows(placed, cfg: MatchConfig) -> DataFrame:

@@ -12,9 +12,7 @@ IN_PROGRESS = ("pending_merge", "merging")
 TRACKED = ("pending_merge", "merging", "merged")
 REUSABLE = ("exported", "merged", "failed")
 STALE_MINUTES = 15
-STALE_MESSAGE = (
-    "Reset by auto_merge: stuck in merge for >15 min (likely killed during deploy)"
-)
+STALE_MESSAGE = "Merge was under way for too long and has been given up"
 PERCENTILES = (1, 2, 5, 10, 25, 50, 75, 90, 95, 98, 99)
 CATEGORICAL_LIMIT = 50
 PROFILE_BINS = 20
@@ -53,7 +51,7 @@ def reset_stale(registry: DataFrame, now: Column) -> DataFrame:
         F.col("status").isin(*IN_PROGRESS) & (F.col("started_at") < cutoff), F.lit(False)
     )
     return registry.withColumns({
-        "error_message": F.when(stale, STALE_MESSAGE),
+        "error_message": F.when(stale, STALE_MESSAGE).otherwise(F.col("error_message")),
         "status": F.when(stale, "failed").otherwise(F.col("status")),
     })
 

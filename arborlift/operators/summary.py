@@ -227,8 +227,3 @@ def site_drilldown(yearly: DataFrame, sites: DataFrame) -> DataFrame:
         F.count("*").alias("n_years"), emitted.alias("has_emissions"),
     )
     return spans.join(ends, "site_id").withColumnRenamed("_post", "post_from")
-
-
-def one_site(yearly: DataFrame, site_id: str) -> DataFrame:
-    """Yearly rows of one site in order; the id is pushed to the scan."""
-    return yearly.filter(F.col("site_id") == site_id).orderBy("year")

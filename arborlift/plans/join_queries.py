@@ -34,7 +34,7 @@ SELECT id_numeric, g AS "group", nt AS n_treated, nc AS n_controls FROM
  (SELECT id_numeric, g, count(*) AS nt FROM px WHERE id_numeric IS NOT NULL GROUP BY ALL)
  JOIN (SELECT g, count(*) AS nc FROM px WHERE id_numeric IS NULL GROUP BY g) USING (g)""")
 def _(spark, d):
-    return matching.control_candidates(T.candidates(spark, d), T.treatment_key(spark, d), T.EXACT)
+    return matching.strata(T.candidates(spark, d), T.treatment_key(spark, d), T.EXACT)
 
 
 @query("join_shared_groups", cte(PIX) + """

@@ -137,14 +137,18 @@ def _fixed(spark: SparkSession, section: int, line) -> DataFrame:
 
 
 def _items(items: DataFrame, section: int) -> DataFrame:
-    """List members, each after the first led by a comma."""
-    first = items.agg(F.min("key").alias("_first"))
-    with_first = items.withColumn("_k", F.lit(1)).join(
-        F.broadcast(first.withColumn("_k", F.lit(1))), "_k"
-    )
-    comma = F.when(F.col("key") == F.col("_first"), "").otherwise(",")
-    return with_first.select(
-        F.lit(section).alias("section"), "key", F.concat(comma, F.col("entry")).alias("line")
+    """List members, each after the first led by a comma.
+
+    Equal members of equal key share a line, so the first line is told by its
+    content alone, also where keys repeat or are null (these come first).
+    """
+    lines = items.select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "entry").groupBy(
+        "key", "entry").agg(F.count("*").alias("_n"))
+    first = lines.agg(F.min(F.struct("key", "entry")).alias("_first"))
+    comma = F.when(F.struct("key", "entry") == F.col("_first"), "").otherwise(",")
+    repeated = F.array_join(F.array_repeat("entry", F.col("_n").cast("int")), ",")
+    return lines.join(F.broadcast(first)).select(
+        F.lit(section).alias("section"), "key", F.concat(comma, repeated).alias("line")
     )
 
 
@@ -160,7 +164,8 @@ def document(spark: SparkSession, pieces: list) -> DataFrame:
 
 
 def write_document(lines: DataFrame, path: str) -> None:
-    lines.orderBy("section", "key").select("line").write.mode("overwrite").text(path)
+    # of equal keys the one without a comma opens the list
+    lines.orderBy("section", "key", F.col("line").startswith(",")).select("line").write.mode("overwrite").text(path)
 
 
 def _feature(extra=()):

@@ -144,8 +144,26 @@ def test_longest_name(spark):
 def test_stale_reset(spark):
     rows = spark.createDataFrame([("a", "merging", "2024-01-01 00:00:00"), ("b", "merging", "2024-01-01 00:50:00"), ("c", "merged", "2024-01-01 00:00:00")],
                                  "covariate_name string, status string, t string").withColumn("started_at", F.to_timestamp("t"))
+    rows = rows.withColumn("error_message", F.concat(F.lit("old "), "covariate_name"))
     out = registry.reset_stale(rows, F.lit("2024-01-01 01:00:00").cast("timestamp"))
     assert {r.covariate_name: r.status for r in out.collect()} == {"a": "failed", "b": "merging", "c": "merged"}
+    messages = {r.covariate_name: r.error_message for r in out.collect()}
+    assert messages == {"a": registry.STALE_MESSAGE, "b": "old b", "c": "old c"}
+
+
+def test_lists_with_null_and_repeated_keys_are_valid(spark, tmp_path):
+    rows = [("b", '{"n":1}'), ("a", '{"n":2}'), ("a", '{"n":3}'), ("a", '{"n":3}'), (None, '{"n":4}'), (None, '{"n":4}')]
+    items = spark.createDataFrame(rows, "key string, entry string")
+    path = str(tmp_path / "list")
+    tables.write_document(tables.document(spark, ["[", items, "]"]), path)
+    assert [x["n"] for x in json.loads(read_text(path))] == [4, 4, 2, 3, 3, 1]
+
+
+def test_quantiles_with_infinite_values(spark):
+    values = [float("-inf"), -1.0, 0.0, 2.0, float("inf")]
+    df = spark.createDataFrame([("k", v) for v in values], "key string, x double")
+    got = {r.p: r.quantile for r in quantiles(df, ["key"], "x", [0.25, 0.5, 0.75]).collect()}
+    assert got == {0.25: -1.0, 0.5: 0.0, 0.75: 2.0}
 
 
 def test_lists_of_any_shape(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -26,16 +28,33 @@ def run(spark, sf, **changes):
 
 
 def brute_greedy(t, tc, c, cc, k, caliper):
-    pairs = sorted(
-        (float(np.sqrt(((t[i] - c[j]) ** 2).sum())), tc[i], cc[j], i, j)
-        for i in range(len(tc)) for j in range(len(cc))
-    )
-    used, got = set(), {i: [] for i in range(len(tc))}
-    for d, _, cell, i, j in pairs:
-        if (caliper == 0 or d <= caliper) and j not in used and len(got[i]) < k:
-            used.add(j)
-            got[i].append(cell)
-    return {i: sorted(v) for i, v in got.items() if len(v) == k}
+    """Passes of nearest pair first; units that stay short release their controls."""
+    gaps = {(i, j): float(np.sqrt(((t[i] - c[j]) ** 2).sum())) for i in range(len(tc)) for j in range(len(cc))}
+    used, done, left = set(), {}, list(range(len(tc)))
+    while True:
+        free = {i: sorted((gaps[i, j], cc[j], j) for j in range(len(cc))
+                          if j not in used and (caliper == 0 or gaps[i, j] <= caliper)) for i in left}
+        left = [i for i in left if len(free[i]) >= k]
+        if not left:
+            return {i: sorted(int(cc[j]) for j in v) for i, v in done.items()}
+        taken, got = set(), {i: [] for i in left}
+        for _, _, _, i, j in sorted((d, tc[i], cell, i, j) for i in left for d, cell, j in free[i]):
+            if j not in taken and len(got[i]) < k:
+                taken.add(j)
+                got[i].append(j)
+        complete = {i: v for i, v in got.items() if len(v) == k}
+        if not complete:
+            first = min(left, key=lambda i: (sum(d for d, _, _ in free[i][:k]), tc[i]))
+            complete = {first: [j for _, _, j in free[first][:k]]}
+        done |= complete
+        used |= {j for v in complete.values() for j in v}
+        left = [i for i in left if i not in complete]
+
+
+def test_incomplete_sets_release_their_controls():
+    t, c = np.array([[0.0], [0.9]]), np.array([[0.45], [1.3], [5.0]])
+    got = solve.greedy_pairs(t, np.arange(2), c, np.arange(3), 2, 0.5)
+    assert {i: [cell for cell, _ in v] for i, v in got.items()} == {1: [1, 0]}
 
 
 @pytest.mark.parametrize("dims", [1, 3])
@@ -92,17 +111,18 @@ def test_sample_sizes_and_determinism(spark, sf):
     assert cells.exceptAll(again).isEmpty() and again.exceptAll(cells).isEmpty()
 
 
-def test_large_cap_ranks_like_the_window(spark, sf):
+def test_sample_is_the_first_of_the_seeded_order(spark, sf):
     rows = matching.grouped_pixels(T.candidates(spark, sf), T.treatment_key(spark, sf), T.EXACT)
     treated = rows.filter("treatment").select("id_numeric", "group", "cell")
-    small = matching.sample_treated(treated, 9, 1)
-    limit = matching.WINDOW_LIMIT
-    matching.WINDOW_LIMIT = 0
-    try:
-        ranked = matching.sample_treated(treated, 9, 1)
-    finally:
-        matching.WINDOW_LIMIT = limit
-    assert small.exceptAll(ranked).isEmpty() and ranked.exceptAll(small).isEmpty()
+    got = {tuple(r) for r in matching.sample_treated(treated, 9, 1).collect()}
+    want = set()
+    order = {}
+    for r in treated.collect():
+        digest = hashlib.md5(f"1:{r.id_numeric}:{r.cell}".encode()).hexdigest()
+        order.setdefault((r.id_numeric, r.group), []).append((digest, r.cell))
+    for key, cells in order.items():
+        want |= {(*key, cell) for _, cell in sorted(cells)[:9]}
+    assert got == want
 
 
 def key_rows(df, columns):
@@ -138,7 +158,7 @@ def test_full_matching_sets(spark, sf):
         F.count_if("treatment").alias("t"), F.count_if(~F.col("treatment")).alias("c"),
         F.sum(F.when(~F.col("treatment"), F.col("match_weight"))).alias("w"),
     ).toPandas()
-    assert (sets.t >= 1).all() and (sets.c >= 1).all() and np.allclose(sets.w, sets.t)
+    assert len(sets) and (sets.t == 1).all() and (sets.c >= sets.t).all() and np.allclose(sets.w, sets.t)
     spread, _ = run(spark, sf, max_controls_per_treatment=0, local_rows=40)
     columns = ["id_numeric", "group", "cell", "treatment", "match_group", "match_weight"]
     pd.testing.assert_frame_equal(
@@ -283,7 +303,7 @@ def test_config_guards():
     with pytest.raises(ValueError):
         MatchConfig(covariates=("elev",), exact_match_vars=())
     with pytest.raises(ValueError):
-        config(caliper_width=6)
+        config(caliper_width=-1)
     with pytest.raises(ValueError):
         config(random_seed=0)
     with pytest.raises(ValueError):
