@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from arborlift.llm.base import ascii_lower, split_words, whole
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD, NO_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
+# the same words in a text that still has its upper case
+WORD, NO_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 
 
 def leak_words(text: str | Column) -> Column:
