@@ -45,12 +45,13 @@ def _moment_columns(covariates) -> list[Column]:
     for cov in covariates:
         for arm, mask in (("t", F.col("treatment")), ("c", ~F.col("treatment"))):
             x = F.when(mask, _finite(cov))
+            off = x - F.col(f"`{cov}|shift`")
             w = F.when(x.isNotNull(), F.col("match_weight"))
             out += [
                 F.count(x).alias(f"{cov}|{arm}|n"),
                 F.sum(w).alias(f"{cov}|{arm}|w"),
-                F.sum(w * x).alias(f"{cov}|{arm}|s1"),
-                F.sum(w * x * x).alias(f"{cov}|{arm}|s2"),
+                F.sum(w * off).alias(f"{cov}|{arm}|s1"),
+                F.sum(w * off * off).alias(f"{cov}|{arm}|s2"),
                 F.min(x).alias(f"{cov}|{arm}|lo"),
                 F.max(x).alias(f"{cov}|{arm}|hi"),
             ]
@@ -59,25 +60,33 @@ def _moment_columns(covariates) -> list[Column]:
 
 def _roll_up(by_site: DataFrame) -> DataFrame:
     """Whole-run moments from the site moments, a table of one row per site."""
-    how = {"n": F.sum, "w": F.sum, "s1": F.sum, "s2": F.sum, "lo": F.min, "hi": F.max}
+    how = {"n": F.sum, "w": F.sum, "s1": F.sum, "s2": F.sum, "lo": F.min, "hi": F.max, "shift": F.first}
     cols = [c for c in by_site.columns if c != "site_id"]
     everything = by_site.agg(*[how[c.rsplit("|", 1)[1]](F.col(f"`{c}`")).alias(c) for c in cols])
     return everything.select(F.lit(ALL_SCOPE).alias("site_id"), *[F.col(f"`{c}`") for c in cols])
 
 
 def covariate_moments(matches: DataFrame, covariates) -> DataFrame:
-    """Weighted moments per (scope, covariate) from a single pass.
+    """Weighted moments per (scope, covariate).
 
-    All covariates and both arms share one aggregation keyed on the site; the
+    Sums are taken of the distance from a covariate's plain mean (``shift``,
+    one row over all matches), so that values far from zero do not cancel. All
+    covariates and both arms share one aggregation keyed on the site; the
     whole-run scope is rolled up from it, so pixels are neither duplicated per
     scope nor per covariate.
     """
-    by_site = matches.groupBy("site_id").agg(*_moment_columns(covariates))
+    endless = F.lit(float("inf"))
+    shifts = matches.agg(*[
+        F.coalesce(F.avg(F.when(F.abs(_finite(c)) < endless, _finite(c))), F.lit(0.0)).alias(f"{c}|shift")
+        for c in covariates
+    ])
+    by_site = matches.join(F.broadcast(shifts)).groupBy("site_id").agg(
+        *_moment_columns(covariates), *[F.first(f"`{c}|shift`").alias(f"{c}|shift") for c in covariates])
     scopes = by_site.unionByName(_roll_up(by_site))
     parts = ("n", "w", "s1", "s2", "lo", "hi")
     entry = [
         F.struct(
-            F.lit(cov).alias("covariate"),
+            F.lit(cov).alias("covariate"), F.col(f"`{cov}|shift`").alias("shift"),
             *[F.col(f"`{cov}|{arm}|{p}`").alias(f"{arm}_{p}") for arm in "tc" for p in parts],
         )
         for cov in covariates
@@ -89,17 +98,20 @@ def balance(matches: DataFrame, covariates) -> DataFrame:
     """Standardized mean differences per site and over the whole run."""
     m = covariate_moments(matches, covariates)
 
-    def mean(arm: str) -> Column:
+    def off(arm: str) -> Column:
         return F.try_divide(F.col(f"{arm}_s1"), F.col(f"{arm}_w"))
 
+    def mean(arm: str) -> Column:
+        return F.col("shift") + off(arm)
+
     def variance(arm: str) -> Column:
-        spread = F.try_divide(F.col(f"{arm}_s2"), F.col(f"{arm}_w")) - mean(arm) * mean(arm)
+        spread = F.try_divide(F.col(f"{arm}_s2"), F.col(f"{arm}_w")) - off(arm) * off(arm)
         constant = F.col(f"{arm}_lo") == F.col(f"{arm}_hi")
         return F.when(constant, 0.0).otherwise(F.greatest(spread, F.lit(0.0)))
 
     enough = (F.col("t_n") >= 2) & (F.col("c_n") >= 2)
     m = m.withColumn("_sd", F.when(enough, F.sqrt((variance("t") + variance("c")) / 2)))
-    smd = F.when(F.col("_sd") > 0, (mean("t") - mean("c")) / F.col("_sd")).when(
+    smd = F.when(F.col("_sd") > 0, (off("t") - off("c")) / F.col("_sd")).when(
         F.col("_sd") == 0, 0.0
     )
     return m.select(

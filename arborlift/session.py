@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,23 @@ def build_session(app: str = "arborlift", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors of a cluster this package, once per context.
+
+    A local master runs where the package already is.
+    """
+    context = spark.sparkContext
+    if context.master.startswith("local") or getattr(context, "_arborlift_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="arborlift-")) / "arborlift.zip"  # served by the driver
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(home.rglob("*.py")):
+            out.write(file, file.relative_to(home.parent))
+    context.addPyFile(str(archive))
+    context._arborlift_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``, which all executors share.
 

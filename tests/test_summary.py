@@ -170,3 +170,14 @@ def test_warnings(spark):
     digest = {r.scope: (r.level, r.issues.count("; ")) for r in quality.warning_digest(got).collect()}
     assert digest == {"A": ("danger", 0), "B": ("danger", 2)}
     assert quality.caution_only(got).isEmpty()
+
+
+def test_balance_far_from_zero(spark):
+    rng = np.random.default_rng(2)
+    x = 1e8 + rng.normal(size=400)
+    rows = [("s", bool(i % 2), 1.0, float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "site_id string, treatment boolean, match_weight double, x double")
+    t, c = x[1::2] - 1e8, x[::2] - 1e8
+    want = (t.mean() - c.mean()) / np.sqrt((t.var() + c.var()) / 2)
+    for r in quality.balance(df, ("x",)).collect():
+        assert abs(r.smd - want) < 1e-5
