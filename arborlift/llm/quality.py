@@ -36,7 +36,7 @@ from arborlift.session import stage
 SYMBOLS = "#*$%&|<>"
 STATS = ("x1", "x2", "x3", "x4")
 #: Least spread of each statistic, and the width of a bin for medians.
-FLOORS, BIN = (0.15, 0.06, 0.12, 0.12), 0.01
+FLOORS, BIN = (0.15, 0.06, 0.3, 0.25), 0.01
 #: For four dimensions and support 0.75: makes the covariance of the nearest rows that of all.
 CONSISTENCY = 1.487
 STEPS, SUPPORT, CUTOFF, MIN_ROWS, RIDGE = 3, 0.75, 30.0, 20, 0.25
