@@ -17,10 +17,12 @@ draw one or two.
 Steps: texts of equal words are one; its signature is cut into bands; documents
 of a bucket are compared with the bucket's smallest id first (a group of
 thousands costs one comparison each), verified on the whole multisets, and
-joined into components; buckets that still hold several components then have
-every pair across components compared, leaving out only pairs within the
-largest one's own component. So any two texts that share a band are in one class
-or have been compared.
+joined into components. In buckets that still hold
+several components, the texts outside the largest one are compared with all others
+there that they can be similar to: two multisets of the wanted overlap share one of their
+rarest elements (their prefixes in one global order, as long as the sizes ask),
+so only texts that meet in such an element are pairs, and none is missed, however
+large the bucket. Components of the labels are the classes.
 
 Texts without words are alone in their class (null and empty ones too). Equal
 rows are copies. Ids must not be null for a class to be told: rows with a null id
@@ -45,6 +47,8 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 26, 5
 #: Characters of the texts that a task hashes at once.
 AT_ONCE = 1_500_000
 TO_UNIT = 2.0 ** -53
+#: Slots of the element counts that order prefixes, and how many of the fullest are told apart.
+SLOTS, FULLEST = 1 << 26, 400_000
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -144,6 +148,107 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return with_texts.select("u", "v", "u_text", "v_text").mapInPandas(_verifier(similarity), "u long, v long")
 
 
+def _elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of every element, repeats told apart by their number."""
+    text, element, weight = _bags(texts)
+    which = np.repeat(np.arange(len(text)), weight)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(weight) - weight, weight)
+    return text[which], shingles.mix(element[which] + nth.astype(np.uint64) * shingles.MIX1)
+
+
+def _slot_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in by_size(frames, "text", AT_ONCE):
+        slot, n = np.unique(_elements(frame["text"].tolist())[1] % np.uint64(SLOTS), return_counts=True)
+        yield pd.DataFrame({"slot": slot.astype(np.int64), "n": n})
+
+
+def _prefixes(shared, similarity: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in by_size(frames, "text", AT_ONCE):
+            text, element = _elements(frame["text"].tolist())
+            full, count = shared.value
+            slot = (element % np.uint64(SLOTS)).astype(np.int64)
+            place = np.minimum(np.searchsorted(full, slot), max(len(full) - 1, 0))
+            often = np.where(full[place] == slot, count[place], 0) if len(full) else np.zeros(len(slot), np.int64)
+            order = np.lexsort((element.view(np.int64), often, text))  # signed, as Spark orders it
+            text, element = text[order], element[order]
+            n = np.bincount(text, minlength=len(frame))
+            rank = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+            keep = rank < n[text] - np.ceil(similarity * n[text] - 1e-9) + 1
+            text, element, rank = text[keep], element[keep], rank[keep]
+            yield pd.DataFrame({
+                "id": frame["id"].to_numpy()[text], "root": frame["root"].to_numpy()[text], "small": frame["small"].to_numpy()[text],
+                "element": element.view(np.int64), "often": often[order][keep], "rank": rank, "n": n[text]})
+
+    return run
+
+
+def _prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of a ``small`` text and any of another root that may be similar: no similar one is left out.
+
+    Elements are ordered by how often they occur, then by hash. Any one order loses no pair; rare elements first
+    makes few, so the counts of the ``FULLEST`` hashed slots at most are told apart, and all others are rare.
+    """
+    counts = stage(texts.select("text").mapInPandas(_slot_counts, "slot long, n long").groupBy("slot").agg(
+        F.sum("n").alias("n")).where(F.col("n") > 1), "dedup-slots")
+    step = F.floor(4 * F.log2("n")).cast("int")
+    fits, least = 0, 1 << 30
+    for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("s")).collect():
+        fits += r["k"]
+        if fits > FULLEST:
+            break
+        least = r["s"]
+    found = counts.where(step >= least).orderBy("slot").toPandas()
+    shared = texts.sparkSession.sparkContext.broadcast(
+        (found["slot"].to_numpy(np.int64), found["n"].to_numpy(np.int64)))
+    rows = stage(texts.select("id", "root", "small", "text").mapInPandas(
+        _prefixes(shared, similarity), "id long, root long, small boolean, element long, often long, rank long, n long"), "dedup-prefixes")
+    # an edit makes several elements with the same texts: the first in order stands for all of them
+    code = F.xxhash64("id")
+    held = rows.groupBy("element", "often").agg(
+        F.count(F.lit(1)).alias("c"), F.bit_xor(code).alias("x"), F.bit_xor(F.xxhash64("id", code)).alias("y")).where("c > 1")
+    first = held.groupBy("c", "x", "y").agg(F.min(F.struct("often", "element")).alias("e")).select(
+        F.col("e.element").alias("element"))
+    # with each element go those before it in the text's order, so that a pair is made at its first common one only
+    held = rows.join(first, "element", "left_semi").groupBy("id", "root", "small", "n").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "element"))).alias("held"))
+    rows = stage(held.select(
+        "id", "root", "small", "n", F.posexplode("held").alias("at", "e"), F.transform("held", lambda x: x["element"]).alias("order"),
+    ).select("id", "root", "small", "n", "e.rank", "e.element", F.slice("order", F.lit(1), F.col("at")).alias("earlier")), "dedup-first")
+    a, b = rows.where("small").alias("a"), rows.alias("b")
+    least = F.ceil(similarity / (1 + similarity) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    meet = (
+        (F.col("a.element") == F.col("b.element")) & (F.col("a.root") != F.col("b.root"))
+        & ~F.arrays_overlap("a.earlier", "b.earlier") & (~F.col("b.small") | (F.col("a.id") < F.col("b.id")))
+        & (F.col("a.rank") <= F.col("a.n") - least) & (F.col("b.rank") <= F.col("b.n") - least))
+    return a.join(b, meet).select(
+        F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label) of every linked text that is not itself the smallest of its component.
+
+    Links lead to the smallest id of a bucket, so two steps along them leave few
+    components apart; only those go through the rounds of ``components``.
+    """
+    first = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("near"))
+    again = first.select(F.col("node").alias("_node"), F.col("near").alias("_near"))
+    near = stage(first.join(again, F.col("near") == F.col("_node"), "left").select(
+        "node", F.coalesce("_near", "near").alias("label")), "dedup-near")
+    joined = components(_apart(links, near))
+    return near.join(joined.select(F.col("node").alias("_node"), "root"), F.col("label") == F.col("_node"), "left").select(
+        "node", F.coalesce("root", "label").alias("label")).unionByName(
+        joined.where(F.col("node") != F.col("root")).join(near.select("node"), "node", "left_anti")
+        .select("node", F.col("root").alias("label")))
+
+
+def _apart(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between different labels, as links of labels."""
+    one = links.join(labels, F.col("u") == F.col("node"), "left").select(F.coalesce("label", "u").alias("u"), "v")
+    two = one.join(labels, F.col("v") == F.col("node"), "left").select("u", F.coalesce("label", "v").alias("v"))
+    return two.where(F.col("u") != F.col("v")).distinct()
+
+
 def near_classes(
     docs: DataFrame, *, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
     bands: int = BANDS, rows: int = ROWS,
@@ -170,24 +275,28 @@ def near_classes(
         "id", F.col("s.text").alias("text")), "dedup-texts")
     tested = members.where(F.col("id") != F.col("u")).select("u", F.col("id").alias("v")).distinct()
     links = stage(_verify(tested, wanted, similarity), "dedup-links")
-    roots = components(links)
-    placed = members.join(roots, F.col("id") == F.col("node"), "left").select(
-        "bucket", "id", F.coalesce("root", "id").alias("root"))
+    labels = stage(_labels(links), "dedup-labels")
+    placed = members.join(labels, F.col("id") == F.col("node"), "left").select(
+        "bucket", "id", F.coalesce("label", "id").alias("root"))
     by_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = by_root.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "root")).alias("largest")).where("k > 1").select(
         "bucket", F.col("largest.root").alias("largest"))
     left = stage(placed.join(mixed, "bucket"), "dedup-left")
-    small = left.where(F.col("root") != F.col("largest")).select(
-        F.col("bucket"), F.col("id").alias("a"), F.col("root").alias("a_root"), F.lit(True).alias("_"))
-    across = small.join(left.select("bucket", F.col("id").alias("b"), F.col("root").alias("b_root")), "bucket").where(
-        F.col("a_root") != F.col("b_root")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    apart_from_largest = F.max(F.col("root") != F.col("largest")).alias("small")
+    mixed_texts = stage(
+        wanted.join(left.groupBy("id", "root").agg(apart_from_largest), "id"), "dedup-mixed")
+    across = _prefix_pairs(mixed_texts, similarity)
     more = _verify(across.join(tested, ["u", "v"], "left_anti"), wanted, similarity)
-    edges = links.unionAll(more).unionAll(copies.select("u", "v"))
-    roots = components(edges)
-    every = signed.select("id").distinct()
-    return every.join(roots, F.col("id") == F.col("node"), "left").select(
-        F.col("id").alias("doc_id"), F.coalesce("root", "id").alias("class_id"))
+    apart = _apart(stage(more, "dedup-more"), labels)
+    joined = components(apart)
+    every = signed.select(F.col("id").alias("doc_id")).distinct()
+    lead = every.join(copies.groupBy("v").agg(F.min("u").alias("u")), F.col("doc_id") == F.col("v"), "left").select(
+        "doc_id", F.coalesce("u", "doc_id").alias("lead"))
+    led = lead.join(labels, F.col("lead") == F.col("node"), "left").select(
+        "doc_id", F.coalesce("label", "lead").alias("label"))
+    return led.join(joined, F.col("label") == F.col("node"), "left").select(
+        "doc_id", F.coalesce("root", "label").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
