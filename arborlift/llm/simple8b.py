@@ -18,14 +18,19 @@ BITS = np.concatenate([[64], 60 // COUNTS[1:]])
 LAST = len(COUNTS) - 1
 
 
+SHORT_WIDTHS = np.ceil(np.log2(np.maximum(np.arange(1 << 16), 1) + 1)).astype(np.uint8)
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value, at least 1."""
-    width = np.ones(values.shape, np.int64)
-    rest = values.astype(np.uint64)
+    if values.max(initial=0) < 1 << 16:
+        return SHORT_WIDTHS[values.astype(np.int64)]
+    width = np.ones(values.shape, np.uint8)
+    rest = values
     for step in (32, 16, 8, 4, 2, 1):
         more = rest >> np.uint64(step)
         big = more > 0
-        width += step * big
+        width += np.uint8(step) * big
         rest = np.where(big, more, rest)
     return width
 
@@ -35,41 +40,45 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     n = len(values)
     if n == 0:
         return np.empty(0, np.uint64), np.empty(0, np.uint32), 0
-    blocks = -(-n // BLOCK)
-    grid = np.zeros((blocks, BLOCK + int(COUNTS.max())), np.uint64)
-    grid[np.arange(n) // BLOCK, np.arange(n) % BLOCK] = values
+    blocks, room = -(-n // BLOCK), BLOCK + int(COUNTS.max())
+    grid = np.zeros((blocks, room), np.uint64)
+    full = np.zeros(blocks * BLOCK, np.uint64)
+    full[:n] = values
+    grid[:, :BLOCK] = full.reshape(blocks, BLOCK)
     width = _widths(grid)
-    best = np.where(width[:, :BLOCK] > 60, 0, 1)
+    best = (width[:, :BLOCK] <= 60).astype(np.uint8)
     widest = width[:, :BLOCK].copy()
     for selector in range(2, LAST + 1):
         for j in range(int(COUNTS[selector - 1]), int(COUNTS[selector])):
             np.maximum(widest, width[:, j:j + BLOCK], out=widest)
-        fits = widest <= BITS[selector]
-        if not fits.any():
-            break
-        best[fits] = selector
+        best[widest <= BITS[selector]] = selector
+    # all blocks go on together, a word each time
     sizes = np.full(blocks, BLOCK)
     sizes[-1] = n - BLOCK * (blocks - 1)
+    flat, chosen = grid.reshape(-1), best.reshape(-1)
     out = np.zeros((blocks, 2 * BLOCK), np.uint64)
     used, at, escapes = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64), 0
-    while len(live := np.flatnonzero(at < sizes)):
-        pos = at[live]
-        selector = best[live, pos]
-        count, bits = COUNTS[selector], BITS[selector].astype(np.uint64)
+    live = np.arange(blocks)
+    while len(live):
+        pos, first = at[live], live * room + at[live]
+        selector = chosen[live * BLOCK + pos]
+        count = np.minimum(COUNTS[selector], sizes[live] - pos)
+        bits = BITS[selector].astype(np.uint64)
         word = selector.astype(np.uint64) << np.uint64(60)
-        packed = selector > 0
+        packed, shift = selector > 0, np.zeros(len(live), np.uint64)
         for j in range(int(count.max())):
             on = packed & (count > j)
-            shift = np.where(on, np.uint64(j) * bits, np.uint64(0))
-            word |= np.where(on, grid[live, np.minimum(pos + j, grid.shape[1] - 1)] << shift, np.uint64(0))
+            word |= np.where(on, flat[first + np.where(on, j, 0)] << shift, np.uint64(0))
+            shift = np.where(on, shift + bits, np.uint64(0))
         out[live, used[live]] = word
         used[live] += 1
-        raw = live[~packed]
-        if len(raw):
+        if not packed.all():
+            raw = live[~packed]
             out[raw, used[raw]] = grid[raw, at[raw]]
             used[raw] += 1
             escapes += len(raw)
-        at[live] += count
+        at[live] = pos + count
+        live = live[at[live] < sizes[live]]
     offsets = np.concatenate([[0], np.cumsum(used)[:-1]]).astype(np.uint32)
     return out[np.arange(out.shape[1]) < used[:, None]], offsets, escapes
 

@@ -20,6 +20,7 @@ empty table gives a table without groups. No text is cut; a task holds a group,
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from arborlift.llm import simple8b
 from arborlift.llm.base import whole
 
-GROUP = 1 << 16
+GROUP = 1 << 18
 WRITTEN = (
     "part int, `group` int, first long, n_ids long, escapes int, words binary, offsets binary, "
     "ids array<long>, nulls array<boolean>, lengths array<int>"
@@ -80,24 +81,32 @@ def write_token_files(
     ordered.mapInPandas(_coder(vocabulary, end_id), WRITTEN).write.parquet(path)
 
 
-def _decoder(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            ids = simple8b.decode(
-                np.frombuffer(row.words, "<u8"), np.frombuffer(row.offsets, "<u4"), row.n_ids, row.escapes).astype("<u4")
-            ends = np.cumsum(np.asarray(row.lengths, np.int64))
-            starts = ends - row.lengths
-            yield pd.DataFrame({
-                "doc_id": row.ids, "gone": row.nulls, "start": row.before + row.first + starts, "n_tokens": row.lengths,
-                "ids": [ids[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)],
-            })
+def _decoder(with_ids: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                ids = simple8b.decode(
+                    np.frombuffer(row.words, "<u8"), np.frombuffer(row.offsets, "<u4"), row.n_ids, row.escapes).astype("<u4")
+                ends = np.cumsum(np.asarray(row.lengths, np.int64))
+                starts = ends - row.lengths
+                each = [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pd.DataFrame({
+                    "doc_id": row.ids, "gone": row.nulls, "start": row.before + row.first + starts, "n_tokens": row.lengths,
+                    "ids_crc32": [zlib.crc32(x) for x in each], "ids": [x.tobytes() if with_ids else None for x in each],
+                })
+
+    return run
+
 
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) per document.
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) per document."""
+    Without ids the documents are read all the same, for their checksums.
+    """
     groups = spark.read.parquet(path)
     totals = groups.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per written part
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    docs = groups.join(before, "part").mapInPandas(
-        _decoder, "doc_id long, gone boolean, start long, n_tokens long, ids binary")
-    return docs.select(F.when(~F.col("gone"), F.col("doc_id")).alias("doc_id"), "start", "n_tokens", "ids")
+    docs = groups.join(F.broadcast(before), "part").mapInPandas(
+        _decoder(with_ids), "doc_id long, gone boolean, start long, n_tokens long, ids_crc32 long, ids binary")
+    docs = docs.withColumn("doc_id", F.when(~F.col("gone"), F.col("doc_id"))).drop("gone")
+    return docs if with_ids else docs.drop("ids")

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
-
 from arborlift.llm import packing, token_files
 from arborlift.llm.base import query, table
 from arborlift.session import shared_path
@@ -18,11 +13,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _checksums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield frame[["doc_id", "start", "n_tokens"]].assign(ids_crc32=[zlib.crc32(b) for b in frame["ids"]])
-
-
 @query("op7_best_fit_packing")
 def _(spark, d):
     cut = packing.pieces(table(spark, d, "documents"), vocabulary("word_bpe_49k.json"))
@@ -33,6 +23,4 @@ def _(spark, d):
 def _(spark, d):
     path = shared_path(spark, "token-files")
     token_files.write_token_files(table(spark, d, "documents"), path, vocabulary("byte_bpe_50k.json"))
-    read = token_files.read_token_files(spark, path)
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return read.mapInPandas(_checksums, schema)
+    return token_files.read_token_files(spark, path, with_ids=False)

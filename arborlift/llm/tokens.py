@@ -18,9 +18,19 @@ import regex
 
 #: Words kept by a worker: at most two times as many.
 KEPT_WORDS = 250_000
-#: White space that needs the whole encoder where spaces are part of tokens.
-ODD = re.compile(r"[^\S \n]|[ \n][ \n]|\x00")
-OTHER_SPACE = re.compile(r"[^\S \n\t\r\x0b\x0c]")
+#: White space other than spaces, line ends, tabs and the like, and the mark that parts units here.
+RARE_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\0"
+#: What also needs the whole encoder where spaces are part of tokens.
+UNEVEN = ("\t", "\r", "\x0b", "\x0c", "  ", "\n\n", " \n", "\n ")
+
+
+def _has_any(text: str, parts) -> bool:
+    for part in parts:  # each a plain search, many times faster than one expression for all
+        if part in text:
+            return True
+    return False
+
+
 # How the two vocabularies part words.
 WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 BYTE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
@@ -54,7 +64,7 @@ class Encoder:
         self.model = self.whole.model
         with open(path, encoding="utf-8") as f:
             self.drops_space = bool(json.load(f)["normalizer"])
-        self.lately: dict[str, bytes] = {}
+        self.lately = _Words(self._word)
         self.before: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
@@ -74,19 +84,13 @@ class Encoder:
         return self._bytes([t.id for t in self.model.tokenize(letters)])
 
     def _word(self, word: str) -> bytes:
-        core = word.rstrip(MARKS)
-        if core != word and core:
-            if core.lstrip(" ").isalpha():  # letters and marks are different pre-tokens
-                return self._kept(core) + self._kept(word[len(core):])
-        return self._kept(word)
-
-    def _kept(self, word: str) -> bytes:
-        ids = self.lately.get(word)
-        if ids is not None:
-            return ids
+        """Ids of a word that is not among the latest; they are kept for the next time."""
         ids = self.before.get(word)
         if ids is None:
-            if not PLAIN.match(word):
+            core = word.rstrip(MARKS)
+            if core and core != word and core[core[0] == " ":].isalpha():
+                ids = self.lately[core] + self.lately[word[len(core):]]  # letters and marks are different pre-tokens
+            elif not PLAIN.match(word):
                 ids = self._ids(word)
             elif word[word[0] == " ":].isalpha():
                 ids = self._letters(word.lower() if self.drops_space else word)
@@ -94,25 +98,30 @@ class Encoder:
                 parts = WORD_PARTS.findall(word.lower()) if self.drops_space else BYTE_PARTS.findall(word)
                 ids = b"".join([self._letters(p) for p in parts])
         if len(self.lately) >= KEPT_WORDS:
-            self.before, self.lately = self.lately, {}
+            self.before = dict(self.lately)
+            self.lately.clear()
         self.lately[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
+        if _has_any(text, RARE_SPACE) or (not self.drops_space and _has_any(text, UNEVEN)):
+            return self._ids(text)
         if self.drops_space:
-            if OTHER_SPACE.search(text):
-                return self._ids(text)
             words = text.split()
         else:
-            if ODD.search(text):
-                return self._ids(text)
-            words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        get = self.lately.get
-        found = [get(w) for w in words]
-        try:
-            return b"".join(found)
-        except TypeError:
-            return b"".join([self._word(w) if b is None else b for w, b in zip(words, found, strict=True)])
+            words = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return b"".join(map(self.lately.__getitem__, words))
+
+
+class _Words(dict):
+    """Ids by word; a word that is missing is worked out."""
+
+    def __init__(self, work_out) -> None:
+        super().__init__({"": b""})
+        self.work_out = work_out
+
+    def __missing__(self, word: str) -> bytes:
+        return self.work_out(word) if word else b""
 
 
 _READY: dict[str, Encoder] = {}
