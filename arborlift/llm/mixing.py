@@ -28,6 +28,7 @@ one half and counts are zero. Other columns take no part.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,9 +44,9 @@ from arborlift.session import stage
 
 ORDERS, END, GAP = 6, 10, 32
 #: Tables of 65,536 slots by the length of the context.
-BLOCKS, SLOTS = (1, 1, 8, 32, 64, 128), 1 << 16
+BLOCKS, SLOTS = (1, 1, 4, 16, 48, 96), 1 << 16
 FIRST = np.concatenate([[0], np.cumsum(BLOCKS)]).astype(np.int64)
-HEAD_WORDS, AT_ONCE, RUNS_AT_ONCE = 1_000_000, 4_000_000, 60_000
+HEAD_WORDS, AT_ONCE, RUNS_AT_ONCE = 1_000_000, 3_000_000, 60_000
 #: Added to both counts; steps of the adaptive map; rate, batch and rounds of learning.
 PRIOR, LEVELS, RATE, BATCH, EPOCHS = 0.3, 33, 0.1, 256, 3
 GATES, LEARN_PARTS = 8 * (ORDERS + 1), 12
@@ -147,6 +148,20 @@ class Model:
     refined: np.ndarray
     odds: np.ndarray = field(default_factory=lambda: np.empty(0, np.float16))
 
+    def __getstate__(self) -> dict:
+        """Packed for the way to the tasks: most slots are empty in small corpora."""
+        state = dict(self.__dict__)
+        for name in ("counts", "odds"):
+            x = state[name]
+            state[name] = (x.dtype.str, x.shape, zlib.compress(x.tobytes(), 1))
+        return state
+
+    def __setstate__(self, state: dict) -> None:
+        for name in ("counts", "odds"):
+            kind, shape, data = state[name]
+            state[name] = np.frombuffer(zlib.decompress(data), kind).reshape(shape)
+        self.__dict__.update(state)
+
     def settle(self) -> None:
         """Keep log-odds in place of counts: all that scoring needs."""
         self.odds = np.empty(self.counts.shape[1], np.float16)
@@ -227,10 +242,10 @@ def train(docs: DataFrame) -> tuple[DataFrame, Model]:
     ).groupBy("order", "key").agg(F.sum("n").alias("n"))
     blocks = F.element_at(F.array(*[F.lit(b) for b in BLOCKS]), F.col("order") + 1)
     block = F.expr("(shiftright(key, 8) % 1000003)") % blocks
-    filled = by_order.withColumn("block", block.cast("int")).repartition(F.col("order"), F.col("block")).mapInPandas(
-        _fill, "order int, block int, zeros binary, ones binary")
+    filled = stage(by_order.withColumn("block", block.cast("int")).repartition(F.col("order"), F.col("block")).mapInPandas(
+        _fill, "order int, block int, zeros binary, ones binary"), "mixing-slots")
     counts = np.zeros((2, int(FIRST[-1]) * SLOTS), np.uint16)
-    for row in filled.toLocalIterator():  # as many rows as there are blocks
+    for row in filled.coalesce(8).toLocalIterator():  # as many rows as there are blocks
         at = int(FIRST[row["order"]] + row["block"]) * SLOTS
         counts[0, at:at + SLOTS] = np.frombuffer(row["zeros"], "<u2")
         counts[1, at:at + SLOTS] = np.frombuffer(row["ones"], "<u2")
@@ -242,7 +257,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, Model]:
     for epoch in range(EPOCHS + 1):
         shared = spark.sparkContext.broadcast(model)
         found = learn.mapInPandas(_learner(shared, epoch == EPOCHS), schema).collect()  # a row for each partition
-        shared.unpersist()
+        shared.destroy()
         if not found:
             break
         if epoch < EPOCHS:
