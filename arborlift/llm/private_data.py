@@ -52,7 +52,7 @@ DIGIT = re.compile(r"[0-9]")
 LIKE_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+@:/=-]*[A-Za-z0-9]")
 
 MIN_SEEDS, ROUNDS, LEAST_SCORE = 3, 3, 0.5
-BROADCAST_PATTERNS, AT_ONCE, CONTEXT = 1_000_000, 4_000_000, 256
+BROADCAST_PATTERNS, AT_ONCE, CONTEXT = 1_000_000, 1_000_000, 256
 
 Span = tuple[str, int, int]
 
@@ -89,7 +89,7 @@ def _luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """Spans of the four formats, by start, then kind."""
     found: list[Span] = [("email", a, b) for a, b in _emails(text)]
-    if DIGIT.search(text):
+    if any(d in text for d in "0123456789"):
         found += [("ip", a, b) for a, b in _ips(text)]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14:
@@ -170,7 +170,7 @@ def _look(shared):
         kept = shared.value if shared is not None else None
         for frame in by_size(frames, "text", AT_ONCE):
             texts = frame["text"].tolist()
-            h, t, start, end = shingles.placed_words(texts)
+            h, t, start, end, digits = shingles.placed_words(texts)
             codes, at = [], []
             if len(h) > 1:
                 i = np.flatnonzero(t[1:] == t[:-1]) + 1
@@ -190,6 +190,8 @@ def _look(shared):
             yield pd.DataFrame({
                 "pattern": known, "places": n, "is_place": True, "doc_id": 0, "gone": False, "text_hash": 0,
                 "instance": 0, "first": 0, "last": 0})
+            like_id = (digits[at] > 0) & (end[at] - start[at] >= 5)  # before any text is looked at
+            code, at = code[like_id], at[like_id]
             rows, base = [], {}
             docs, gone, hashes = (frame[c].tolist() for c in ("doc_id", "gone", "text_hash"))
             for k, p in zip(at.tolist(), code.tolist(), strict=True):

@@ -43,8 +43,8 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return placed_words(texts)[:2]
 
 
-def placed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and text of every word, and its first byte and the byte after it within the text.
+def placed_words(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Hash and text of every word, its first byte and the byte after it within the text, and its number of digits.
 
     Words are runs without white space, lower-cased (A-Z). A word's hash is that
     of its UTF-8 bytes, so equal words have equal hashes anywhere.
@@ -52,7 +52,7 @@ def placed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     data = "\n".join(texts).encode()
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
-        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3
+        return np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 4
     space = SPACES[raw]
     start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
@@ -65,7 +65,8 @@ def placed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     ends = np.cumsum(size)
     text = np.searchsorted(ends, start, side="right")
     first = (ends - size)[text]
-    return hashes, text, start - first, end - first
+    digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57), dtype=np.int32)])
+    return hashes, text, start - first, end - first, digits[end] - digits[start]
 
 
 def runs(hashes: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
