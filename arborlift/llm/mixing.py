@@ -2,19 +2,24 @@
 
 The model reads the words of a text (white space parts them, A-Z lower-cased),
 each followed by one space, then one end byte, and predicts every bit. Six
-predictors look at the last 0 to 5 bytes: a context and the bits of the byte so
-far are hashed to a slot that counts zeros and ones. Their log-odds are combined
+predictors look at the last 0 to 5 bytes: for a context and the bits of the byte
+so far, zeros and ones are counted. Their log-odds are combined
 by weights that a gate chooses (bit position and the longest context seen);
 weights are learned online, and an adaptive map refines the mixed probability.
 
 In Spark: tasks count runs of six bytes and words of the training texts, and one
-aggregation sums them over the corpus; all slots follow from the sums, as the
-bits of a byte are fixed by it. Tables have a fixed size (``BLOCKS``), whatever
-the corpus. Weights are learned over all distinct runs, weighted by their
+aggregation sums them over the corpus; all counts follow from the sums, as the
+bits of a byte are fixed by it. Counts are exact: no two contexts share one. The
+distinct runs are parted by the last three bytes of their context, so that a part
+has all that contexts of three bytes and more ask for; there are as many parts
+as the corpus needs. Shorter contexts, of which bytes allow 65,793 in all, go to every task.
+
+Weights are learned over all distinct runs, weighted by their
 counts, each with one occurrence of its own taken out of the counts it sees;
-every task learns from its runs one batch after another, and the tasks' weights
-are averaged. The probability of a byte depends on its run alone, so a task
-computes it once for equal runs.
+every task learns from its parts one batch after another, and the tasks' weights
+are averaged. The probability of a byte depends on its run alone: batches of
+texts ask the parts for their distinct runs, a part computes each of these once, and
+the answers meet their batch again.
 
 Word counts grow without bound: words frequent enough to be among the first
 ``HEAD_WORDS`` are broadcast, the others meet their counts in a join. Words are
@@ -28,14 +33,13 @@ one half and counts are zero. Other columns take no part.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlift.llm import shingles
@@ -43,13 +47,14 @@ from arborlift.llm.base import by_size, whole
 from arborlift.session import stage
 
 ORDERS, END, GAP = 6, 10, 32
-#: Tables of 65,536 slots by the length of the context.
-BLOCKS, SLOTS = (1, 1, 4, 16, 48, 96), 1 << 16
-FIRST = np.concatenate([[0], np.cumsum(BLOCKS)]).astype(np.int64)
+#: Orders below are counted in a table for all tasks, the others in parts.
+PARTED, SPREAD = 3, 0x9E3779B1
+#: The least number of parts; distinct runs, and bytes of text, for each part beyond it.
+LEAST_PARTS, RUNS_A_PART, BYTES_A_PART = 12, 1_000_000, 16_000_000
 HEAD_WORDS, AT_ONCE, RUNS_AT_ONCE = 1_000_000, 3_000_000, 60_000
 #: Added to both counts; steps of the adaptive map; rate, batch and rounds of learning.
 PRIOR, LEVELS, RATE, BATCH, EPOCHS = 0.3, 33, 0.1, 256, 3
-GATES, LEARN_PARTS = 8 * (ORDERS + 1), 12
+GATES = 8 * (ORDERS + 1)
 RUN, WORD, TEXT = 0, 1, 2
 
 
@@ -100,91 +105,117 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-def _slots(run: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """First slot of the block, and hash of the context, for each order."""
-    base, code = [], []
-    for order in range(ORDERS):
-        context = (run >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
-        block = (context % np.uint64(1_000_003)) % np.uint64(BLOCKS[order])
-        base.append((FIRST[order] + block.astype(np.int64)) * SLOTS)
-        code.append((shingles.mix(context * np.uint64(8) + np.uint64(order) + shingles.ODD_STEP) >> np.uint64(20)).astype(np.int64) & (SLOTS - 1))
-    return base, code
+def part_of(run: np.ndarray, parts: int) -> np.ndarray:
+    """Part of the tables that has the run's contexts of three bytes and more."""
+    context = (run >> np.uint64(8)) & np.uint64(0xFFFFFF)
+    return ((context * np.uint64(SPREAD) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
+
+def _part_column(parts: int) -> Column:
+    context = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))
+    return (F.shiftright(context * F.lit(SPREAD), 20) % parts).cast("int")
 
 
 def _node(byte: np.ndarray, bit: int) -> np.ndarray:
     return (1 << bit) | (byte >> (8 - bit))
 
 
-def _slot(base: np.ndarray, code: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return base + (code ^ ((node * 0x9E37) & (SLOTS - 1)))
+Table = tuple[np.ndarray, np.ndarray]
+
+
+def table_of(run: np.ndarray, n: np.ndarray, order: int) -> Table:
+    """Distinct (context and byte) in order, and the counts before each."""
+    key = run & np.uint64((1 << (8 * (order + 1))) - 1)
+    by = np.argsort(key, kind="stable")
+    key, upto = key[by], np.cumsum(n[by])
+    last = np.flatnonzero(np.append(key[1:] != key[:-1], True)) if len(key) else np.empty(0, np.int64)
+    return key[last], np.concatenate([[0], upto[last]])
+
+
+def node_counts(tables: list[Table], run: np.ndarray) -> np.ndarray:
+    """Zeros and ones seen after each run's contexts and bits so far: bit x 2 x runs x orders."""
+    out = np.empty((8, 2, len(run), ORDERS), np.float32)
+    byte = run & np.uint64(255)
+    for order, (key, upto) in enumerate(tables):
+        context = run & np.uint64(((1 << (8 * order)) - 1) << 8)
+        low = upto[np.searchsorted(key, context)]
+        high = upto[np.searchsorted(key, context + np.uint64(256))]
+        for bit in range(8):
+            half = np.uint64(1 << (7 - bit))
+            first = context + (byte & ~(half + half - np.uint64(1)))
+            middle = upto[np.searchsorted(key, first + half)]
+            out[bit, 0, :, order], out[bit, 1, :, order] = middle - low, high - middle
+            one = (byte & half) > 0
+            low, high = np.where(one, middle, low), np.where(one, high, middle)
+    return out
+
+
+def _packed(key: np.ndarray) -> bytes:
+    """Six bytes of each key, byte by byte: sorted keys compress well so."""
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(6, -1).T
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
-def _fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Slot counts of the blocks of this partition; rows are (order, context and byte, n)."""
-    held: dict[tuple[int, int], np.ndarray] = {}
+HELD = "part int, keys binary, n binary"
+
+
+def _hold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each part of this partition, which has all of its runs."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for frame in frames:
-        for (order, block), part in frame.groupby(["order", "block"]):
-            key, n = part["key"].to_numpy().astype(np.uint64), part["n"].to_numpy().astype(np.float64)
-            table = held.setdefault((order, block), np.zeros((2, SLOTS)))
-            _, code = _slots(key)
-            byte = (key & np.uint64(255)).astype(np.int64)
-            for bit in range(8):
-                slot = _slot(np.int64(0), code[order], _node(byte, bit))
-                one = (byte >> (7 - bit)) & 1
-                for v in (0, 1):
-                    table[v] += np.bincount(slot[one == v], n[one == v], SLOTS)
-    for (order, block), table in held.items():
-        scale = np.maximum(table.max(axis=0) / 65535, 1)
-        small = np.ceil(table / scale).clip(0, 65535).astype("<u2")
-        yield pd.DataFrame([{"order": order, "block": block, "zeros": small[0].tobytes(), "ones": small[1].tobytes()}])
+        for part, rows in frame.groupby("part"):
+            held.setdefault(part, []).append((rows["key"].to_numpy().astype(np.uint64), rows["n"].to_numpy().astype(np.int64)))
+    while held:
+        part, pieces = held.popitem()
+        key, n = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        by = np.argsort(key)
+        yield pd.DataFrame([{"part": part, "keys": _packed(key[by]), "n": n[by].astype("<i8").tobytes()}])
 
 
 @dataclass
 class Model:
-    """Slot counts (2 x slots), weights by gate, and the adaptive map by node and level."""
+    """Weights by gate, the adaptive map by node and level, and counts: those of short contexts, and the parts in Spark."""
 
-    counts: np.ndarray
     weights: np.ndarray
     refined: np.ndarray
-    odds: np.ndarray = field(default_factory=lambda: np.empty(0, np.float16))
+    low: list[Table]
+    parts: int
+    held: DataFrame | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        """Packed for the way to the tasks: most slots are empty in small corpora."""
-        state = dict(self.__dict__)
-        for name in ("counts", "odds"):
-            x = state[name]
-            state[name] = (x.dtype.str, x.shape, zlib.compress(x.tobytes(), 1))
-        return state
-
-    def __setstate__(self, state: dict) -> None:
-        for name in ("counts", "odds"):
-            kind, shape, data = state[name]
-            state[name] = np.frombuffer(zlib.decompress(data), kind).reshape(shape)
-        self.__dict__.update(state)
-
-    def settle(self) -> None:
-        """Keep log-odds in place of counts: all that scoring needs."""
-        self.odds = np.empty(self.counts.shape[1], np.float16)
-        for at in range(0, len(self.odds), 1 << 20):
-            n = self.counts[:, at:at + (1 << 20)].astype(np.float32) + np.float32(PRIOR)
-            self.odds[at:at + (1 << 20)] = np.log(n[1] / n[0])
-
-
-def _inputs(model: Model, run: np.ndarray, bit: int, places, leave_out: bool):
+        return self.__dict__ | {"held": None}  # tasks are given the rows of their parts
+
+    def tables(self, key: np.ndarray, n: np.ndarray) -> list[Table]:
+        return self.low + [table_of(key, n, order) for order in range(PARTED, ORDERS)]
+
+    def read(self, run: np.ndarray) -> list[Table]:
+        """Tables of the parts that some few runs ask for, read by the driver."""
+        rows = self.held.where(F.col("part").isin(np.unique(part_of(run, self.parts)).tolist())).collect() if self.held is not None else []
+        return self.tables(*_runs_of(rows))
+
+
+def _runs_of(rows) -> tuple[np.ndarray, np.ndarray]:
+    key = [_unpacked(r["keys"]) for r in rows]
+    n = [np.frombuffer(r["n"], "<i8") for r in rows]
+    return np.concatenate([np.empty(0, np.uint64), *key]), np.concatenate([np.empty(0, np.int64), *n])
+
+
+def _inputs(counts: np.ndarray, run: np.ndarray, bit: int, leave_out: bool):
     """Log-odds of each order with a constant, the gate, the node and the bit itself."""
-    base, code = places
     byte = (run & np.uint64(255)).astype(np.int64)
     node, one = _node(byte, bit), (byte >> (7 - bit)) & 1
+    n0, n1 = counts[bit]
+    if leave_out:
+        n0, n1 = n0 - (1 - one)[:, None].astype(np.float32), n1 - one[:, None].astype(np.float32)
     x = np.empty((len(run), ORDERS + 1), np.float32)
+    x[:, :ORDERS] = np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)))
     longest = np.zeros(len(run), np.int64)
     for order in range(ORDERS):
-        slot = _slot(base[order], code[order], node)
-        if leave_out:
-            n0 = model.counts[0, slot].astype(np.float32) - (1 - one)
-            n1 = model.counts[1, slot].astype(np.float32) - one
-            x[:, order] = np.log((np.maximum(n1, 0) + np.float32(PRIOR)) / (np.maximum(n0, 0) + np.float32(PRIOR)))
-        else:
-            x[:, order] = model.odds[slot]
         longest[x[:, order] != 0] = order + 1
     x[:, ORDERS] = 0.3
     return x, bit * (ORDERS + 1) + longest, node, one
@@ -199,33 +230,39 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 def _learner(shared, refine: bool):
+    """What to sum for each weight (share times weight, share) or cell of the map (all, ones)."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: Model = shared.value
         weights, power = model.weights.copy(), np.full_like(model.weights, 1e-2)
         seen, table, total = np.zeros(GATES), np.zeros((2, 256 * LEVELS)), 0.0
-        for frame in frames:
-            for at in range(0, len(frame), BATCH):
-                key = frame["key"].to_numpy()[at:at + BATCH].astype(np.uint64)
-                n = frame["n"].to_numpy()[at:at + BATCH].astype(np.float64)
-                total += n.sum()
-                places = _slots(key)
-                for bit in range(8):
-                    x, gate, node, one = _inputs(model, key, bit, places, True)
-                    logit = np.einsum("ij,ij->i", x, weights[gate])
-                    if refine:
-                        cell = node * LEVELS + _level(logit)
-                        table[0] += np.bincount(cell, n, 256 * LEVELS)
-                        table[1] += np.bincount(cell, n * one, 256 * LEVELS)
-                        continue
-                    share = np.bincount(gate, n, GATES)
-                    step = np.zeros_like(weights)
-                    np.add.at(step, gate, ((one - _squash(logit)) * n / share[gate])[:, None] * x)
-                    power += step * step
-                    weights += RATE * step / np.sqrt(power)
-                    seen += share
+        for part in (row for frame in frames for row in frame.to_dict("records")):
+            keys, numbers = _runs_of([part])
+            tables = model.tables(keys, numbers)
+            for begin in range(0, len(keys), RUNS_AT_ONCE):
+                many = keys[begin:begin + RUNS_AT_ONCE]
+                every = node_counts(tables, many)
+                for at in range(0, len(many), BATCH):
+                    key, counts = many[at:at + BATCH], every[:, :, at:at + BATCH]
+                    n = numbers[begin + at:begin + at + len(key)].astype(np.float64)
+                    total += n.sum()
+                    for bit in range(8):
+                        x, gate, node, one = _inputs(counts, key, bit, True)
+                        logit = np.einsum("ij,ij->i", x, weights[gate])
+                        if refine:
+                            cell = node * LEVELS + _level(logit)
+                            table[0] += np.bincount(cell, n, 256 * LEVELS)
+                            table[1] += np.bincount(cell, n * one, 256 * LEVELS)
+                            continue
+                        share = np.bincount(gate, n, GATES)
+                        step = np.zeros_like(weights)
+                        np.add.at(step, gate, ((one - _squash(logit)) * n / share[gate])[:, None] * x)
+                        power += step * step
+                        weights += RATE * step / np.sqrt(power)
+                        seen += share
         if total:
-            yield pd.DataFrame([{
-                "weights": weights.astype("<f8").tobytes(), "seen": seen.astype("<f8").tobytes(), "map": table.astype("<f8").tobytes()}])
+            a, b = table if refine else ((seen[:, None] * weights).ravel(), np.repeat(seen, ORDERS + 1))
+            yield pd.DataFrame({"cell": np.arange(len(a)), "a": a, "b": b})
 
     return run
 
@@ -237,55 +274,44 @@ def train(docs: DataFrame) -> tuple[DataFrame, Model]:
         docs.select("text").mapInPandas(_count, "kind int, key long, n long")
         .groupBy("kind", "key").agg(F.sum("n").alias("n")), "mixing-counts")
     runs = counted.where(F.col("kind") == RUN).select("key", "n")
-    by_order = runs.select("n", "key", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("order")).select(
-        "order", F.col("key").bitwiseAND(F.expr("shiftleft(1L, 8 * (order + 1)) - 1")).alias("key"), "n",
-    ).groupBy("order", "key").agg(F.sum("n").alias("n"))
-    blocks = F.element_at(F.array(*[F.lit(b) for b in BLOCKS]), F.col("order") + 1)
-    block = F.expr("(shiftright(key, 8) % 1000003)") % blocks
-    filled = stage(by_order.withColumn("block", block.cast("int")).repartition(F.col("order"), F.col("block")).mapInPandas(
-        _fill, "order int, block int, zeros binary, ones binary"), "mixing-slots")
-    counts = np.zeros((2, int(FIRST[-1]) * SLOTS), np.uint16)
-    for row in filled.coalesce(8).toLocalIterator():  # as many rows as there are blocks
-        at = int(FIRST[row["order"]] + row["block"]) * SLOTS
-        counts[0, at:at + SLOTS] = np.frombuffer(row["zeros"], "<u2")
-        counts[1, at:at + SLOTS] = np.frombuffer(row["ones"], "<u2")
+    size = runs.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    parts = max(LEAST_PARTS, -(-size["v"] // RUNS_A_PART), -(-size["n"] // BYTES_A_PART))
+    held = stage(runs.withColumn("part", _part_column(parts)).repartitionById(parts, "part").mapInPandas(_hold, HELD), "mixing-parts")
+    # short contexts: as many rows as there are runs of three bytes
+    short = runs.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * PARTED)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    key, n = short["key"].to_numpy().astype(np.uint64), short["n"].to_numpy().astype(np.int64)
     weights = np.full((GATES, ORDERS + 1), 0.3)
     weights[:, ORDERS] = 0
-    model = Model(counts, weights, np.zeros((256, LEVELS)))
-    learn = stage(runs.repartition(LEARN_PARTS, "key").sortWithinPartitions("key"), "mixing-runs")
-    schema = "weights binary, seen binary, map binary"
+    model = Model(weights, np.zeros((256, LEVELS)), [table_of(key, n, order) for order in range(PARTED)], parts, held)
     for epoch in range(EPOCHS + 1):
         shared = spark.sparkContext.broadcast(model)
-        found = learn.mapInPandas(_learner(shared, epoch == EPOCHS), schema).collect()  # a row for each partition
+        found = held.mapInPandas(_learner(shared, epoch == EPOCHS), "cell int, a double, b double").groupBy("cell").agg(
+            F.sum("a").alias("a"), F.sum("b").alias("b")).orderBy("cell").toArrow()  # a row for each cell
         shared.destroy()
-        if not found:
+        if not len(found):
             break
+        a, b = found["a"].to_numpy(), found["b"].to_numpy()
         if epoch < EPOCHS:
-            share = np.stack([np.frombuffer(r["seen"], "<f8") for r in found])
-            each = np.stack([np.frombuffer(r["weights"], "<f8").reshape(GATES, ORDERS + 1) for r in found])
-            total = share.sum(axis=0)
-            mean = np.einsum("pg,pgk->gk", share, each) / np.maximum(total, 1e-9)[:, None]
-            model.weights = np.where(total[:, None] > 0, mean, model.weights)
+            model.weights = np.where(b > 0, a / np.maximum(b, 1e-9), model.weights.ravel()).reshape(GATES, ORDERS + 1)
         else:
-            table = sum(np.frombuffer(r["map"], "<f8").reshape(2, 256, LEVELS) for r in found)
+            table = a.reshape(256, LEVELS), b.reshape(256, LEVELS)
             model.refined = np.log((table[1] + 0.5) / (table[0] - table[1] + 0.5))
             centre = (np.arange(LEVELS) * 16 / (LEVELS - 1) - 8)[None, :]
             model.refined = np.where(table[0] > 50, model.refined, centre)
     if not model.refined.any():
         model.refined = np.tile(np.arange(LEVELS) * 16 / (LEVELS - 1) - 8, (256, 1))
-    model.settle()
-    model.counts = np.empty((2, 0), np.uint16)
     return counted.where(F.col("kind") != RUN), model
 
 
-def run_log2(model: Model, run: np.ndarray) -> np.ndarray:
-    """log2 probability of each run's last byte, given the five before."""
+def run_log2(model: Model, run: np.ndarray, tables: list[Table] | None = None) -> np.ndarray:
+    """log2 probability of each run's last byte, given the five before; without ``tables`` they are read for these runs."""
+    tables = model.read(run) if tables is None else tables
     out = np.empty(len(run))
     for at in range(0, len(run), RUNS_AT_ONCE):
         key = run[at:at + RUNS_AT_ONCE]
-        places, total = _slots(key), np.zeros(len(key))
+        counts, total = node_counts(tables, key), np.zeros(len(key))
         for bit in range(8):
-            x, gate, node, one = _inputs(model, key, bit, places, False)
+            x, gate, node, one = _inputs(counts, key, bit, False)
             logit = np.einsum("ij,ij->i", x, model.weights[gate].astype(np.float32))
             p = 0.5 * _squash(logit) + 0.5 * _squash(model.refined[node, _level(logit)])
             total += np.log2(np.where(one == 1, p, 1 - p))
@@ -293,35 +319,78 @@ def run_log2(model: Model, run: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scorer(shared):
+ASKED = "batch long, part int, keys binary, row long, id long, gone boolean, held_out boolean, text string"
+
+
+def _asker(parts: int):
+    """Batches of texts (part -1), and for each part the distinct runs of the batch in order."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, head, log_head = shared.value
-        number = TaskContext.get().partitionId() << 40
+        batch = row = TaskContext.get().partitionId() << 40
         for whole_batch in by_size(frames, "text", AT_ONCE):
             for at in range(0, len(whole_batch), 1 << 16):
                 frame = whole_batch.iloc[at:at + (1 << 16)]
-                n, texts = len(frame), frame["text"].tolist()
-                runs, owner = byte_runs(texts)
-                size = np.bincount(owner, minlength=n)
-                runs = np.sort(runs | owner.astype(np.uint64))
-                key = runs >> np.uint64(16)
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                bits = np.repeat(run_log2(model, key[first]), np.diff(np.append(first, len(key))))
-                bits = np.bincount((runs & np.uint64(0xFFFF)).astype(np.int64), bits, n)
-                words, text = shingles.words(texts)
-                place = np.minimum(np.searchsorted(head, words), max(len(head) - 1, 0))
-                known = head[place] == words if len(head) else np.zeros(len(words), bool)
-                t, h, c = shingles.counted(words[~known], text[~known])
-                cut = np.searchsorted(t, np.arange(1, n))
+                yield frame.assign(batch=batch, part=-1, keys=None, row=row + np.arange(len(frame)))
+                key, part, first = _by_part(_tally(byte_runs(frame["text"].tolist())[0] >> np.uint64(16))[0], parts)[1:]
                 yield pd.DataFrame({
-                    "row": number + np.arange(n), "doc_id": frame["id"].to_numpy(), "gone": frame["gone"].to_numpy(),
-                    "held_out": frame["held_out"].to_numpy(), "n_words": np.bincount(text, minlength=n),
-                    "head_known": np.bincount(text[known], minlength=n),
-                    "head_log": np.bincount(text[known], log_head[place[known]], n) if known.any() else np.zeros(n),
-                    "bits": -bits, "n_bytes": size,
-                    "tail": np.split(h.view(np.int64), cut), "tail_n": np.split(c, cut),
-                })
-                number += n
+                    "batch": batch, "part": part[first], "keys": [_packed(k) for k in np.split(key, first[1:])] if len(first) else [],
+                    "row": 0, "id": 0, "gone": False, "held_out": False, "text": None})
+                batch, row = batch + 1, row + len(frame)
+
+    return run
+
+
+def _by_part(key: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+    """The order of parts, keys and parts in it, and where each part begins."""
+    part = part_of(key, parts)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    return order, key[order], part, np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+
+
+ANSWERED = "batch long, part int, bits binary"
+
+
+def _answerer(shared):
+    def run(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        model: Model = shared.value
+        key = [_unpacked(k) for k in asked["keys"]]
+        distinct, place = np.unique(np.concatenate([np.empty(0, np.uint64), *key]), return_inverse=True)
+        bits = run_log2(model, distinct, model.tables(*_runs_of(held.to_dict("records")))).astype("<f4")[place]
+        cut = np.cumsum([len(k) for k in key])[:-1] if key else []
+        out = asked[["batch", "part"]].reset_index(drop=True)
+        out["bits"] = [b.tobytes() for b in np.split(bits, cut)] if key else []
+        return out
+
+    return run
+
+
+def _scorer(shared):
+    def run(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        parts, head, log_head = shared.value
+        n, texts = len(frame), frame["text"].tolist()
+        runs, owner = byte_runs(texts)
+        size = np.bincount(owner, minlength=n)
+        runs = np.sort(runs | owner.astype(np.uint64))
+        key = runs >> np.uint64(16)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        distinct = np.empty(len(first))
+        distinct[_by_part(key[first], parts)[0]] = np.frombuffer(b"".join(answers.sort_values("part")["bits"]), "<f4")
+        bits = np.repeat(distinct, np.diff(np.append(first, len(key))))
+        bits = np.bincount((runs & np.uint64(0xFFFF)).astype(np.int64), bits, n)
+        words, text = shingles.words(texts)
+        place = np.minimum(np.searchsorted(head, words), max(len(head) - 1, 0))
+        known = head[place] == words if len(head) else np.zeros(len(words), bool)
+        t, h, c = shingles.counted(words[~known], text[~known])
+        cut = np.searchsorted(t, np.arange(1, n))
+        return pd.DataFrame({
+            "row": frame["row"].to_numpy(), "doc_id": frame["id"].to_numpy(), "gone": frame["gone"].to_numpy(),
+            "held_out": frame["held_out"].to_numpy(), "n_words": np.bincount(text, minlength=n),
+            "head_known": np.bincount(text[known], minlength=n),
+            "head_log": np.bincount(text[known], log_head[place[known]], n) if known.any() else np.zeros(n),
+            "bits": -bits, "n_bytes": size,
+            "tail": np.split(h.view(np.int64), cut), "tail_n": np.split(c, cut),
+        })
 
     return run
 
@@ -356,8 +425,13 @@ def score(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", fold: int
     head = np.sort(top["key"].to_numpy().astype(np.int64).view(np.uint64))
     order = np.argsort(top["key"].to_numpy().astype(np.int64).view(np.uint64))
     log_head = np.log10(top["n"].to_numpy().astype(np.float64) + 1)[order]
-    shared = spark.sparkContext.broadcast((model, head, log_head))
-    scored = stage(rows.mapInPandas(_scorer(shared), SCORED), "mixing-scores")
+    batches = stage(rows.mapInPandas(_asker(model.parts), ASKED), "mixing-batches")
+    asked = batches.where(F.col("part") >= 0).select("batch", "part", "keys")
+    shared = spark.sparkContext.broadcast(model)
+    answers = stage(model.held.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(_answerer(shared), ANSWERED), "mixing-answers")
+    shared = spark.sparkContext.broadcast((model.parts, head, log_head))
+    texts_of = batches.where(F.col("part") < 0).select("batch", "row", "id", "gone", "held_out", "text")
+    scored = stage(texts_of.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_scorer(shared), SCORED), "mixing-scores")
     tail = scored.select("row", F.inline(F.arrays_zip("tail", "tail_n")).alias("key", "k"))
     rare = tail.join(words.where(~is_head), "key").groupBy("row").agg(
         F.sum("k").alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("tail_log"))

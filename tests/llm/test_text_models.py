@@ -185,6 +185,35 @@ def test_scores_of_odd_rows(spark):
     assert mixing.score(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_contexts_do_not_share_counts(spark):
+    """Counts of every context are its own, however many there are, and parts answer as the whole model does."""
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnop ") for _ in range(400))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, model = mixing.train(docs)
+    data = [b"\n" * 5 + b"".join(w.encode() + b" " for w in t.split()) + b"\n" for _, t in rows]
+    seen = [collections.Counter() for _ in range(6)]
+    for d in data:
+        for k in range(5, len(d)):
+            for order in range(6):
+                for bit in range(8):
+                    seen[order][d[k - order:k], bit, d[k] >> (7 - bit)] += 1
+    held = sorted({int.from_bytes(d[k - 5:k + 1], "big") for d in data for k in range(5, len(d))})
+    run = np.array(rng.sample(held, 300), np.uint64)
+    counts = mixing.node_counts(model.read(run), run)
+    for i, r in enumerate(run.tolist()):
+        b = r.to_bytes(6, "big")
+        for order in range(6):
+            for bit in range(8):
+                want = [seen[order][b[5 - order:5], bit, (b[5] >> (8 - bit) << 1) | v] for v in (0, 1)]
+                assert counts[bit, :, i, order].tolist() == want
+    kept = mixing.score(docs, folds=1000, fold=999).collect()  # nothing is held out here
+    assert not any(r.held_out for r in kept)
+    for r in kept[:5]:
+        own, _ = mixing.byte_runs([rows[r.doc_id][1]])
+        assert r.bits == pytest.approx(-mixing.run_log2(model, own >> np.uint64(16)).sum(), rel=1e-4)
+
+
 def test_ordinal_fit_recovers_order():
     rng = np.random.default_rng(3)
     w = np.array([2.0, -1.5, 0.0, 1.0])
