@@ -5,13 +5,15 @@ an article or main element, in an element that is never content (menus,
 headers, footers, sidebars, adverts, notices, forms, comments), or in neither. Pages of a
 host stand in order of their URL path; each is paired with the page before it
 (the first one with the page after it). The lines of the two are aligned by their longest common
-subsequence, and shared lines outside article and main are template and are deleted.
+subsequence, and shared lines are template and are deleted: outside article and main all of them,
+in main all that stand outside its article, and in an article those that are no
+paragraph text and stand at the same place of both articles (share bars, notices).
 What then remains of the never-content zones goes too, and on a page that
 has an article or main element what stands outside it.
 
-Lines inside an article are never deleted, as copies and quoted passages are
-shared by pages too; where neither page has such an element, a page that shares
-nearly all of its lines (``COPY``) is a copy and no template, and keeps them.
+Paragraphs of an article are never deleted, as quoted passages are
+shared by pages too; a page that shares nearly all of its main lines (``COPY``) is a copy,
+tells nothing about the template, and keeps them.
 Menus of random links differ between pages, so differencing alone cannot find
 all that is not content; the structure rules are the exact check that follows it.
 
@@ -48,7 +50,9 @@ MARKS = frozenset(
     "header footer masthead comment comments commentlist disqus replies respond related recommended share sharing social widget "
     "complementary contentinfo search dialog pagination pager skip".split())
 KEEPS_PLACE = frozenset({"html", "body", "article", "main"})
-MAIN, OPEN, NOT_CONTENT = 0, 1, 2
+#: Paragraphs of an article, text in neither, never content, other lines of an article, and lines of main outside its article.
+MAIN, OPEN, NOT_CONTENT, LOOSE, AROUND = 0, 1, 2, 3, 4
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption".split())
 COPY = 0.8
 SPACE = re.compile(r"\s+")
 UNFINISHED = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
@@ -62,13 +66,26 @@ class _Lines(HTMLParser):
         self.open: list[tuple[str, str]] = []  # name, and what it starts: "", "silent", "never" or "main"
         self.buffer: list[str] = []
         self.lines: list[tuple[int, str]] = []
-        self.has_main = False
+        self.whole_main: list[int] = []  # zones of the lines if main is the article
+        self.has_main = self.has_article = False
 
     def _zone(self) -> int:
         kinds = [k for _, k in self.open]
         if "never" in kinds:
             return NOT_CONTENT
-        return MAIN if "main" in kinds else OPEN
+        if "main" not in kinds:
+            return OPEN
+        if ("article", "main") not in self.open:
+            return AROUND
+        return self._paragraph()
+
+    def _paragraph(self) -> int:
+        return MAIN if any(n in PARAGRAPHS for n, _ in self.open) else LOOSE
+
+    def settled(self) -> list[tuple[int, str]]:
+        """Lines with zones; where main has no article, it is the article."""
+        inside = [self.whole_main[k] if z == AROUND and not self.has_article else z for k, (z, _) in enumerate(self.lines)]
+        return [(z, text) for z, (_, text) in zip(inside, self.lines, strict=True)]
 
     def _flush(self) -> None:
         if self.buffer:
@@ -76,6 +93,7 @@ class _Lines(HTMLParser):
             self.buffer = []
             if text:
                 self.lines.append((self._zone(), text))
+                self.whole_main.append(self._paragraph())
 
     def _kind(self, tag: str, attrs) -> str:
         if tag in SILENT:
@@ -109,6 +127,7 @@ class _Lines(HTMLParser):
                 self.open.pop()
             if not any(k == "never" for _, k in self.open):
                 self.has_main = True
+                self.has_article |= tag == "article"
         self.open.append((tag, kind))
 
     def _close_implied(self, tag: str) -> None:
@@ -154,7 +173,7 @@ def page_lines(html: str) -> tuple[bool, list[tuple[int, str]]]:
     parser.feed(html[:len(html) - (len(cut.group()) if cut else 0)])
     parser.close()
     parser._flush()
-    return parser.has_main, parser.lines
+    return parser.has_main, parser.settled()
 
 
 def common_lines(a: list[int], b: list[int], at_most: int = 1 << 29) -> list[int]:
@@ -217,15 +236,30 @@ def _lengths(x: list[int], y: list[int]) -> list[int]:
     return out
 
 
-def kept_lines(has_main: bool, zones: list[int], lines: list[int], other: list[int] | None) -> list[int]:
-    """Places of the lines that are main text, given the neighbour's lines."""
+def kept_lines(
+    has_main: bool, zones: list[int], lines: list[int], other: list[int] | None, other_zones: list[int] | None = None,
+) -> list[int]:
+    """Places of the lines that are main text, given the neighbour's lines and their zones."""
     gone: set[int] = set()
     if other is not None:
-        gone = {k for k in common_lines(lines, other) if zones[k] != MAIN}  # template
+        shared = set(common_lines(lines, other))
+        gone = {k for k in shared if zones[k] in (OPEN, NOT_CONTENT)}  # template
         open_ = [k for k, z in enumerate(zones) if z == OPEN]
         if not has_main and open_ and sum(k in gone for k in open_) >= COPY * len(open_):
             gone -= set(open_)  # a copy tells nothing about the template
-    return [k for k, z in enumerate(zones) if k not in gone and (z == MAIN or (z == OPEN and not has_main))]
+        body = next((b for z in (MAIN, LOOSE, AROUND) if (b := [k for k, at in enumerate(zones) if at == z])), [])
+        if sum(k in shared for k in body) < COPY * len(body):
+            place = _same_place(zones, lines, other, other_zones or [])
+            gone |= {k for k in shared if zones[k] == AROUND or zones[k] == LOOSE and k in place}
+    return [k for k, z in enumerate(zones) if k not in gone and (z in (MAIN, LOOSE, AROUND) or (z == OPEN and not has_main))]
+
+
+def _same_place(zones: list[int], lines: list[int], other: list[int], other_zones: list[int]) -> set[int]:
+    """Lines of the article that the other article has too, as far from its beginning or its end."""
+    one = [k for k, z in enumerate(zones) if z in (MAIN, LOOSE)]
+    two = [other[k] for k, z in enumerate(other_zones) if z in (MAIN, LOOSE)]
+    begin = {k for k, v in zip(one, two) if lines[k] == v}
+    return begin | {k for k, v in zip(reversed(one), reversed(two)) if lines[k] == v}
 
 
 PARSED = "row_key long, page_id long, gone boolean, url string, has_main boolean, zones array<int>, lines array<string>"
@@ -246,7 +280,8 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = []
         for row in frame.itertuples(index=False):
             other = None if row.other is None else row.other.tolist()
-            kept = kept_lines(row.has_main, row.zones.tolist(), row.codes.tolist(), other)
+            other_zones = None if row.other_zones is None else row.other_zones.tolist()
+            kept = kept_lines(row.has_main, row.zones.tolist(), row.codes.tolist(), other, other_zones)
             texts.append("\n\n".join(row.lines[k] for k in kept))
         out = frame[["page_id", "gone", "url"]].reset_index(drop=True)
         out["text"], out["n_chars"] = texts, [len(t) for t in texts]
@@ -281,8 +316,8 @@ def extract(pages: DataFrame, *, page: str = "page_id", url: str = "url", html:
         ascii_lower(F.regexp_extract(rest, "^([^/?#]*)", 1)).alias("host"), F.regexp_extract(rest, "^[^/?#]*(.*)$", 1).alias("path"))
     parsed = stage(keyed.select("row_key", "page_id", "gone", "url", "html").mapInPandas(_parse, PARSED), "page-lines")
     codes = F.transform("lines", lambda x: F.xxhash64(x))
-    others = parsed.select(F.col("row_key").alias("partner"), codes.alias("other")).dropDuplicates(["partner"])
-    near = neighbours(keyed).where(F.col("partner").isNotNull()).join(others, "partner").select("row_key", "other")
+    others = parsed.select(F.col("row_key").alias("partner"), codes.alias("other"), F.col("zones").alias("other_zones")).dropDuplicates(["partner"])
+    near = neighbours(keyed).where(F.col("partner").isNotNull()).join(others, "partner").select("row_key", "other", "other_zones")
     whole_rows = parsed.withColumn("codes", codes).join(near, "row_key", "left")
     out = whole_rows.mapInPandas(_cut, "page_id long, gone boolean, url string, text string, n_chars long")
     return out.select(F.when(~F.col("gone"), F.col("page_id")).alias("page_id"), "url", "text", "n_chars")

@@ -65,6 +65,21 @@ def test_pages_without_article_lose_the_template(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_template_inside_main_goes_by_alignment(spark):
+    def page(n, body, quote=""):
+        return (n, f"http://h.org/a/{n}", f"<main><div>Sale ends soon</div><article><div>Send to a friend</div><h1>Head {n}</h1><p>{body}{quote}"
+                f"<p>More of {n}<div>Written by us</div></article><p>Read on</main>")
+
+    said = "<p>A line that both quote"
+    rows = [page(1, "first", said), page(2, "second", said), page(3, "third"), (4, "http://h.org/b/1", "<main><p>x 1<p>y 1<div>Tell us</div></main>"),
+            (5, "http://h.org/b/2", "<main><p>x 2<p>y 2<div>Tell us</div></main>"), (6, "http://c.org/1", page(9, "same")[2]), (7, "http://c.org/2", page(9, "same")[2])]
+    got = {r.page_id: r.text.split("\n\n") for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    quoted = "A line that both quote"
+    assert got[1] == ["Head 1", "first", quoted, "More of 1"] and got[2] == ["Head 2", "second", quoted, "More of 2"]
+    assert got[3] == ["Head 3", "third", "More of 3"] and got[5] == ["x 2", "y 2"]
+    assert got[6] == got[7] == ["Sale ends soon", "Send to a friend", "Head 9", "same", "More of 9", "Written by us", "Read on"]
+
+
 def test_neighbours_are_next_in_path_order(spark):
     rng = random.Random(2)
     rows = [(i, f"h{rng.randrange(4)}", f"/{rng.randrange(40)}") for i in range(150)] + [(500, "single", "/")]
