@@ -49,9 +49,16 @@ MARKS = frozenset(
     "notices alert popup modal overlay newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "header footer masthead comment comments commentlist disqus replies respond related recommended share sharing social widget "
     "complementary contentinfo search dialog pagination pager skip".split())
+#: Marks of what may hold articles that are not the page's own, and of the head of an article.
+TEASERS = frozenset(
+    "comment comments commentlist disqus replies respond related recommended ad ads adv advert adverts advertisement advertising adsense "
+    "sponsor sponsored promo promotion".split())
+HEADS = frozenset("header masthead".split())
 KEEPS_PLACE = frozenset({"html", "body", "article", "main"})
+OF_HEAD = frozenset("title meta link style script noscript template base".split())
 #: Paragraphs of an article, text in neither, never content, other lines of an article, and lines of main outside its article.
 MAIN, OPEN, NOT_CONTENT, LOOSE, AROUND = 0, 1, 2, 3, 4
+WRAPPED = 10  # added to a zone inside an article that a marked wrapper holds
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption".split())
 COPY = 0.8
 SPACE = re.compile(r"\s+")
@@ -63,27 +70,35 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str]] = []  # name, and what it starts: "", "silent", "never" or "main"
+        #: Name, and what it starts: "", "silent", "never", "marked" or "teasers" (never by class or id alone), "article-header",
+        #: "main", or "wrapped" (an article inside "marked").
+        self.open: list[tuple[str, str]] = []
         self.buffer: list[str] = []
         self.lines: list[tuple[int, str]] = []
         self.whole_main: list[int] = []  # zones of the lines if main is the article
         self.has_main = self.has_article = False
 
     def _zone(self) -> int:
-        kinds = [k for _, k in self.open]
-        if "never" in kinds:
-            return NOT_CONTENT
-        if "main" not in kinds:
-            return OPEN
-        if ("article", "main") not in self.open:
-            return AROUND
-        return self._paragraph()
+        for name, kind in reversed(self.open):
+            if kind in ("never", "marked", "teasers"):
+                return NOT_CONTENT
+            if kind == "wrapped":
+                return WRAPPED + self._paragraph()
+            if kind == "main":
+                return self._paragraph() if ("article", "main") in self.open else AROUND
+        return OPEN
 
     def _paragraph(self) -> int:
         return MAIN if any(n in PARAGRAPHS for n, _ in self.open) else LOOSE
 
     def settled(self) -> list[tuple[int, str]]:
         """Lines with zones; where main has no article, it is the article."""
+        framed = False
+        if not self.has_main and any(z >= WRAPPED for z, _ in self.lines):
+            size = [sum(len(text) for z, text in self.lines if z == OPEN), sum(len(text) for z, text in self.lines if z >= WRAPPED)]
+            framed = size[1] >= size[0]  # else teasers beside the text
+            self.has_main = self.has_article = framed
+        self.lines = [(z if z < WRAPPED else z - WRAPPED if framed else NOT_CONTENT, text) for z, text in self.lines]
         inside = [self.whole_main[k] if z == AROUND and not self.has_article else z for k, (z, _) in enumerate(self.lines)]
         return [(z, text) for z, (_, text) in zip(inside, self.lines, strict=True)]
 
@@ -98,20 +113,27 @@ class _Lines(HTMLParser):
     def _kind(self, tag: str, attrs) -> str:
         if tag in SILENT:
             return "silent"
-        inside = any(k == "main" for _, k in self.open)
+        inside = any(k in ("main", "wrapped") for _, k in self.open)
         if tag in NEVER:
             return "article-header" if tag == "header" and inside else "never"
+        kind = ""
         if tag not in KEEPS_PLACE:
             for name, value in attrs:
-                if name in ("class", "id", "role") and value and MARKS.intersection(re.split(r"[^a-z]+", value.lower())):
-                    return "never"
+                if name in ("class", "id", "role") and value and (found := MARKS.intersection(re.split(r"[^a-z]+", value.lower()))):
+                    if inside and found <= HEADS:
+                        kind = kind or "article-header"
+                    elif name == "role":
+                        return "never"
+                    else:
+                        kind = "teasers" if found & TEASERS or kind == "teasers" else "marked"
                 if name == "hidden" or (name == "aria-hidden" and value == "true"):
                     return "never"
         elif tag in ("article", "main"):
             return "main"
-        return ""
+        return kind
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        self._close_head(tag)
         if tag == "br":
             self.buffer.append(" ")
             return
@@ -123,13 +145,26 @@ class _Lines(HTMLParser):
         kind = self._kind(tag, attrs)
         if kind == "main":
             # an article does not stand inside a menu or header that someone forgot to close
-            while any(n in NEVER for n, k in self.open if k == "never") and not any(k == "never" and n not in NEVER for n, k in self.open):
+            while any(n in NEVER for n, k in self.open if k == "never") and not any(
+                    k in ("marked", "teasers") or k == "never" and n not in NEVER for n, k in self.open):
                 self.open.pop()
-            if not any(k == "never" for _, k in self.open):
+            kind = self._accepted(tag)
+            if kind == "main":
                 self.has_main = True
                 self.has_article |= tag == "article"
         self.open.append((tag, kind))
 
+    def _accepted(self, tag: str) -> str:
+        """What an article or main starts here: a wrapper that is marked by class or id alone may be the page's frame."""
+        marked = False
+        for _, kind in reversed(self.open):
+            if kind in ("main", "wrapped"):
+                return "" if marked else kind
+            if kind == "never" or (kind == "teasers" and tag == "article"):
+                return ""
+            marked |= kind in ("marked", "teasers")
+        return "wrapped" if marked and tag == "article" else "main"
+
     def _close_implied(self, tag: str) -> None:
         """A new block ends an open paragraph with what is open in it; a list item ends the one before."""
         for k in range(len(self.open) - 1, -1, -1):
@@ -140,6 +175,12 @@ class _Lines(HTMLParser):
             if name in BLOCKS:
                 return
 
+    def _close_head(self, tag: str) -> None:
+        """The body, and all that may not stand in a head, end a head that was left open."""
+        at = next((k for k, (n, _) in enumerate(self.open) if n == "head"), None)
+        if at is not None and (tag == "body" or (at == len(self.open) - 1 and tag not in OF_HEAD)):
+            del self.open[at:]
+
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag in VOID or tag == "br":
             self.handle_starttag(tag, attrs)
@@ -158,6 +199,8 @@ class _Lines(HTMLParser):
                 return  # a stray end tag does not close the article
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._close_head("")
         kinds = [k for _, k in self.open]
         if "silent" in kinds:
             return

@@ -52,6 +52,24 @@ def test_structure_of_a_page():
     assert html_text.page_lines("<nav>menu<article><p>text</p><p")[1][-1] == (html_text.MAIN, "text")
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<body><div class='layout has-sidebar'><article><p>text<div class='ad'>buy</div></article><aside>side</aside></div>", ["text"]),
+    ("<div id='page' class='header-fixed'><nav>menu</nav><main><p>text</main></div>", ["text"]),
+    ("<div id='page' class='header-fixed'><main><article><p>text</article><div id='comments'><article><p>reader</article></div></main></div>", ["text"]),
+    ("<article><div class='entry-header'><h1>Head</h1><span>by us</span></div><p>text</article>", ["Head", "text"]),
+    ("<div class='post'><p>a long text of the page itself</div><div class='sidebar'><article><p>teaser</article></div>", ["a long text of the page itself"]),
+    ("<article><p>text</article><div class='sidebar'><article><p>teaser</article></div>", ["text"]),
+    ("<div><p>words of the page</div><section id='comments'><article><p>reader says a lot more than the page</article></section>", ["words of the page"]),
+    ("<!DOCTYPE html><html><head><title>t</title><meta charset=utf-8><body><p>text", ["text"]),
+    ("<html><head><title>t</title><p>text", ["text"]),
+    ("<html><head><title>t</title><noscript><div>no</div></noscript></head><body><article><p>text</article></body></html>", ["text"]),
+])
+def test_wrappers_and_open_heads_keep_the_article(html, want):
+    has_main, lines = html_text.page_lines(html)
+    kept = html_text.kept_lines(has_main, [z for z, _ in lines], [hash(t) for _, t in lines], None)
+    assert [lines[k][1] for k in kept] == want
+
+
 def test_pages_without_article_lose_the_template(spark):
     def page(n, body):
         return (n, f"http://h.org/a/{n}", f"<body><div>Our site</div><div>{body}</div><div>About us</div></body>", "x")
