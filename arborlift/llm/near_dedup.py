@@ -14,8 +14,9 @@ for it, which two multisets share with probability of their weighted Jaccard.
 Points later than the latest component cannot count, so most elements
 draw one or two.
 
-Steps: texts of equal words are one; its signature is cut into bands; documents
-of a bucket are compared with the bucket's smallest id first (a group of
+Steps: texts of equal words are one node, whatever their ids, named by the smallest
+hash of such a text; its signature is cut into bands; nodes
+of a bucket are compared with the bucket's smallest node first (a group of
 thousands costs one comparison each), verified on the whole multisets, and
 joined into components. In buckets that still hold
 several components, the texts outside the largest one are compared with all others
@@ -25,8 +26,9 @@ so only texts that meet in such an element are pairs, and none is missed, howeve
 large the bucket. Components of the labels are the classes.
 
 Texts without words are alone in their class (null and empty ones too). Equal
-rows are copies. Ids must not be null for a class to be told: rows with a null id
-are kept and take no part. Other columns are untouched.
+rows are copies. Ids must not be null for a class to be told; an id of several texts
+joins their classes in the report, but not in ``keep_one``, which goes by texts.
+There, rows with a null id give way to other rows with a null id only. Other columns are untouched.
 """
 
 from __future__ import annotations
@@ -35,11 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlift.llm import shingles
-from arborlift.llm.base import by_size, whole
+from arborlift.llm.base import SPACE, by_size, whole
 from arborlift.llm.components import components
 from arborlift.session import stage
 
@@ -110,7 +112,7 @@ def _signer(bands: int, rows: int):
                 bucket = shingles.mix(bucket + sign[:, :, k] + shingles.ODD_STEP)
             bucket = shingles.mix(bucket + np.arange(bands, dtype=np.uint64) * shingles.ODD_STEP)
             yield pd.DataFrame({
-                "id": frame["id"].to_numpy(), "k1": keys[0].view(np.int64), "k2": keys[1].view(np.int64),
+                "id": frame["id"].to_numpy(), "gone": frame["gone"].to_numpy(), "h": frame["h"].to_numpy(), "k1": keys[0].view(np.int64), "k2": keys[1].view(np.int64),
                 "n": np.bincount(owner, minlength=n), "buckets": list(bucket.view(np.int64)),
             })
 
@@ -249,30 +251,23 @@ def _apart(links: DataFrame, labels: DataFrame) -> DataFrame:
     return two.where(F.col("u") != F.col("v")).distinct()
 
 
-def near_classes(
-    docs: DataFrame, *, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-    bands: int = BANDS, rows: int = ROWS,
-) -> DataFrame:
-    """(doc_id, class_id) of every distinct non-null id; the class is its smallest id.
+def _keyed(doc: str, text: str) -> list[Column]:
+    key = F.col(doc).cast("bigint")
+    return [F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("gone"), F.xxhash64(whole(text)).alias("h")]
 
-    An id on several rows stands for the smallest of its texts, by hash, in
-    comparisons, and copies of any of them are in its class.
-    """
-    named = docs.select(F.col(doc).cast("bigint").alias("id"), whole(text).alias("text")).where(F.col("id").isNotNull())
+
+def _text_classes(docs: DataFrame, doc: str, text: str, similarity: float, bands: int, rows: int) -> DataFrame:
+    """Distinct (id, gone, h, root): hash of the text, and root of its class of texts (null for texts without words)."""
+    named = docs.select(*_keyed(doc, text), whole(text).alias("text"))
     signed = stage(named.mapInPandas(
-        _signer(bands, rows), "id long, k1 long, k2 long, n long, buckets array<long>"), "dedup-signed")
+        _signer(bands, rows), "id long, gone boolean, h long, k1 long, k2 long, n long, buckets array<long>"), "dedup-signed")
     worded = signed.where(F.col("n") > 0)
-    first = worded.groupBy("k1", "k2").agg(F.min("id").alias("u"), F.min_by("buckets", "id").alias("buckets"))
-    first = stage(first, "dedup-first")
-    copies = worded.select("k1", "k2", F.col("id").alias("v")).join(first.select("k1", "k2", "u"), ["k1", "k2"]).where(
-        F.col("v") != F.col("u")).select("u", "v").distinct()
-    copies = stage(copies, "dedup-copies")
-    members = first.select(F.col("u").alias("id"), F.explode("buckets").alias("bucket"))
+    first = stage(worded.groupBy("k1", "k2").agg(F.min("h").alias("node"), F.min_by("buckets", "h").alias("buckets")), "dedup-first")
+    members = first.select(F.col("node").alias("id"), F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1")
     members = stage(members.join(shared, "bucket"), "dedup-members")
-    wanted = named.join(members.select("id").distinct(), "id", "left_semi")
-    wanted = stage(wanted.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("s")).select(
-        "id", F.col("s.text").alias("text")), "dedup-texts")
+    wanted = named.select(F.col("h").alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi")
+    wanted = stage(wanted.groupBy("id").agg(F.min("text").alias("text")), "dedup-texts")
     tested = members.where(F.col("id") != F.col("u")).select("u", F.col("id").alias("v")).distinct()
     links = stage(_verify(tested, wanted, similarity), "dedup-links")
     labels = stage(_labels(links), "dedup-labels")
@@ -289,23 +284,51 @@ def near_classes(
     across = _prefix_pairs(mixed_texts, similarity)
     more = _verify(across.join(tested, ["u", "v"], "left_anti"), wanted, similarity)
     apart = _apart(stage(more, "dedup-more"), labels)
-    joined = components(apart)
-    every = signed.select(F.col("id").alias("doc_id")).distinct()
-    lead = every.join(copies.groupBy("v").agg(F.min("u").alias("u")), F.col("doc_id") == F.col("v"), "left").select(
-        "doc_id", F.coalesce("u", "doc_id").alias("lead"))
-    led = lead.join(labels, F.col("lead") == F.col("node"), "left").select(
-        "doc_id", F.coalesce("label", "lead").alias("label"))
-    return led.join(joined, F.col("label") == F.col("node"), "left").select(
-        "doc_id", F.coalesce("root", "label").alias("class_id"))
+    joined = components(apart).select(F.col("node").alias("label"), F.col("root").alias("_root"))
+    roots = first.select("k1", "k2", "node").join(labels, "node", "left").select(
+        "k1", "k2", F.coalesce("label", "node").alias("label")).join(joined, "label", "left").select(
+        "k1", "k2", F.coalesce("_root", "label").alias("root"))
+    every = signed.select("id", "gone", "h", "n", "k1", "k2").distinct()
+    with_root = every.where("n > 0").join(roots, ["k1", "k2"]).select("id", "gone", "h", "root")
+    return stage(with_root.unionByName(every.where("n = 0").select(
+        "id", "gone", "h", F.lit(None).cast("bigint").alias("root"))), "dedup-roots")
 
 
-def keep_one(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its class; rows with a null id stay.
+def near_classes(
+    docs: DataFrame, *, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+    bands: int = BANDS, rows: int = ROWS,
+) -> DataFrame:
+    """(doc_id, class_id) of every distinct non-null id; the class is its smallest id.
+
+    An id on several rows joins the classes of all its texts.
+    """
+    every = _text_classes(docs, doc, text, similarity, bands, rows).where(~F.col("gone")).select("id", "root").distinct()
+    held = every.where(F.col("root").isNotNull())
+    several = held.groupBy("id").agg(F.min("root").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    links = held.join(several, "id").where(F.col("root") != F.col("u")).select("u", F.col("root").alias("v")).distinct()
+    joined = components(stage(links, "dedup-ids")).select("node", F.col("root").alias("_root"))
+    of_id = every.groupBy("id").agg(F.min("root").alias("root")).join(joined, F.col("root") == F.col("node"), "left").select(
+        "id", F.coalesce("_root", "root").alias("root"))
+    least = of_id.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least"))
+    return of_id.join(least, "root", "left").select(F.col("id").alias("doc_id"), F.coalesce("least", "id").alias("class_id"))
+
+
+def keep_one(
+    docs: DataFrame, *, doc: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+    bands: int = BANDS, rows: int = ROWS,
+) -> DataFrame:
+    """One row of ``docs`` for each class of texts: that of the smallest id, then hash of the text.
 
-    Of several rows with one id, the first by a hash of the text stays.
+    Different texts of one id are judged each for itself. Rows with a null id are classes
+    among themselves. Of texts without words one for each id stays, and all that have no id.
     """
-    classes = near_classes(docs, doc=doc, text=text, **options)
-    kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept"))
-    rows = docs.join(kept, F.col(doc) == F.col("_kept")).drop("_kept")
-    nth = F.row_number().over(Window.partitionBy(F.col(doc)).orderBy(F.xxhash64(whole(text))))
-    return rows.withColumn("_nth", nth).where(F.col("_nth") == 1).drop("_nth").unionByName(docs.where(F.col(doc).isNull()))
+    every = _text_classes(docs, doc, text, similarity, bands, rows)
+    worded = every.where(F.col("root").isNotNull()).groupBy("root", "gone").agg(F.min(F.struct("id", "h")).alias("s")).select(
+        F.col("s.id").alias("_id"), F.col("gone").alias("_gone"), F.col("s.h").alias("_h"))
+    bare = every.where(F.col("root").isNull() & ~F.col("gone")).groupBy("id", "gone").agg(F.min("h").alias("_h")).select(
+        F.col("id").alias("_id"), F.col("gone").alias("_gone"), "_h")
+    key = ["_id", "_gone", "_h"]
+    rows_of = docs.select("*", *[c.alias(k) for c, k in zip(_keyed(doc, text), key, strict=True)])
+    kept = rows_of.join(worded.unionByName(bare), key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    no_word = F.length(F.translate(whole(text), SPACE, "")) == 0
+    return kept.unionByName(docs.where(F.col(doc).isNull() & no_word))

@@ -113,6 +113,16 @@ def test_dedup_edges(spark):
     assert near_dedup.near_classes(docs.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    near = b.replace("b0 ", "q ")
+    rows = [(5, a, "5a"), (5, b, "5b"), (5, c, "5c"), (1, a, "1a"), (2, near, "2b"), (None, c, "nc"), (None, c, "nc"), (None, "", "n"), (None, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    assert got == {1: 1, 2: 1, 5: 1}
+    assert sorted(r.tag for r in near_dedup.keep_one(docs).collect()) == ["1a", "2b", "5c", "n", "n", "nc"]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(30)]
