@@ -12,7 +12,9 @@ order, so a pair has to pass under each of several. Here there are three:
 3. the same with a third hash.
 
 Sets that share no prefix token with another under an order link with none and leave; what
-is left after one order is looked at under the next. Pairs are made under the second order, whose
+is left after one order is looked at under the next. The first order, which meets all sets, asks for more: a prefix that is
+longer by ``l - 1`` must share ``l`` tokens, here a twentieth of the set, so that a passage shared
+in passing does not keep a document. Pairs are made under the second order, whose
 groups are smallest, kept if their prefixes also meet under the first and the third, and only then
 verified, on the whole sets, by exact counts. Any order is right, so that only the fullest ``FULLEST``
 counts are told apart costs candidates, not results.
@@ -24,8 +26,7 @@ token alone. Nothing bounds the number of partners.
 
 Null and empty texts, and texts without words, have an empty set and are their own component. Rows
 without an id have no row in the result and link nothing. Every other row has one row of its own; rows of
-one id are not linked through the id. Other columns are not read. Hashes of tokens,
-texts and sets have 64, 64 and 128 bits.
+one id are not linked through the id. Other columns are not read. Tokens, texts and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ WORDS = 5
 SIMILARITY = 80
 #: Characters a task works on at once.
 AT_ONCE = 1_500_000
+#: Every set of the first order shares one in so many of its tokens with others, or leaves.
+DEPTH = 20
 #: Tokens whose counts are told apart in the orders.
 FULLEST = 200_000
 SALTS = tuple(shingles.mix(np.arange(1, 6, dtype=np.uint64) * shingles.MIX2))
@@ -59,39 +62,49 @@ def token_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, token, np.bincount(text, minlength=len(texts))
 
 
-def prefix_length(n: np.ndarray, similarity: int) -> np.ndarray:
-    """How many tokens of a set of ``n`` another of the wanted similarity must share one of."""
-    return np.where(n > 0, n - -(-similarity * n // 100) + 1, 0)
+def prefix_length(n: np.ndarray, similarity: int, shared: np.ndarray | int = 1) -> np.ndarray:
+    """How many tokens of a set of ``n`` another of the wanted similarity must share ``shared`` of."""
+    return np.where(n > 0, n - -(-similarity * n // 100) + shared, 0)
 
 
-def _in_order(text: np.ndarray, token: np.ndarray, sizes: np.ndarray, keys: tuple, similarity: int) -> list[np.ndarray]:
-    """The prefix of each text under the order of ``keys`` (last key first)."""
+def least_shared(n: np.ndarray, similarity: int) -> np.ndarray:
+    """Tokens that a set's longer first prefix must share; never more than the whole sets must."""
+    return np.minimum(-(-n // DEPTH), -(-similarity * n // 100))
+
+
+def _in_order(text: np.ndarray, token: np.ndarray, sizes: np.ndarray, keys: tuple, length: np.ndarray) -> list[np.ndarray]:
+    """The first ``length`` tokens of each text under the order of ``keys`` (last key first)."""
     order = np.lexsort((*keys, text))
     sorted_text, rank = text[order], np.arange(len(text)) - (np.cumsum(sizes) - sizes)[text[order]]
-    keep = rank < prefix_length(sizes, similarity)[sorted_text]
+    keep = rank < length[sorted_text]
     kept = token[order][keep].view(np.int64)
     return np.split(kept, np.cumsum(np.bincount(sorted_text[keep], minlength=len(sizes)))[:-1])
 
 
 def _signer(similarity: int):
-    """Two hashes of the set, its size, and its prefix by the first hash."""
+    """A hash of the set, its size, what it must share, and its longer prefix by the first hash.
+
+    Of equal sets of a batch one has the prefix.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in by_size(frames, "text", AT_ONCE):
             text, token, sizes = token_sets(frame["text"].tolist())
             ends = np.cumsum(sizes)
-            keys = []
-            for salt in SALTS[:2]:
-                upto = np.concatenate([[np.uint64(0)], np.cumsum(shingles.mix(token ^ salt), dtype=np.uint64)])
-                keys.append((upto[ends] - upto[ends - sizes]).view(np.int64))
-            first = _in_order(text, token, sizes, (shingles.mix(token ^ SALTS[2]),), similarity)
-            yield pd.DataFrame({"id": frame["id"].to_numpy(), "h": frame["h"].to_numpy(), "k1": keys[0], "k2": keys[1], "n": sizes, "first": first})
+            upto = np.concatenate([[np.uint64(0)], np.cumsum(shingles.mix(token ^ SALTS[0]), dtype=np.uint64)])
+            node = shingles.mix(upto[ends] - upto[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
+            once = np.zeros(len(sizes), bool)
+            once[np.unique(node, return_index=True)[1]] = True
+            least = least_shared(sizes, similarity)
+            length = np.where(once, prefix_length(sizes, similarity, least), 0)
+            first = _in_order(text, token, sizes, (shingles.mix(token ^ SALTS[2]),), length)
+            yield pd.DataFrame({"id": frame["id"].to_numpy(), "h": frame["h"].to_numpy(), "node": node, "n": sizes, "least": least, "first": first})
 
     return run
 
 
-def _later_orders(frequent, similarity: int):
-    """Prefixes under the two orders that put rare tokens first."""
+def _orders(frequent, similarity: int):
+    """Prefixes under the three orders."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, count = frequent.value
@@ -100,8 +113,10 @@ def _later_orders(frequent, similarity: int):
             signed = token.view(np.int64)
             place = np.minimum(np.searchsorted(known, signed), max(len(known) - 1, 0))
             often = np.where(known[place] == signed, count[place], 0) if len(known) else np.zeros(len(token), np.int64)
-            second, third = (_in_order(text, token, sizes, (shingles.mix(token ^ salt), often), similarity) for salt in SALTS[3:5])
-            yield pd.DataFrame({"node": frame["node"].to_numpy(), "n": sizes, "second": second, "third": third})
+            length = prefix_length(sizes, similarity)
+            first, second, third = (_in_order(text, token, sizes, (shingles.mix(token ^ salt), *keys), length) for salt, keys in (
+                (SALTS[2], ()), (SALTS[3], (often,)), (SALTS[4], (often,))))
+            yield pd.DataFrame({"node": frame["node"].to_numpy(), "n": sizes, "first": first, "second": second, "third": third})
 
     return run
 
@@ -119,15 +134,21 @@ def _frequent(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["token"].to_numpy(np.int64), found["c"].to_numpy(np.int64)
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Tokens of several nodes, with the number of nodes."""
-    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+def _meetings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, c) of the tokens of several nodes; (node, c) of the nodes that have some of them.
+
+    ``rows`` (node, token) are dealt out by token once, for the count and for what is counted. A
+    pair may be there more than once, for equal sets; those are one node.
+    """
+    dealt = rows.repartition("token")
+    shared = dealt.groupBy("token").agg(
+        F.count(F.lit(1)).alias("c"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "c")
+    return shared, dealt.join(shared.select("token"), "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
 
 
 def _meeting(sets: DataFrame, prefix: str) -> DataFrame:
     """Nodes that share a token of this prefix with another."""
-    rows = sets.select("node", F.explode(prefix).alias("token"))
-    return rows.join(_shared(rows), "token", "left_semi").select("node").distinct()
+    return _meetings(sets.select("node", F.explode(prefix).alias("token")))[1].select("node")
 
 
 def counts_of_pairs(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,18 +217,17 @@ def _across(rows: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
     return a.join(b, meet).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
-def _roots(first: DataFrame, named: DataFrame, similarity: int) -> DataFrame:
+def _roots(signed: DataFrame, named: DataFrame, similarity: int) -> DataFrame:
     """(node, root) of every node that links with another."""
-    spark = first.sparkSession
-    rows = first.select("node", F.explode("first").alias("token"))
-    shared = stage(_shared(rows), "join-shared")
-    meeting = rows.join(shared.select("token"), "token", "left_semi").select("node").distinct()
-    texts = stage(named.join(meeting.withColumnRenamed("node", "h"), "h", "left_semi").groupBy(F.col("h").alias("node")).agg(
-        F.min("text").alias("text")), "join-texts")
-    frequent = spark.sparkContext.broadcast(_frequent(shared))
-    later = stage(texts.mapInPandas(_later_orders(frequent, similarity), "node long, n long, second array<long>, third array<long>"), "join-later")
-    sets = later.join(_meeting(later, "second"), "node", "left_semi")
-    sets = stage(sets.join(_meeting(sets, "third"), "node", "left_semi").join(first.select("node", "first"), "node"), "join-sets")
+    shared, met = _meetings(signed.select("node", F.explode("first").alias("token")))
+    enough = signed.where("n > 0").groupBy("node").agg(F.min("h").alias("h"), F.min("least").alias("least")).join(met, "node").where("c >= least")
+    meeting = stage(enough.select("node", "h"), "join-meeting")
+    texts = stage(named.join(meeting, "h").groupBy("node").agg(F.min("text").alias("text")), "join-texts")
+    frequent = named.sparkSession.sparkContext.broadcast(_frequent(stage(shared, "join-shared")))
+    sets = stage(texts.mapInPandas(
+        _orders(frequent, similarity), "node long, n long, first array<long>, second array<long>, third array<long>"), "join-orders")
+    sets = sets.join(_meeting(sets, "second"), "node", "left_semi")
+    sets = stage(sets.join(_meeting(sets, "third"), "node", "left_semi"), "join-sets")
     rows = sets.select("node", "n", F.posexplode("second").alias("rank", "token"))
     hubs = rows.groupBy("token").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1")
     rows = stage(rows.join(hubs, "token"), "join-rows")
@@ -225,14 +245,13 @@ def similar_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "tex
     """(doc_id, n_shingles, component_id) of every row with an id."""
     named = docs.where(F.col(doc).isNotNull()).select(
         F.col(doc).cast("bigint").alias("id"), F.xxhash64(whole(text)).alias("h"), whole(text).alias("text"))
-    signed = stage(named.mapInPandas(_signer(similarity), "id long, h long, k1 long, k2 long, n long, first array<long>"), "join-signed")
-    first = stage(signed.where("n > 0").groupBy("k1", "k2").agg(
-        F.min("h").alias("node"), F.min_by("first", "h").alias("first"), F.min("id").alias("least")), "join-first")
-    roots = stage(_roots(first, named.select("h", "text"), similarity), "join-roots")
-    placed = first.select("k1", "k2", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = stage(placed.join(least, "root").select("k1", "k2", "component_id"), "join-components")
-    rows = signed.select("id", "k1", "k2", "n")
-    return rows.join(of_set, ["k1", "k2"], "left").select(
+    signed = stage(named.mapInPandas(
+        _signer(similarity), "id long, h long, node long, n long, least long, first array<long>"), "join-signed")
+    roots = stage(_roots(signed, named.select("h", "text"), similarity), "join-roots")
+    worded = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left")
+    worded = stage(worded.select("node", "least", F.coalesce("root", "node").alias("root")), "join-nodes")
+    least = worded.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_set = worded.join(least, "root").select("node", "component_id")
+    return signed.select("id", "node", "n").join(of_set, "node", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

@@ -155,7 +155,7 @@ def test_prefixes_of_similar_sets_meet_in_every_order():
             continue
         text, token, sizes = gram_join.token_sets([" ".join(words), " ".join(other)])
         for salt in gram_join.SALTS:
-            x, y = gram_join._in_order(text, token, sizes, (gram_join.shingles.mix(token ^ salt),), 80)
+            x, y = gram_join._in_order(text, token, sizes, (gram_join.shingles.mix(token ^ salt),), gram_join.prefix_length(sizes, 80))
             assert set(x.tolist()) & set(y.tolist())
 
 
@@ -210,3 +210,19 @@ def test_a_full_cache_and_small_chunks_change_nothing(monkeypatch):
     assert fill_middle.transform(text.replace("<P>", "<P"), 9, fill_middle.Cache(3), 7, 100, 50) == plain
     assert fill_middle.transform(text, 9, fill_middle.Cache(3), 7, 100, 50)[1] == "plain"
     assert pd.notna(plain[2])
+
+
+def test_longer_prefixes_share_as_much_as_asked():
+    rng = random.Random(6)
+    for _ in range(200):
+        n = rng.randrange(1, 200)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]
+        other = words[: len(words) - rng.randrange(0, n // 10 + 1)]
+        a, b = shingle_set(" ".join(words)), shingle_set(" ".join(other))
+        if 100 * len(a & b) < 80 * len(a | b):
+            continue
+        text, token, sizes = gram_join.token_sets([" ".join(words), " ".join(other)])
+        least = gram_join.least_shared(sizes, 80)
+        x, y = (set(p.tolist()) for p in gram_join._in_order(
+            text, token, sizes, (gram_join.shingles.mix(token ^ gram_join.SALTS[2]),), gram_join.prefix_length(sizes, 80, least)))
+        assert len(x & y) >= least.min() and len(x & y) >= 1
