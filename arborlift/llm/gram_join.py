@@ -53,6 +53,8 @@ AT_ONCE = 1_500_000
 DEPTH = 20
 #: Tokens whose counts are told apart in the orders.
 FULLEST = 200_000
+#: Bits of the test that keeps the texts of no further use from being shuffled: 16 MB.
+SLOTS = 1 << 27
 SALTS = tuple(shingles.mix(np.arange(1, 6, dtype=np.uint64) * shingles.MIX2))
 
 
@@ -134,21 +136,41 @@ def _frequent(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["token"].to_numpy(np.int64), found["c"].to_numpy(np.int64)
 
 
-def _meetings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, c) of the tokens of several nodes; (node, c) of the nodes that have some of them.
+def _held(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, token) of the tokens that several nodes have, with the number ``c`` of such rows.
 
-    ``rows`` (node, token) are dealt out by token once, for the count and for what is counted. A
-    pair may be there more than once, for equal sets; those are one node.
+    They are dealt out by token once, for the count and for what is counted. A pair may be there more
+    than once, for equal sets; those are one node.
     """
     dealt = rows.repartition("token")
     shared = dealt.groupBy("token").agg(
         F.count(F.lit(1)).alias("c"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "c")
-    return shared, dealt.join(shared.select("token"), "token", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    return dealt.join(shared, "token")
 
 
 def _meeting(sets: DataFrame, prefix: str) -> DataFrame:
     """Nodes that share a token of this prefix with another."""
-    return _meetings(sets.select("node", F.explode(prefix).alias("token")))[1].select("node")
+    return _held(sets.select("node", F.explode(prefix).alias("token"))).select("node").distinct()
+
+
+def _maybe(hashes: DataFrame):
+    """A test, broadcast, that is true for all hashes ``h`` of the table and for few others.
+
+    It has ``SLOTS`` bits whatever the table's size; where they are all set it lets all pass.
+    """
+    slot = F.pmod("h", F.lit(SLOTS))
+    words = hashes.groupBy(F.floor(slot / 64).alias("at")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {SLOTS}) % 64 AS int))")).alias("bits")).toPandas()
+    bits = np.zeros(SLOTS // 64, np.int64)
+    bits[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = hashes.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        slots = h.to_numpy(np.int64) % SLOTS
+        return pd.Series((shared.value[slots >> 6] >> (slots & 63)) & 1 == 1)
+
+    return maybe
 
 
 def counts_of_pairs(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +225,7 @@ def _across(rows: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
     small = kept.groupBy("node").agg(F.max("apart").alias("small"), F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("held"))
     held = stage(kept.select("node", "root", "n").distinct().join(small, "node").select(
         "node", "root", "n", "small", F.posexplode("held").alias("at", "e"), F.transform("held", lambda x: x["token"]).alias("order"),
-    ).select("node", "root", "n", "small", "e.rank", "e.token", F.slice("order", F.lit(1), F.col("at")).alias("earlier")), "join-held")
+    ).select("node", "root", "n", "small", "e.rank", "e.token", F.slice("order", F.lit(1), F.col("at")).alias("earlier")), "join-earlier")
     a, b = held.where("small").alias("a"), held.alias("b")
     least = F.ceil(F.lit(similarity) * (F.col("a.n") + F.col("b.n")) / (100 + similarity) - 1e-9)
 
@@ -219,11 +241,12 @@ def _across(rows: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
 
 def _roots(signed: DataFrame, named: DataFrame, similarity: int) -> DataFrame:
     """(node, root) of every node that links with another."""
-    shared, met = _meetings(signed.select("node", F.explode("first").alias("token")))
+    held = stage(_held(signed.select("node", F.explode("first").alias("token"))), "join-held")
+    met = held.groupBy("node").agg(F.countDistinct("token").alias("c"))
     enough = signed.where("n > 0").groupBy("node").agg(F.min("h").alias("h"), F.min("least").alias("least")).join(met, "node").where("c >= least")
     meeting = stage(enough.select("node", "h"), "join-meeting")
-    texts = stage(named.join(meeting, "h").groupBy("node").agg(F.min("text").alias("text")), "join-texts")
-    frequent = named.sparkSession.sparkContext.broadcast(_frequent(stage(shared, "join-shared")))
+    texts = stage(named.where(_maybe(meeting)("h")).join(meeting, "h").groupBy("node").agg(F.min("text").alias("text")), "join-texts")
+    frequent = named.sparkSession.sparkContext.broadcast(_frequent(held.groupBy("token").agg(F.max("c").alias("c"))))
     sets = stage(texts.mapInPandas(
         _orders(frequent, similarity), "node long, n long, first array<long>, second array<long>, third array<long>"), "join-orders")
     sets = sets.join(_meeting(sets, "second"), "node", "left_semi")
