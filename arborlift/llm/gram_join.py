@@ -7,17 +7,17 @@ Prefix filtering says: put the tokens of all sets in any one global order; two s
 similarity then share a token among the first ``n - ceil(0.8 n) + 1`` of each. This holds for every
 order, so a pair has to pass under each of several. Here there are three:
 
-1. by a hash. Its prefixes are counted over all sets, which also tells which tokens are frequent;
-2. rare before frequent by those counts, then by a second hash;
+1. by the tokens' own hashes, over all sets;
+2. rare before frequent, by exact counts over the sets that the first order leaves, then by a second hash;
 3. the same with a third hash.
 
 Sets that share no prefix token with another under an order link with none and leave; what
 is left after one order is looked at under the next. The first order, which meets all sets, asks for more: a prefix that is
 longer by ``l - 1`` must share ``l`` tokens, here a twentieth of the set, so that a passage shared
-in passing does not keep a document. Pairs are made under the second order, whose
-groups are smallest, kept if their prefixes also meet under the first and the third, and only then
-verified, on the whole sets, by exact counts. Any order is right, so that only the fullest ``FULLEST``
-counts are told apart costs candidates, not results.
+in passing does not keep a document. Under the others, tokens of one set alone come first and meet nothing, so a set
+has a prefix to share only if four fifths of its tokens are shared; the rest of the order is sorted from those. Pairs are made
+under the second order, whose groups are smallest, kept if their prefixes also meet under the first and
+the third, and only then verified, on the whole sets, by exact counts.
 
 No group is expanded into its pairs: equal sets are one node; in each group of a token the
 smallest node is compared with all others first, and of what then still lies in several
@@ -37,6 +37,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from arborlift.llm import shingles
 from arborlift.llm.base import by_size, whole
@@ -51,11 +52,9 @@ SIMILARITY = 80
 AT_ONCE = 1_500_000
 #: Every set of the first order shares one in so many of its tokens with others, or leaves.
 DEPTH = 20
-#: Tokens whose counts are told apart in the orders.
-FULLEST = 200_000
 #: Bits of the test that keeps the texts of no further use from being shuffled: 16 MB.
 SLOTS = 1 << 27
-SALTS = tuple(shingles.mix(np.arange(1, 6, dtype=np.uint64) * shingles.MIX2))
+SALT = shingles.MIX2
 
 
 def token_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +83,7 @@ def _in_order(text: np.ndarray, token: np.ndarray, sizes: np.ndarray, keys: tupl
 
 
 def _signer(similarity: int):
-    """A hash of the set, its size, what it must share, and its longer prefix by the first hash.
+    """A hash of the set, its size, what it must share, the last token of its first prefix, and the longer prefix.
 
     Of equal sets of a batch one has the prefix.
     """
@@ -93,59 +92,55 @@ def _signer(similarity: int):
         for frame in by_size(frames, "text", AT_ONCE):
             text, token, sizes = token_sets(frame["text"].tolist())
             ends = np.cumsum(sizes)
-            upto = np.concatenate([[np.uint64(0)], np.cumsum(shingles.mix(token ^ SALTS[0]), dtype=np.uint64)])
+            upto = np.concatenate([[np.uint64(0)], np.cumsum(shingles.mix(token ^ SALT), dtype=np.uint64)])
             node = shingles.mix(upto[ends] - upto[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
             once = np.zeros(len(sizes), bool)
             once[np.unique(node, return_index=True)[1]] = True
             least = least_shared(sizes, similarity)
-            length = np.where(once, prefix_length(sizes, similarity, least), 0)
-            first = _in_order(text, token, sizes, (shingles.mix(token ^ SALTS[2]),), length)
-            yield pd.DataFrame({"id": frame["id"].to_numpy(), "h": frame["h"].to_numpy(), "node": node, "n": sizes, "least": least, "first": first})
+            every = _in_order(text, token, sizes, (token.view(np.int64),), prefix_length(sizes, similarity, least))
+            last = [int(p[k - 1]) if k else 0 for p, k in zip(every, prefix_length(sizes, similarity))]
+            first = [p if o else p[:0] for p, o in zip(every, once)]
+            yield pd.DataFrame({
+                "id": frame["id"].to_numpy(), "h": frame["h"].to_numpy(), "node": node, "n": sizes, "least": least, "last": last, "first": first})
 
     return run
 
 
-def _orders(frequent, similarity: int):
-    """Prefixes under the three orders."""
+def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in by_size(frames, "text", AT_ONCE):
+        text, token, _ = token_sets(frame["text"].tolist())
+        yield pd.DataFrame({"node": frame["node"].to_numpy()[text], "token": token.view(np.int64)})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, count = frequent.value
-        for frame in by_size(frames, "text", AT_ONCE):
-            text, token, sizes = token_sets(frame["text"].tolist())
-            signed = token.view(np.int64)
-            place = np.minimum(np.searchsorted(known, signed), max(len(known) - 1, 0))
-            often = np.where(known[place] == signed, count[place], 0) if len(known) else np.zeros(len(token), np.int64)
-            length = prefix_length(sizes, similarity)
-            first, second, third = (_in_order(text, token, sizes, (shingles.mix(token ^ salt), *keys), length) for salt, keys in (
-                (SALTS[2], ()), (SALTS[3], (often,)), (SALTS[4], (often,))))
-            yield pd.DataFrame({"node": frame["node"].to_numpy(), "n": sizes, "first": first, "second": second, "third": third})
 
-    return run
+def _orders(texts: DataFrame, about: DataFrame, similarity: int) -> DataFrame:
+    """(node, n, alone, first, second, third): prefixes of the sets that have any token to share in all of them.
+
+    ``alone`` is how many of a set's tokens come before those of ``second``, as nobody else has them.
+    """
+    held = _held(texts.select("node", "text").mapInPandas(_tokens, "node long, token long"))
+    lists = held.groupBy("node").agg(F.collect_list(F.struct("c", "token")).alias("held")).join(about, "node").withColumn("s", F.size("held"))
+    take = (F.col("s") - F.ceil(similarity * F.col("n") / 100) + 1).cast("int")
 
+    def ordered(salt: int) -> Column:
+        keyed = F.array_sort(F.transform("held", lambda x: F.struct(x["c"], F.xxhash64(x["token"], F.lit(salt)).alias("by"), x["token"].alias("token"))))
+        return F.transform(F.slice(keyed, F.lit(1), take), lambda x: x["token"])
 
-def _frequent(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The fullest tokens and their counts, by whole steps of the count, ``FULLEST`` at most."""
-    step = F.floor(4 * F.log2("c")).cast("int")
-    fits, least = 0, 1 << 30
-    for r in shared.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("s")).collect():
-        fits += r["k"]
-        if fits > FULLEST:
-            break
-        least = r["s"]
-    found = shared.where(step >= least).orderBy("token").toPandas()
-    return found["token"].to_numpy(np.int64), found["c"].to_numpy(np.int64)
+    return lists.where(F.lit(100) * F.col("s") >= similarity * F.col("n")).select(
+        "node", "n", (F.col("n") - F.col("s")).alias("alone"),
+        F.transform(F.filter("held", lambda x: x["token"] <= F.col("last")), lambda x: x["token"]).alias("first"),
+        ordered(2).alias("second"), ordered(3).alias("third"))
 
 
 def _held(rows: DataFrame) -> DataFrame:
     """``rows`` (node, token) of the tokens that several nodes have, with the number ``c`` of such rows.
 
-    They are dealt out by token once, for the count and for what is counted. A pair may be there more
-    than once, for equal sets; those are one node.
+    They are dealt out by token once, for the count and for what is counted; the rows of a frequent token are
+    buffered beside memory, not in it. A pair may be there more than once, for equal sets; those are one node.
     """
-    dealt = rows.repartition("token")
-    shared = dealt.groupBy("token").agg(
-        F.count(F.lit(1)).alias("c"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "c")
-    return dealt.join(shared, "token")
+    group = Window.partitionBy("token")
+    return rows.select(
+        "node", "token", F.count(F.lit(1)).over(group).alias("c"), F.min("node").over(group).alias("low"), F.max("node").over(group).alias("high"),
+    ).where("low < high").drop("low", "high")
 
 
 def _meeting(sets: DataFrame, prefix: str) -> DataFrame:
@@ -243,15 +238,16 @@ def _roots(signed: DataFrame, named: DataFrame, similarity: int) -> DataFrame:
     """(node, root) of every node that links with another."""
     held = stage(_held(signed.select("node", F.explode("first").alias("token"))), "join-held")
     met = held.groupBy("node").agg(F.countDistinct("token").alias("c"))
-    enough = signed.where("n > 0").groupBy("node").agg(F.min("h").alias("h"), F.min("least").alias("least")).join(met, "node").where("c >= least")
-    meeting = stage(enough.select("node", "h"), "join-meeting")
-    texts = stage(named.where(_maybe(meeting)("h")).join(meeting, "h").groupBy("node").agg(F.min("text").alias("text")), "join-texts")
-    frequent = named.sparkSession.sparkContext.broadcast(_frequent(held.groupBy("token").agg(F.max("c").alias("c"))))
-    sets = stage(texts.mapInPandas(
-        _orders(frequent, similarity), "node long, n long, first array<long>, second array<long>, third array<long>"), "join-orders")
+    one = signed.where("n > 0").groupBy("node").agg(*[F.min(c).alias(c) for c in ("h", "n", "least", "last")])
+    meeting = stage(one.join(met, "node").where("c >= least").select("node", "h", "n", "last"), "join-meeting")
+    once = named.where(_maybe(meeting)("h")).groupBy("h").agg(F.min("text").alias("text"))
+    texts = stage(once.join(meeting.select("node", "h"), "h"), "join-texts")
+    sets = stage(_orders(texts, meeting.select("node", "n", "last"), similarity), "join-orders")
     sets = sets.join(_meeting(sets, "second"), "node", "left_semi")
     sets = stage(sets.join(_meeting(sets, "third"), "node", "left_semi"), "join-sets")
-    rows = sets.select("node", "n", F.posexplode("second").alias("rank", "token"))
+    left = sets.select(F.col("node").alias("h"))
+    texts = stage(texts.where(_maybe(left)("node")).join(left, F.col("node") == left["h"], "left_semi").select("node", "text"), "join-wanted")
+    rows = sets.select("node", "n", "alone", F.posexplode("second").alias("rank", "token")).withColumn("rank", F.col("rank") + F.col("alone"))
     hubs = rows.groupBy("token").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1")
     rows = stage(rows.join(hubs, "token"), "join-rows")
     tested = stage(rows.where(F.col("node") != F.col("u")).select("u", F.col("node").alias("v")).distinct(), "join-hubs")
@@ -269,7 +265,7 @@ def similar_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "tex
     named = docs.where(F.col(doc).isNotNull()).select(
         F.col(doc).cast("bigint").alias("id"), F.xxhash64(whole(text)).alias("h"), whole(text).alias("text"))
     signed = stage(named.mapInPandas(
-        _signer(similarity), "id long, h long, node long, n long, least long, first array<long>"), "join-signed")
+        _signer(similarity), "id long, h long, node long, n long, least long, last long, first array<long>"), "join-signed")
     roots = stage(_roots(signed, named.select("h", "text"), similarity), "join-roots")
     worded = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left")
     worded = stage(worded.select("node", "least", F.coalesce("root", "node").alias("root")), "join-nodes")
