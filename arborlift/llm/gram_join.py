@@ -20,7 +20,7 @@ under the second order, whose groups are smallest, kept if their prefixes also m
 the third, and only then verified, on the whole sets, by exact counts.
 
 No group is expanded into its pairs: equal sets are one node; in each group of a token the
-smallest node is compared with all others first, and of what then still lies in several
+node with the smallest share of tokens of its own is compared with all others first, and of what then still lies in several
 components those outside the group's largest one are compared with the rest, each pair at its first common
 token alone. Nothing bounds the number of partners.
 
@@ -248,9 +248,12 @@ def _roots(signed: DataFrame, named: DataFrame, similarity: int) -> DataFrame:
     left = sets.select(F.col("node").alias("h"))
     texts = stage(texts.where(_maybe(left)("node")).join(left, F.col("node") == left["h"], "left_semi").select("node", "text"), "join-wanted")
     rows = sets.select("node", "n", "alone", F.posexplode("second").alias("rank", "token")).withColumn("rank", F.col("rank") + F.col("alone"))
-    hubs = rows.groupBy("token").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    # a text that many others were made from has few tokens of its own, and links where they do not link with each other
+    central = F.min(F.struct((F.col("alone") / F.col("n")).alias("own"), "node"))
+    hubs = rows.groupBy("token").agg(central.alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("hub.node").alias("hub"))
     rows = stage(rows.join(hubs, "token"), "join-rows")
-    tested = stage(rows.where(F.col("node") != F.col("u")).select("u", F.col("node").alias("v")).distinct(), "join-hubs")
+    tested = stage(rows.where(F.col("node") != F.col("hub")).select(
+        F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct(), "join-hubs")
     links = stage(_passing(tested, sets, texts, similarity), "join-links")
     labels = stage(_labels(links), "join-labels")
     across = _across(rows.select("node", "n", "token", "rank"), labels, similarity)
