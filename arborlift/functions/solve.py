@@ -11,6 +11,8 @@ TOLERANCE = 1e-8
 ETA_LIMIT = 30.0
 MAD_TO_SD = 1.4826
 FIRST_FETCH = 32
+#: Distances and scores count to so many decimals, so that ties are ties whatever the order of the sums behind them.
+DECIMALS = 9
 
 
 def standardise(x: np.ndarray) -> np.ndarray:
@@ -101,14 +103,14 @@ class NearestControls:
             reach = np.partition(near, m - 1)[m - 1] if len(near) > m else np.inf
             if caliper > 0:
                 reach = min(reach, caliper)
-            slack = 1e-9 * (1 + abs(point[0])) + (0 if np.isinf(reach) else reach * 1e-9)
+            slack = 1e-9 * (2 + abs(point[0])) + (0 if np.isinf(reach) else reach * 1e-9)
             lo = int(np.searchsorted(axis, point[0] - reach - slack))
             hi = int(np.searchsorted(axis, point[0] + reach + slack, side="right"))
             positions = np.arange(lo, hi)
-            distance = np.abs(axis[lo:hi] - point[0])
+            distance = np.round(np.abs(axis[lo:hi] - point[0]), DECIMALS)
         else:
             positions = np.arange(n)
-            distance = np.sqrt(((self.coords - point) ** 2).sum(axis=1))
+            distance = np.round(np.sqrt(((self.coords - point) ** 2).sum(axis=1)), DECIMALS)
         if caliper > 0:
             inside = distance <= caliper
             positions, distance = positions[inside], distance[inside]
@@ -130,8 +132,8 @@ def greedy_pairs(treated, treated_cells, controls, control_cells, k, caliper, ho
     Ties are broken by treated cell, then control cell. Only units with ``k``
     free controls within the caliper take part in a pass; those that end a pass
     with fewer release them, and the passes go on until no left-out unit has ``k``
-    free controls. Where a pass completes nobody, the unit whose ``k``
-    nearest free controls are nearest in sum is completed alone. ``horizon`` says how
+    free controls. Where a pass completes nobody, the unit with the nearest free
+    control (of equal ones, that of the smallest cell) is completed alone. ``horizon`` says how
     many nearest controls of each unit are known to be present; returns
     ``None`` when the pairing would have to look beyond it.
     """
@@ -196,7 +198,7 @@ def greedy_pairs(treated, treated_cells, controls, control_cells, k, caliper, ho
                 break
             complete = one_pass(sorted(able))
             if not complete:
-                first = min(able, key=lambda i: (sum(d for d, _ in able[i]), treated_cells[i]))
+                first = min(able, key=lambda i: (able[i][0][0], treated_cells[i]))
                 taken[[position for _, position in able[first]]] = True
                 complete = {first: able[first]}
             done |= complete
@@ -214,7 +216,7 @@ def nearest_each(points: np.ndarray, targets: np.ndarray, cells: np.ndarray):
         axis, first = np.unique(targets[:, 0], return_index=True)
         right = np.clip(np.searchsorted(axis, points[:, 0]), 0, len(axis) - 1)
         left = np.clip(right - 1, 0, None)
-        gap_l, gap_r = np.abs(points[:, 0] - axis[left]), np.abs(points[:, 0] - axis[right])
+        gap_l, gap_r = (np.round(np.abs(points[:, 0] - axis[at]), DECIMALS) for at in (left, right))
         tie = gap_l == gap_r
         smaller = cells_sorted[first[left]] < cells_sorted[first[right]]
         take_left = (gap_l < gap_r) | (tie & smaller)
@@ -226,7 +228,7 @@ def nearest_each(points: np.ndarray, targets: np.ndarray, cells: np.ndarray):
     step = max(1, 2_000_000 // max(ranked.size, 1))
     for at in range(0, len(points), step):
         block = points[at:at + step]
-        gaps = np.sqrt(((block[:, None, :] - ranked[None, :, :]) ** 2).sum(axis=2))
+        gaps = np.round(np.sqrt(((block[:, None, :] - ranked[None, :, :]) ** 2).sum(axis=2)), DECIMALS)
         best = gaps.argmin(axis=1)
         position[at:at + step] = by_cell[best]
         distance[at:at + step] = gaps[np.arange(len(block)), best]

@@ -222,14 +222,18 @@ def failures(sites: DataFrame, stages: DataFrame) -> DataFrame:
     """Why a site gave no matches, in the order the stages run.
 
     ``stages`` has one row per site with ``n_key``, ``n_treatment_final``,
-    ``n_control_final`` and ``n_matched``; absent sites count as 0 everywhere.
+    ``n_control_final`` and ``n_matched``; absent sites count as 0 everywhere. An
+    ``error`` column, if there is one, goes before the counts of what was matched.
     """
+    stages = stages.withColumnsRenamed({"error": "raised"})
     df = sites.select("id_numeric", "site_id", "site_name").join(stages, "id_numeric", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in
             ("n_key", "n_treatment_final", "n_control_final", "n_matched")}
+    raised = F.col("raised") if "raised" in df.columns else F.lit(None).cast("string")
     reason = (
         F.when(zero["n_key"] == 0, "No treatment cells found for site")
         .when(zero["n_treatment_final"] == 0, "No treatment pixels remaining after filtering")
+        .when(raised.isNotNull(), raised)
         .when(zero["n_matched"] == 0, F.format_string(
             "No matches found (treatment=%d, control=%d)",
             zero["n_treatment_final"], zero["n_control_final"]))
@@ -274,6 +278,9 @@ def match_sites(pixels: DataFrame, treatment_key: DataFrame, sites: DataFrame, c
     features, names = design_features(entered, cfg)
     placed = scores.coordinates(features, strata_table, names, cfg)
     sets = stage(pairing.match_rows(placed, cfg), "sets")
+    # a site with a stratum that failed has failed; the others go on
+    raised = stage(sets.where("error IS NOT NULL").groupBy("id_numeric").agg(F.min("error").alias("error")), "raised")
+    sets = sets.where("error IS NULL").drop("error").join(raised, "id_numeric", "left_anti")
 
     share = sampled_fraction(entered, key)
     pool = control_pool(strata_table)
@@ -299,5 +306,6 @@ def match_sites(pixels: DataFrame, treatment_key: DataFrame, sites: DataFrame, c
                               F.col("n_control_sampled").alias("n_control_final")),
               "id_numeric", "left")
         .join(matched, "id_numeric", "left")
+        .join(raised, "id_numeric", "left")
     )
     return matches, failures(sites, stages)

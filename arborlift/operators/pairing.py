@@ -40,11 +40,11 @@ def with_match_weights(matches: DataFrame) -> DataFrame:
 STRATUM = ["id_numeric", "group"]
 COORDS_SCHEMA = (
     "id_numeric int, group string, cell bigint, treatment boolean, coords array<double>, "
-    "pscore double"
+    "pscore double, error string"
 )
 SETS_SCHEMA = (
     "id_numeric int, group string, cell bigint, treatment boolean, match_group string, "
-    "distance double, pscore double"
+    "distance double, pscore double, error string"
 )
 FIRST_HORIZON = 16
 
@@ -53,6 +53,25 @@ def _columns(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
 
 
+def _failed(pdf: pd.DataFrame, why: str, schema: str) -> pd.DataFrame:
+    """One row that says why a stratum has no result."""
+    names = _columns(schema)
+    row = dict.fromkeys(names) | {
+        "id_numeric": pdf["id_numeric"].iloc[0], "group": pdf["group"].iloc[0], "error": why}
+    return pd.DataFrame([[row[c] for c in names]], columns=names)
+
+
+def _guarded(work, schema: str):
+    """``work`` on a stratum; numbers it cannot work with give a row with the error, and the other strata go on."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                return work(pdf)
+        except (ArithmeticError, ValueError, np.linalg.LinAlgError) as exc:
+            return _failed(pdf, f"{type(exc).__name__} in group {pdf['group'].iloc[0]}: {exc}", schema)
+    return run
+
+
 def score_stratum(pdf: pd.DataFrame, names: list[str], cfg: MatchConfig):
     """(coordinates, pscore) of one stratum; None when an arm is empty."""
     treated = pdf["treatment"].to_numpy(dtype=bool)
@@ -60,11 +79,13 @@ def score_stratum(pdf: pd.DataFrame, names: list[str], cfg: MatchConfig):
     if n_t == 0 or n_t == len(pdf):
         return None
     x = pdf[names].to_numpy(dtype=float)
+    if not np.isfinite(x).all():
+        raise ValueError("covariates are not finite")
     if n_t < cfg.min_glm_treatment_pixels:
         return solve.whitened(x, treated), np.full(len(pdf), np.nan)
     score = solve.logit_score(x, treated)
     scale = solve.pooled_scale(score, treated, cfg.distance_scale)
-    return (score / scale)[:, None], 1 / (1 + np.exp(-score))
+    return np.round(score / scale, solve.DECIMALS)[:, None], 1 / (1 + np.exp(-score))
 
 
 def pair_stratum(pdf: pd.DataFrame, coords: np.ndarray, pscore: np.ndarray, cfg: MatchConfig,
@@ -86,9 +107,9 @@ def pair_stratum(pdf: pd.DataFrame, coords: np.ndarray, pscore: np.ndarray, cfg:
     for i, got in pairs.items():
         owner = cells[t_at[i]]
         label = f"{group}:{owner}"
-        rows.append((id_numeric, group, owner, True, label, 0.0, pscore[t_at[i]]))
+        rows.append((id_numeric, group, owner, True, label, 0.0, pscore[t_at[i]], None))
         chosen = c_at[np.searchsorted(cells[c_at], [c for c, _ in got])]
-        rows += [(id_numeric, group, c, False, label, d, pscore[at])
+        rows += [(id_numeric, group, c, False, label, d, pscore[at], None)
                  for (c, d), at in zip(got, chosen)]
     return pd.DataFrame(rows, columns=_columns(SETS_SCHEMA))
 
@@ -129,7 +150,7 @@ def _near_controls(placed: DataFrame, cfg: MatchConfig, horizon: int) -> DataFra
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         treated = pdf["treatment"].to_numpy(dtype=bool)
-        columns = ["id_numeric", "group", "cell", "treatment", "coords", "pscore"]
+        columns = _columns(COORDS_SCHEMA)
         if treated.all() or not treated.any():
             return pdf.loc[np.zeros(len(pdf), dtype=bool), columns]
         coords = np.vstack(pdf["coords"].to_numpy())
@@ -170,7 +191,7 @@ def _pairs_of_large(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
             out = pair_stratum(pdf, coords, pdf["pscore"].to_numpy(dtype=float), cfg, horizon)
             if out is None:
                 head = pdf.iloc[0]
-                row = (head["id_numeric"], head["group"], head["cell"], True, marker, None, None)
+                row = (head["id_numeric"], head["group"], head["cell"], True, marker, None, None, None)
                 return pd.DataFrame([row], columns=names)
             return out
         return pair
@@ -180,7 +201,7 @@ def _pairs_of_large(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
     while True:
         near = _near_controls(rest, cfg, horizon)
         sets = stage(near.groupBy(*STRATUM).applyInPandas(run(horizon), SETS_SCHEMA), "large-sets")
-        good = sets.filter(F.col("match_group") != marker)
+        good = sets.filter(F.coalesce("match_group", F.lit("")) != marker)
         done = good if done is None else done.unionByName(good)
         bad = sets.filter(F.col("match_group") == marker).select(*STRATUM)
         if bad.isEmpty():
@@ -213,8 +234,10 @@ def assign_full(placed: DataFrame, cfg: MatchConfig) -> DataFrame:
         return pd.DataFrame({
             "id_numeric": pdf["id_numeric"].iloc[0], "group": group, "cell": cells[c_at][within],
             "treatment": False,
-            "match_group": [f"{group}:{owner}" for owner in cells[t_at][spot][within]],
+            # of type object even where it is empty, as Arrow takes it for a string then
+            "match_group": np.array([f"{group}:{owner}" for owner in cells[t_at][spot][within]], dtype=object),
             "distance": gap[within], "pscore": pdf["pscore"].to_numpy(dtype=float)[c_at][within],
+            "error": np.full(int(within.sum()), None, dtype=object),
         }, columns=names)
 
     used = pairs.select(*STRATUM, "cell", "treatment")
@@ -229,7 +252,10 @@ def assign_full(placed: DataFrame, cfg: MatchConfig) -> DataFrame:
 
 
 def match_rows(placed, cfg: MatchConfig) -> DataFrame:
-    """Match sets from the output of :func:`scores.coordinates`."""
+    """Match sets from the output of :func:`scores.coordinates`.
+
+    A stratum that cannot be scored or paired has one row with its ``error`` and no cell.
+    """
     local, scored, names = placed
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -237,7 +263,7 @@ def match_rows(placed, cfg: MatchConfig) -> DataFrame:
         if out is None:
             return pd.DataFrame([], columns=_columns(COORDS_SCHEMA))
         coords, pscore = out
-        return pdf[[*STRATUM, "cell", "treatment"]].assign(coords=list(coords), pscore=pscore)
+        return pdf[[*STRATUM, "cell", "treatment"]].assign(coords=list(coords), pscore=pscore, error=None)
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         out = score_stratum(pdf, names, cfg)
@@ -245,9 +271,19 @@ def match_rows(placed, cfg: MatchConfig) -> DataFrame:
             return pd.DataFrame([], columns=_columns(SETS_SCHEMA))
         return pair_stratum(pdf, *out, cfg)
 
+    sound = None
+    if scored is not None:
+        odd = F.exists("coords", lambda v: F.isnan(v) | v.isNull())
+        lost = stage(scored.where(odd).select(*STRATUM).distinct(), "unscored")
+        sound = scored.join(lost, STRATUM, "left_anti").withColumn("error", F.lit(None).cast("string"))
+        lost = lost.withColumn("error", F.concat(F.lit("ValueError in group "), F.col("group"), F.lit(": covariates are not finite")))
     if cfg.max_controls_per_treatment == 0:
-        rows = local.groupBy(*STRATUM).applyInPandas(score, COORDS_SCHEMA)
-        rows = rows if scored is None else rows.unionByName(scored)
-        return assign_full(stage(rows, "coordinates"), cfg)
-    sets = local.groupBy(*STRATUM).applyInPandas(pair, SETS_SCHEMA)
-    return sets if scored is None else sets.unionByName(_pairs_of_large(scored, cfg))
+        rows = stage(local.groupBy(*STRATUM).applyInPandas(_guarded(score, COORDS_SCHEMA), COORDS_SCHEMA), "scores")
+        failed = rows.where("error IS NOT NULL").select(*STRATUM, "error")
+        rows = rows.where("error IS NULL")
+        rows = rows if sound is None else rows.unionByName(sound)
+        sets = assign_full(stage(rows, "coordinates"), cfg).unionByName(failed, allowMissingColumns=True)
+    else:
+        sets = local.groupBy(*STRATUM).applyInPandas(_guarded(pair, SETS_SCHEMA), SETS_SCHEMA)
+        sets = sets if sound is None else sets.unionByName(_pairs_of_large(sound, cfg))
+    return sets if scored is None else sets.unionByName(lost, allowMissingColumns=True)

@@ -71,12 +71,12 @@ def _symmetric(flat: np.ndarray, p: int) -> np.ndarray:
 
 
 def _predictor(names: list[str]) -> Column:
-    """Intercept plus slopes times the standardized columns, clipped."""
+    """Intercept plus slopes times the standardized columns, clipped; what is not a number stays so."""
     terms = F.element_at("beta", 1)
     for i, c in enumerate(names):
         terms = terms + F.element_at("beta", i + 2) * F.col(c)
     limit = F.lit(solve.ETA_LIMIT)
-    return F.least(F.greatest(terms, -limit), limit)
+    return F.when(F.isnan(terms), float("nan")).otherwise(F.least(F.greatest(terms, -limit), limit))
 
 
 def _logit_step(rows: DataFrame, betas: DataFrame, names: list[str]) -> DataFrame:
@@ -96,15 +96,20 @@ def _logit_step(rows: DataFrame, betas: DataFrame, names: list[str]) -> DataFram
     )
     p = len(terms)
 
+    def step(gram: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        """Not a number where there is no step: the stratum is reported, the others go on."""
+        if not (np.isfinite(gram).all() and np.isfinite(gradient).all()):
+            return np.full(p, np.nan)
+        return solve.newton_step(gram, gradient)
+
     @F.pandas_udf("array<double>")
     def solved(gram: pd.Series, gradient: pd.Series, beta: pd.Series) -> pd.Series:
         return pd.Series([
-            (np.asarray(b) + solve.newton_step(_symmetric(np.asarray(g), p), np.asarray(d)))
-            .tolist()
+            (np.asarray(b) + step(_symmetric(np.asarray(g), p), np.asarray(d))).tolist()
             for g, d, b in zip(gram, gradient, beta)
         ])
 
-    close = F.abs(F.col("now") - F.col("deviance")) < solve.TOLERANCE * (F.abs("now") + 0.1)
+    close = F.isnan("now") | (F.abs(F.col("now") - F.col("deviance")) < solve.TOLERANCE * (F.abs("now") + 0.1))
     return sums.select(
         *STRATUM,
         F.when(close, F.col("beta")).otherwise(solved("gram", "gradient", "beta")).alias("beta"),
@@ -165,7 +170,7 @@ def _logit_coordinates(rows: DataFrame, names: list[str], cfg: MatchConfig) -> D
     ), "large-scores")
     return scored.join(pooled_spreads(scored, cfg.distance_scale), STRATUM).select(
         *STRATUM, "cell", "treatment",
-        F.array(F.col("lp") / F.col("scale")).alias("coords"),
+        F.array(F.round(F.col("lp") / F.col("scale"), solve.DECIMALS)).alias("coords"),
         (1 / (1 + F.exp(-F.col("lp")))).alias("pscore"),
     )
 
@@ -185,6 +190,9 @@ def _mahalanobis_coordinates(rows: DataFrame, names: list[str]) -> DataFrame:
         out = []
         for flat, size in zip(scatter, n):
             cov = _symmetric(np.asarray(flat), p) / max(size - 2, 1)
+            if not np.isfinite(cov).all():
+                out.append(np.full((1, p), np.nan).tolist())
+                continue
             w = solve.whitening(cov)
             out.append((w.T if w.shape[1] else np.zeros((1, p))).tolist())
         return pd.Series(out)

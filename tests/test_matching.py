@@ -29,7 +29,7 @@ def run(spark, sf, **changes):
 
 def brute_greedy(t, tc, c, cc, k, caliper):
     """Passes of nearest pair first; units that stay short release their controls."""
-    gaps = {(i, j): float(np.sqrt(((t[i] - c[j]) ** 2).sum())) for i in range(len(tc)) for j in range(len(cc))}
+    gaps = {(i, j): round(float(np.sqrt(((t[i] - c[j]) ** 2).sum())), 9) for i in range(len(tc)) for j in range(len(cc))}
     used, done, left = set(), {}, list(range(len(tc)))
     while True:
         free = {i: sorted((gaps[i, j], cc[j], j) for j in range(len(cc))
@@ -44,7 +44,7 @@ def brute_greedy(t, tc, c, cc, k, caliper):
                 got[i].append(j)
         complete = {i: v for i, v in got.items() if len(v) == k}
         if not complete:
-            first = min(left, key=lambda i: (sum(d for d, _, _ in free[i][:k]), tc[i]))
+            first = min(left, key=lambda i: (free[i][0][0], tc[i]))
             complete = {first: [j for _, _, j in free[first][:k]]}
         done |= complete
         used |= {j for v in complete.values() for j in v}
@@ -320,3 +320,27 @@ def test_categorical_terms_become_indicators(spark):
     out, names = matching.design_features(rows, cfg)
     got = {r.cell: [r[n] for n in names] for r in out.collect()}
     assert got == {1: [0, 0, 1, 0], 2: [1, 0, 2, 0], 3: [0, 1, 3, 0]}
+
+
+@pytest.mark.parametrize("changes", [{}, {"max_controls_per_treatment": 2}, {"max_controls_per_treatment": 0}, {"local_rows": 40}])
+def test_a_poisoned_stratum_fails_its_site_alone(spark, sf, changes):
+    """Infinite covariates in one site's stratum: one marker for it, and all other sites as before."""
+    sites = T.sites(spark, sf).filter("area_ha >= 100")
+    key, pixels = T.treatment_key(spark, sf), T.candidates(spark, sf)
+    cfg = config(**changes)
+    plain, lost = matching.match_sites(pixels, key, sites, cfg)
+    plain = key_rows(plain, ["site_id", "cell", "match_group", "treatment"])
+    victim = plain.site_id.iloc[0]
+    cell = plain[(plain.site_id == victim) & plain.treatment].cell.iloc[0]
+    elev = F.when(F.col("cell") == int(cell), float("inf")).otherwise(F.col("elev"))
+    got, failed = matching.match_sites(pixels.withColumn("elev", elev), key, sites, cfg)
+    got = key_rows(got, ["site_id", "cell", "match_group", "treatment"])
+    pd.testing.assert_frame_equal(got, plain[plain.site_id != victim].reset_index(drop=True))
+    before, after = ({r.site_id: r.error for r in f.collect()} for f in (lost, failed))
+    assert set(after) == set(before) | {victim} and "not finite" in after[victim]
+
+
+def test_full_matching_of_strata_out_of_reach(spark, sf):
+    """A caliper no left-over control lies within: such a stratum adds no rows, and nothing fails."""
+    m, _ = run(spark, sf, max_controls_per_treatment=0, caliper_width=1e-7)
+    assert m.filter("NOT treatment AND distance > 1e-7").isEmpty()
