@@ -51,7 +51,7 @@ ORDERS, END, GAP = 6, 10, 32
 PARTED, SPREAD = 3, 0x9E3779B1
 #: The least number of parts; distinct runs, and bytes of text, for each part beyond it.
 LEAST_PARTS, RUNS_A_PART, BYTES_A_PART = 12, 1_000_000, 16_000_000
-HEAD_WORDS, AT_ONCE, RUNS_AT_ONCE = 1_000_000, 3_000_000, 60_000
+HEAD_WORDS, AT_ONCE, RUNS_AT_ONCE = 50_000, 3_000_000, 60_000
 #: Added to both counts; steps of the adaptive map; rate, batch and rounds of learning.
 PRIOR, LEVELS, RATE, BATCH, EPOCHS = 0.3, 33, 0.1, 256, 3
 GATES = 8 * (ORDERS + 1)
@@ -422,14 +422,18 @@ def score(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", fold: int
         fits, least = fits + r["k"], r["s"]
     is_head = step >= least if least is not None else F.lit(False)
     top = words.where(is_head).toPandas()
-    head = np.sort(top["key"].to_numpy().astype(np.int64).view(np.uint64))
-    order = np.argsort(top["key"].to_numpy().astype(np.int64).view(np.uint64))
-    log_head = np.log10(top["n"].to_numpy().astype(np.float64) + 1)[order]
+    head = top["key"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(head)
+    head, log_head = head[order], np.log10(top["n"].to_numpy().astype(np.float64)[order] + 1)
+    del top
     batches = stage(rows.mapInPandas(_asker(model.parts), ASKED), "mixing-batches")
     asked = batches.where(F.col("part") >= 0).select("batch", "part", "keys")
     shared = spark.sparkContext.broadcast(model)
     answers = stage(model.held.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(_answerer(shared), ANSWERED), "mixing-answers")
-    shared = spark.sparkContext.broadcast((model.parts, head, log_head))
+    shared.destroy()  # the answers are written
+    parts = model.parts
+    del model
+    shared = spark.sparkContext.broadcast((parts, head, log_head))
     texts_of = batches.where(F.col("part") < 0).select("batch", "row", "id", "gone", "held_out", "text")
     scored = stage(texts_of.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_scorer(shared), SCORED), "mixing-scores")
     tail = scored.select("row", F.inline(F.arrays_zip("tail", "tail_n")).alias("key", "k"))
