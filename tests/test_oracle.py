@@ -24,6 +24,13 @@ def test_query(spark, sf, con, name):
         assert df.count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n.startswith("match_") and n not in SQL))
+def test_matching_without_sql_runs_on_more(spark, name):
+    """Strata of every shape: what the smallest tables do not have."""
+    df = entry.queries()[name](spark, "/root/testdata/sf0.01")
+    assert df.count() > 1000
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
