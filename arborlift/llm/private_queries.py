@@ -21,10 +21,12 @@ def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _(spark, d):
     base, found = P.find_private(table(spark, d, "documents"))
     counts = [F.col("n")[i].alias(f"n_{k}") for i, k in enumerate(P.KINDS[:4])]
-    rows = base.join(found, P.KEY, "left").select(
-        "doc_id", "gone", *counts, F.col("sha").alias("base_sha256"), "spans", "more",
-        F.size(F.coalesce("more", F.array().cast("array<struct<first:int,last:int>>"))).cast("bigint").alias("n_identifier"))
-    plain = rows.where(F.col("more").isNull()).drop("more")
-    added = rows.where(F.col("more").isNotNull()).mapInPandas(
-        _joined, "doc_id long, gone boolean, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_identifier long")
-    return plain.unionByName(added).withColumn("doc_id", F.when(~F.col("gone"), F.col("doc_id"))).drop("gone")
+    added = [F.coalesce(F.size(F.filter("more", lambda m, k=k: m["kind"] == k)).cast("bigint"), F.lit(0).cast("bigint")).alias(f"n_{k}")
+             for k in P.KINDS[4:]]
+    rows = base.join(found, P.KEY, "left").select("doc_id", "gone", *counts, F.col("sha").alias("base_sha256"), "spans", *added, "more")
+    plain = rows.where(F.col("more").isNull())
+    kinds = ", ".join(f"n_{k} long" for k in P.KINDS[:4])
+    more = rows.where(F.col("more").isNotNull()).mapInPandas(
+        _joined, f"doc_id long, gone boolean, {kinds}, base_sha256 string, spans string, n_secret long, n_identifier long")
+    return plain.drop("more").withColumns({c: F.lit(0).cast("bigint") for c in ("n_secret", "n_identifier")}).unionByName(more).withColumn(
+        "doc_id", F.when(~F.col("gone"), F.col("doc_id"))).drop("gone")

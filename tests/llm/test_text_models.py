@@ -293,6 +293,71 @@ def test_patterns_discover_identifiers(spark):
     assert texts[9].startswith("é please reach me at <PHONE> or") and texts[11] == "chapter 12345 of it"
 
 
+def test_keys_discover_values_by_rounds(spark):
+    """Secrets trust ``password=``; what it holds trusts ``pin:``, which no seed follows."""
+    texts = [f"as password=b7db7aa4a5fcc78{i:03d} is" for i in range(30)]
+    texts += [f"so password=swordfish{'abcd'[i]} is" for i in range(4)] + [f"or pin:swordfish{'abcd'[i]} is" for i in range(4)]
+    texts += ["or pin:unicorns is", "see note:unicorn5 here, version 20.10.5"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, found = private_data.find_private(docs)
+    got = {r.doc_id: [texts[r.doc_id][s.first:s.last] for s in r.more] for r in found.collect()}
+    want = {i: [f"b7db7aa4a5fcc78{i:03d}"] for i in range(30)}
+    want |= {i: [f"swordfish{'abcd'[(i - 30) % 4]}"] for i in range(30, 38)}
+    assert got == want | {38: ["unicorns"]}
+
+
+def test_scores_equal_brute_force(spark, sf):
+    """Graph, places and scores of a plain-Python bootstrap over the whole table."""
+    folder = str(sf).replace("sf0.001", "sf0.01")  # the smallest table induces no pattern
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    named = private_data._named(docs, "doc_id", "text")
+    values = named.mapInPandas(private_data._find, private_data.FOUND).selectExpr("inline(values)")
+    scores, patterns = private_data.score_graph(named, values)
+    rows = values.collect()
+    edges = {}
+    for r in rows:
+        for p, is_name in ((r.one, False), (r.two, False), (r.name, True)):
+            if p:
+                n, seed = edges.get((p, is_name, r.instance), (0, 0.0))
+                edges[p, is_name, r.instance] = (n + 1, max(seed, float(r.seed > 0)))
+    places = {}
+    for (p, is_name, _), (n, _) in edges.items():
+        if is_name:
+            places[p] = places.get(p, 0) + n
+    for r in docs.collect():
+        parts = [w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w]
+        contexts = [" ".join(parts[max(0, i - 2):i]) for i in range(1, len(parts))]
+        one, two = private_data._pattern_hashes(contexts)
+        for code in one.view("int64").tolist() + two.view("int64").tolist():
+            places[code] = places.get(code, 0) + 1
+    edges = {k: v for k, v in edges.items() if k[2]}
+    score = {}
+    for (_, _, v), (_, seed) in edges.items():
+        score[v] = max(score.get(v, 0.0), seed)
+    seeds, known, trust = dict(score), set(), {}
+    for _ in range(private_data.ROUNDS):
+        shown = [k for k in edges if score[k[2]] >= private_data.LEAST_SCORE]
+        seen = {}
+        for p, _, _ in shown:
+            seen[p] = seen.get(p, 0) + 1
+        new = {p for p, n in seen.items() if n >= 3 and n >= private_data.SUPPORT * len(shown)} - known
+        if not new:
+            break
+        known |= new
+        weight = dict.fromkeys(known, 0.0)
+        for (p, _, v), (n, _) in edges.items():
+            if p in known:
+                weight[p] += n * score[v]
+        trust = {p: min(w / (places[p] + 1), 0.999) for p, w in weight.items()}
+        miss = dict.fromkeys(score, 1.0)
+        for p, _, v in edges:
+            if trust.get(p, 0) >= private_data.LEAST_SCORE:
+                miss[v] *= 1 - trust[p]
+        score = {v: max(seeds[v], 1 - miss[v]) for v in score}
+    assert trust and {r.pattern: round(r.trust, 9) for r in patterns.collect()} == {p: round(t, 9) for p, t in trust.items()}
+    assert {r.instance: round(r.score, 9) for r in scores.collect()} == {v: round(x, 9) for v, x in score.items()}
+
+
 def test_private_edges(spark):
     rows = [(None, "a@b.cc", "k", 1), (1, None, None, None), (1, "", "k", 2), (2, "é 1.2.3.4", "k", 3), (2, "é 1.2.3.4", "k", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, gone int")
