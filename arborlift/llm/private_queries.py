@@ -21,8 +21,7 @@ def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _(spark, d):
     base, found = P.find_private(table(spark, d, "documents"))
     counts = [F.col("n")[i].alias(f"n_{k}") for i, k in enumerate(P.KINDS[:4])]
-    added = [F.coalesce(F.size(F.filter("more", lambda m, k=k: m["kind"] == k)).cast("bigint"), F.lit(0).cast("bigint")).alias(f"n_{k}")
-             for k in P.KINDS[4:]]
+    added = [F.expr(f"coalesce(size(filter(more, m -> m.kind = '{k}')), 0)").cast("bigint").alias(f"n_{k}") for k in P.KINDS[4:]]
     rows = base.join(found, P.KEY, "left").select("doc_id", "gone", *counts, F.col("sha").alias("base_sha256"), "spans", *added, "more")
     plain = rows.where(F.col("more").isNull())
     kinds = ", ".join(f"n_{k} long" for k in P.KINDS[:4])
