@@ -35,14 +35,36 @@ def _(spark, d):
     })
 
 
-@query("stream_manifest_changes", cte(MANIFEST) + """
-SELECT covariate_name, substr(sha256(string_agg(e,'|' ORDER BY e)),1,16) AS tile_etag_hash
-FROM (SELECT covariate_name, name||':'||etag||':'||size_bytes AS e FROM mani) GROUP BY 1""")
+LISTINGS = """lists AS (SELECT l AS listing, name, covariate_name,
+  CASE WHEN l>=1 AND size_bytes%40=0 AND substr(covariate_name,1,1)<'n' THEN etag||'-'||l ELSE etag END AS etag, size_bytes
+ FROM mani, (VALUES (0),(1),(2),(3)) v(l)
+ WHERE NOT (l=2 AND length(covariate_name)%2=0)),
+prints AS (SELECT listing, covariate_name, substr(sha256(string_agg(e,'|' ORDER BY e)),1,16) AS h
+ FROM (SELECT listing, covariate_name, name||':'||etag||':'||size_bytes AS e FROM lists) GROUP BY 1,2)"""
+
+
+@query("stream_manifest_changes", cte(MANIFEST, LISTINGS) + """
+SELECT CAST(coalesce(a.listing,b.listing+1) AS BIGINT) AS listing, coalesce(a.covariate_name,b.covariate_name) AS covariate_name,
+ a.h AS tile_etag_hash, CASE WHEN b.h IS NULL THEN 'new' WHEN a.h IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM prints a FULL JOIN (SELECT * FROM prints WHERE listing<3) b
+ ON a.covariate_name=b.covariate_name AND a.listing=b.listing+1
+WHERE a.h IS DISTINCT FROM b.h""")
 def _(spark, d):
-    schema = T.table(spark, d, "pages").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(d)
-    table = work_path(spark, "snapshots")
-    feeds.run_manifest_stream(
-        T.manifest_rows(raw), table, work_path(spark, "snapshots-checkpoint")
-    )
-    return spark.read.parquet(table).select("covariate_name", "tile_etag_hash")
+    """Four listings of the manifest, each in two parts that come in batches of their own.
+
+    Later ones have new tiles in some layers, and one lacks some layers.
+    """
+    number = F.col("listing")
+    tiles = T.manifest_rows(T.table(spark, d, "pages")).withColumn(
+        "listing", F.explode(F.array(*[F.lit(n).cast("bigint") for n in range(4)])))
+    retiled = (number >= 1) & (F.col("size_bytes") % 40 == 0) & (F.substring("covariate_name", 1, 1) < "n")
+    tiles = tiles.filter(~((number == 2) & (F.length("covariate_name") % 2 == 0))).withColumn(
+        "etag", F.when(retiled, F.concat_ws("-", "etag", "listing")).otherwise(F.col("etag")))
+    sizes = tiles.groupBy("listing").agg(F.count("*").alias("n_objects"))
+    tiles = tiles.join(F.broadcast(sizes), "listing").withColumn(
+        "part", number * 2 + F.pmod(F.xxhash64("name"), F.lit(2)))
+    feed, table = work_path(spark, "listings"), work_path(spark, "snapshots")
+    tiles.select("part", *[c.split()[0] for c in feeds.LISTING.split(", ")]).write.partitionBy("part").parquet(feed)
+    raw = spark.readStream.schema(feeds.LISTING + ", part bigint").option("maxFilesPerTrigger", 3).parquet(feed)
+    feeds.run_manifest_stream(raw, table, work_path(spark, "snapshots-checkpoint"))
+    return feeds.read_changes(spark, table)

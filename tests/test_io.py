@@ -186,13 +186,39 @@ def test_status_stream_over_batches(spark, tmp_path):
     assert got == {"a": ("merged", 2, True), "b": ("exporting", 1, False)}
 
 
+def test_status_table_does_not_grow_with_batches(spark, tmp_path):
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema = "key string, status string, ts timestamp, id bigint"
+    for i in range(10):
+        spark.createDataFrame([(f"k{i % 3}", f"s{i}", i)], "key string, status string, id bigint").select(
+            "key", "status", F.timestamp_seconds("id").alias("ts"), "id").coalesce(1).write.mode("append").parquet(source)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    feeds.run_status_stream(raw, table, checkpoint, every=2)
+    got = {r.key: (r.status, r.n_changes) for r in feeds.read_status(spark, table).collect()}
+    assert got == {"k0": ("s9", 4), "k1": ("s7", 3), "k2": ("s8", 3)}
+    assert len(glob.glob(f"{table}/slot=*")) <= 6
+    feeds._keep_status(table, 2)(spark.createDataFrame([("k0", "s9", 4)], "key string, status string, n_changes bigint"), 9)
+    assert feeds.read_status(spark, table).count() == 3  # a repeated batch replaces itself
+
+
 def test_manifest_stream_records_changes_only(spark, tmp_path):
     source, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
-    schema = "name string, covariate_name string, etag string, size_bytes bigint"
-    def push(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        feeds.run_manifest_stream(spark.readStream.schema(schema).parquet(source), table, checkpoint)
-    push([("a1.tif", "a", "x", 1), ("b1.tif", "b", "y", 1), ("b.txt", "b", "q", 1)])
-    push([("a1.tif", "a", "x", 1), ("b1.tif", "b", "z", 1)])
-    log = spark.read.parquet(table).collect()
-    assert sorted((r.batch, r.covariate_name) for r in log) == [(0, "a"), (0, "b"), (1, "b")]
+    def push(*rows):
+        spark.createDataFrame(rows, feeds.LISTING).coalesce(1).write.mode("append").parquet(source)
+        feeds.run_manifest_stream(spark.readStream.schema(feeds.LISTING).parquet(source), table, checkpoint)
+    def log():
+        return sorted((r.listing, r.covariate_name, r.change) for r in feeds.read_changes(spark, table).collect())
+    push((1, 4, "a1.tif", "a", "x", 1), (1, 4, "b1.tif", "b", "y", 1), (1, 4, "b.txt", "b", "q", 1), (1, 4, "c1.tif", "c", "r", 1))
+    first = [(1, "a", "new"), (1, "b", "new"), (1, "c", "new")]
+    assert log() == first
+    push((2, 2, "a1.tif", "a", "x", 1))  # half a listing changes nothing yet
+    assert log() == first
+    push((2, 2, "b1.tif", "b", "z", 1), (3, 1, "b1.tif", "b", "z", 1))  # the rest, and the next one
+    later = [(2, "b", "changed"), (2, "c", "removed"), (3, "a", "removed")]
+    assert log() == sorted(first + later)
+    push((2, 1, "d1.tif", "d", "z", 1))  # older than what was compared last
+    push((4, 1, "b1.tif", "b", "z", 1))
+    assert log() == sorted(first + later)
+    push((5, 2, "b1.tif", "b", "z", 1), (5, 2, "c1.tif", "c", "r", 1))
+    assert log() == sorted([*first, *later, (5, "c", "new")])
+    assert len(glob.glob(f"{table}/current/*")) == 2
