@@ -40,14 +40,64 @@ def control_rank(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order))
 
 
+ZONES = 1_000_000
+BUCKET_BITS = 16
+
+
 def controls_within(rows: DataFrame, caliper: float) -> DataFrame:
-    """How many controls each treated row has within the caliper; 0 if none."""
-    n = caliper_pairs(rows, caliper).groupBy(*STRATUM, "treated_cell").agg(
+    """How many controls each treated row has within the caliper; 0 if none.
+
+    No pairs are built. Scores fall into zones of a millionth of the caliper,
+    and controls are counted cumulatively along them, so what lies inside the
+    band is the difference of two positions. Only the zones at its two ends
+    are joined, score by score, and tested exactly. Controls of one zone are
+    counted before they are ranked, in buckets of 65536 zones, so a bucket has
+    a bounded number of rows however many controls crowd there.
+
+    Scores that are null, NaN or infinite are near nothing. The caliper must
+    be positive.
+    """
+    if not caliper > 0:
+        raise ValueError("the caliper must be positive")
+    grain = caliper / ZONES
+    score = F.col("score")
+    usable = rows.filter(score.isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf")))
+    controls = usable.filter(~F.col("treatment")).groupBy(*STRATUM, "score").agg(
         F.count("*").alias("_n")
+    ).withColumn("_zone", F.floor(score / grain))
+    low, high = F.floor((score - caliper) / grain), F.floor((score + caliper) / grain)
+    asked = usable.filter("treatment").select(*STRATUM, "score").distinct()
+    ends = asked.select(*STRATUM, "score", F.inline(F.array(
+        F.struct((low + 1).alias("_zone"), F.lit(-1).alias("_sign")),
+        F.struct((high - 2).alias("_zone"), F.lit(1).alias("_sign")),
+    )))
+
+    filled = (
+        controls.select(*STRATUM, "_zone", "_n")
+        .unionByName(ends.select(*STRATUM, "_zone", F.lit(0).cast("long").alias("_n")))
+        .groupBy(*STRATUM, "_zone").agg(F.sum("_n").alias("_n"))
+        .withColumn("_bucket", F.shiftright("_zone", BUCKET_BITS))
     )
-    treated = rows.filter("treatment").select(*STRATUM, F.col("cell").alias("treated_cell"))
-    return treated.join(n, [*STRATUM, "treated_cell"], "left").select(
-        *STRATUM, "treated_cell", F.coalesce("_n", F.lit(0)).alias("n_within")
+    along = Window.partitionBy(*STRATUM).orderBy("_bucket")
+    offsets = filled.groupBy(*STRATUM, "_bucket").agg(F.sum("_n").alias("_b")).select(
+        *STRATUM, "_bucket", (F.sum("_b").over(along) - F.col("_b")).alias("_offset")
+    )
+    inside = Window.partitionBy(*STRATUM, "_bucket").orderBy("_zone")
+    positions = filled.withColumn("_up_to", F.sum("_n").over(inside)).join(
+        offsets, [*STRATUM, "_bucket"]
+    ).select(*STRATUM, "_zone", (F.col("_up_to") + F.col("_offset")).alias("_up_to"))
+    between = ends.join(positions, [*STRATUM, "_zone"]).select(
+        *STRATUM, "score", (F.col("_sign") * F.col("_up_to")).alias("_n")
+    )
+
+    rims = F.array_union(F.sequence(low - 1, low + 1), F.sequence(high - 1, high + 1))
+    rim = asked.withColumn("_zone", F.explode(rims)).join(
+        controls.withColumnRenamed("score", "_cs"), [*STRATUM, "_zone"]
+    ).filter(F.abs(score - F.col("_cs")) <= caliper).select(*STRATUM, "score", "_n")
+
+    n = between.unionByName(rim).groupBy(*STRATUM, "score").agg(F.sum("_n").alias("_n"))
+    return rows.filter("treatment").join(n, [*STRATUM, "score"], "left").select(
+        *STRATUM, F.col("cell").alias("treated_cell"), F.coalesce("_n", F.lit(0)).alias("n_within")
     )
 
 

@@ -383,8 +383,10 @@ def _(spark, d):
 
 
 @query("agg_tile_fingerprint", cte(MANIFEST) + """
-SELECT covariate_name, substr(sha256(string_agg(e,'|' ORDER BY e)),1,16) AS tile_etag_hash
-FROM (SELECT covariate_name, name||':'||etag||':'||size_bytes AS e FROM mani) GROUP BY 1""")
+SELECT covariate_name, substr(sha256(string_agg(b||h,'|' ORDER BY b)),1,16) AS tile_etag_hash
+FROM (SELECT covariate_name, b, sha256(string_agg(DISTINCT e,'|' ORDER BY e)) AS h
+ FROM (SELECT covariate_name, substr(md5(name),1,3) AS b, name||':'||etag||':'||size_bytes AS e FROM mani)
+ GROUP BY 1,2) GROUP BY 1""")
 def _(spark, d):
     return registry.tile_fingerprint(T.manifest(spark, d))
 

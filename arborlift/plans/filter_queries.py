@@ -201,17 +201,51 @@ MERGING = """, mrg AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN '
 """
 
 
-@query("flt_stale_merging", "WITH " + MERGING[2:] + f"""
-SELECT id, status FROM mrg WHERE status<>'merged'
-AND started_at < TIMESTAMP '{NOW}' - INTERVAL 15 MINUTE""")
-def _(spark, d):
+def merge_feed(spark, d):
     status = F.when(F.col("event_type") == "view", "merging").when(
         F.col("event_type") == "click", "pending_merge").otherwise("merged")
-    feed = T.table(spark, d, "events").select(
+    return T.table(spark, d, "events").select(
         F.col("event_id").alias("id"), status.alias("status"),
         F.col("ts").cast("timestamp").alias("started_at"),
     )
-    return registry.stale_records(feed, F.lit(NOW).cast("timestamp")).select("id", "status")
+
+
+@query("flt_stale_merging", "WITH " + MERGING[2:] + f"""
+SELECT id, status FROM mrg WHERE status<>'merged'
+AND started_at < TIMESTAMP '{NOW}' - INTERVAL 15 MINUTE""")
+def _(spark, d):
+    return registry.stale_records(merge_feed(spark, d), F.lit(NOW).cast("timestamp")).select("id", "status")
+
+
+STALE = f"status<>'merged' AND started_at < TIMESTAMP '{NOW}' - INTERVAL 15 MINUTE"
+SHOWN = "yyyy-MM-dd HH:mm:ss"
+
+
+@query("upd_stale_reset", "WITH " + MERGING[2:] + f"""
+SELECT id, CASE WHEN {STALE} THEN 'failed' ELSE status END AS status,
+ CASE WHEN {STALE} THEN '{registry.STALE_MESSAGE}' END AS error_message,
+ CASE WHEN {STALE} THEN '{NOW}' END AS completed_at FROM mrg""")
+def _(spark, d):
+    out = registry.reset_stale(merge_feed(spark, d), F.lit(NOW).cast("timestamp"))
+    return out.select("id", "status", "error_message", F.date_format("completed_at", SHOWN).alias("completed_at"))
+
+
+@query("upd_stale_snapshots", "WITH " + MERGING[2:] + f""",
+snap AS (SELECT l_orderkey*8+l_linenumber AS id, l_orderkey AS covariate_id, CASE l_returnflag
+ WHEN 'N' THEN 'pending_merge' WHEN 'R' THEN 'merging' ELSE 'merged' END AS status FROM lineitem),
+upd AS (SELECT *, status<>'merged' AND covariate_id IN (SELECT id FROM mrg WHERE {STALE}) AS hit FROM snap)
+SELECT id, covariate_id, CASE WHEN hit THEN 'failed' ELSE status END AS status,
+ CASE WHEN hit THEN '{registry.SNAPSHOT_MESSAGE}' END AS error_message,
+ CASE WHEN hit THEN '{NOW}' END AS merge_completed_at FROM upd""")
+def _(spark, d):
+    status = F.when(F.col("l_returnflag") == "N", "pending_merge").when(
+        F.col("l_returnflag") == "R", "merging").otherwise("merged")
+    snapshots = T.table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+        F.col("l_orderkey").alias("covariate_id"), status.alias("status"),
+    )
+    out = registry.reset_snapshots(snapshots, merge_feed(spark, d), F.lit(NOW).cast("timestamp"))
+    return out.withColumn("merge_completed_at", F.date_format("merge_completed_at", SHOWN))
 
 
 @query("flt_ready_layers", cte(REGISTRY) + """

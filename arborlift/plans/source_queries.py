@@ -177,10 +177,13 @@ def _(spark, d):
     return spark.read.parquet(path).select("site_id", "emissions_avoided_mgco2e", "n_years")
 
 
+def written(spark, lines, name):
+    path = tables.work_path(spark, name)
+    tables.write_document(lines, path)
+    return path
 
 
-@query("sink_summary_json")
-def _(spark, d):
+def summary_lines(spark, d):
     p = panel(spark, d)
     s, y, t = T.sites(spark, d), yearly(spark, d), totals(spark, d)
     failed = s.join(t, "site_id", "left_anti").withColumn("error", F.lit("No matches found"))
@@ -189,14 +192,71 @@ def _(spark, d):
     return tables.run_summary_document(run, t, failed, sub, "run", 1)
 
 
-@query("sink_analysis_payload")
+@query("sink_summary_json", cte(*RESULTS) + """
+, done AS (SELECT site_id, site_name, emissions_avoided_mgco2e AS e, forest_loss_avoided_ha AS f, area_ha AS a, n_years FROM totals),
+lost AS (SELECT site_id, site_name FROM sites WHERE site_id NOT IN (SELECT site_id FROM totals))
+SELECT 'run' AS section, CAST(NULL AS VARCHAR) AS site_id, CAST(NULL AS VARCHAR) AS site_name, round(sum(e),4) AS emissions_avoided_mgco2e,
+ round(sum(f),4) AS forest_loss_avoided_ha, round(sum(a),4) AS area_ha, count(*) AS n_sites, (SELECT count(*) FROM lost) AS n_failed,
+ CAST(NULL AS BIGINT) AS n_years, CAST(NULL AS DOUBLE) AS sampled_fraction, CAST(NULL AS VARCHAR) AS error FROM done
+UNION ALL SELECT 'site', site_id, site_name, round(e,4), round(f,4), round(a,4), NULL, NULL, n_years, NULL, NULL FROM done
+UNION ALL SELECT 'failed', site_id, site_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'No matches found' FROM lost
+UNION ALL SELECT DISTINCT 'subsampled', site_id, site_name, NULL, NULL, NULL, NULL, NULL, NULL, sampled_fraction, NULL
+ FROM pan WHERE sampled_fraction<1""")
 def _(spark, d):
-    return tables.analysis_payload(yearly(spark, d), totals(spark, d), "{}")
+    path = written(spark, summary_lines(spark, d), "summary-json")
+    members = tables.document_members(spark, path, (
+        "site_id string, site_name string, emissions_avoided_mgco2e double, forest_loss_avoided_ha double, "
+        "area_ha double, n_years bigint, sampled_fraction double, error string"
+    ))
+    section = F.when(F.col("error").isNotNull(), "failed").when(
+        F.col("n_years").isNotNull(), "site").otherwise("subsampled")
+    head = tables.document_head(spark, path, (
+        "n_sites bigint, n_failed_sites bigint, total_emissions_avoided_mgco2e double, "
+        "total_forest_loss_avoided_ha double, total_area_ha double"
+    )).select(
+        F.lit("run").alias("section"), "n_sites", F.col("n_failed_sites").alias("n_failed"),
+        F.col("total_emissions_avoided_mgco2e").alias("emissions_avoided_mgco2e"),
+        F.col("total_forest_loss_avoided_ha").alias("forest_loss_avoided_ha"), F.col("total_area_ha").alias("area_ha"),
+    )
+    rows = members.withColumn("section", section).unionByName(head, allowMissingColumns=True)
+    return rounded(rows, 4)
 
 
-@query("sink_feature_collection")
+@query("sink_analysis_payload", cte(*RESULTS) + """
+SELECT 'record' AS kind, site_id, site_name, CAST(NULL AS INT) AS year, first_year, last_year,
+ round(forest_loss_avoided_ha,6) AS forest_loss_avoided_ha, round(emissions_avoided_mgco2e,6) AS emissions_avoided_mgco2e,
+ n_matched_pixels, n_years, CAST(NULL AS BOOLEAN) AS is_pre_intervention FROM totals
+UNION ALL SELECT 'series', site_id, site_name, year, NULL, NULL, round(forest_loss_avoided_ha,6),
+ round(emissions_avoided_mgco2e,6), n_matched_pixels, NULL, is_pre_intervention FROM yearly""")
+def _(spark, d):
+    path = written(spark, tables.analysis_payload(yearly(spark, d), totals(spark, d), "{}"), "payload-json")
+    members = tables.document_members(spark, path, (
+        "entity_id string, entity_name string, year int, period_start int, period_end int, values map<string,double>, "
+        "metadata struct<n_matched_pixels:bigint,n_years:bigint,is_pre_intervention:boolean>"
+    ))
+    return rounded(members.select(
+        F.when(F.col("year").isNull(), "record").otherwise("series").alias("kind"),
+        F.col("entity_id").alias("site_id"), F.col("entity_name").alias("site_name"), "year",
+        F.col("period_start").alias("first_year"), F.col("period_end").alias("last_year"),
+        *[F.col("values")[v].alias(v) for v in ("forest_loss_avoided_ha", "emissions_avoided_mgco2e")], "metadata.*",
+    ))
+
+
+@query("sink_feature_collection", cte(SITES, POLYGONS) + """
+SELECT site_id, site_name, start_year||'-03-01' AS start_date, CASE WHEN end_year<2099 THEN end_year||'-06-30' END AS end_date,
+ area_ha, xmin, ymin FROM sites JOIN (SELECT id_numeric, round(min(least(x0,x1)),5) AS xmin,
+ round(min(least(y0,y1)),5) AS ymin FROM edge GROUP BY 1) USING (id_numeric)""")
 def _(spark, d):
-    return tables.feature_collection(dated_sites(spark, d))
+    path = written(spark, tables.feature_collection(dated_sites(spark, d)), "features-json")
+    features = tables.document_members(spark, path, (
+        "geometry struct<coordinates:array<array<array<array<double>>>>>, "
+        "properties struct<site_id:string,site_name:string,start_date:string,end_date:string,area_ha:double>"
+    ))
+    corners = F.flatten(F.flatten("geometry.coordinates"))
+    return rounded(features.select(
+        "properties.*", F.array_min(F.transform(corners, lambda p: p[0])).alias("xmin"),
+        F.array_min(F.transform(corners, lambda p: p[1])).alias("ymin"),
+    ), 5)
 
 
 @query("sink_value_key", """

@@ -39,8 +39,10 @@ LISTINGS = """lists AS (SELECT l AS listing, name, covariate_name,
   CASE WHEN l>=1 AND size_bytes%40=0 AND substr(covariate_name,1,1)<'n' THEN etag||'-'||l ELSE etag END AS etag, size_bytes
  FROM mani, (VALUES (0),(1),(2),(3)) v(l)
  WHERE NOT (l=2 AND length(covariate_name)%2=0)),
-prints AS (SELECT listing, covariate_name, substr(sha256(string_agg(e,'|' ORDER BY e)),1,16) AS h
- FROM (SELECT listing, covariate_name, name||':'||etag||':'||size_bytes AS e FROM lists) GROUP BY 1,2)"""
+prints AS (SELECT listing, covariate_name, substr(sha256(string_agg(b||h,'|' ORDER BY b)),1,16) AS h
+ FROM (SELECT listing, covariate_name, b, sha256(string_agg(DISTINCT e,'|' ORDER BY e)) AS h
+  FROM (SELECT listing, covariate_name, substr(md5(name),1,3) AS b, name||':'||etag||':'||size_bytes AS e FROM lists)
+  GROUP BY 1,2,3) GROUP BY 1,2)"""
 
 
 @query("stream_manifest_changes", cte(MANIFEST, LISTINGS) + """

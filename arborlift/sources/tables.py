@@ -243,6 +243,25 @@ def run_summary_document(run: DataFrame, totals: DataFrame, failed: DataFrame,
     return head.unionByName(rest.withColumn("section", F.col("section") + 1))
 
 
+def document_members(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """List members of a written document, parsed by all tasks that read its parts.
+
+    A member stands on a line of its own, equal ones share a line; lines around
+    the lists begin or end with a bracket. Members of several lists have the
+    fields of all in ``schema`` and are told apart by those they lack.
+    """
+    line = F.regexp_replace("value", "^,", "")
+    members = F.from_json(F.concat(F.lit("["), line, F.lit("]")), f"array<struct<{schema}>>")
+    lines = spark.read.text(path).filter(F.col("value").rlike(r"^,?\{.*\}$"))
+    return lines.select(F.inline(members))
+
+
+def document_head(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Fields of a written document that come before its first list."""
+    head = spark.read.text(path).filter(F.col("value").rlike(r"^\{.*\[$"))
+    return head.select(F.from_json(F.concat("value", F.lit("]}")), schema).alias("h")).select("h.*")
+
+
 def value_key(df: DataFrame, columns) -> DataFrame:
     """Distinct attribute rows of a burned layer, ordered by the first column."""
     return df.select(*columns).distinct().orderBy(columns[0])

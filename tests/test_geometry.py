@@ -134,6 +134,28 @@ def test_slope_and_aspect_of_a_plane(spark):
     assert {r.aspect for r in raster.aspect(flat, F.lit(30.0)).filter("aspect IS NOT NULL").collect()} == {0.0}
 
 
+def test_gradient_over_block_edges_and_gaps(spark):
+    rng = random.Random(4)
+    z = {(r, c): rng.random() for r in range(-3, 4) for c in range(60, 132) if rng.random() > 0.1}
+    z |= {(r, c): rng.random() for r in range(62, 67) for c in range(-2, 3)}
+    rows = [(r, c, v) for (r, c), v in z.items()] + [(0, 63, -1.0), (None, 3, 1.0), (900, 3, None)]
+    z.setdefault((0, 63), -1.0)
+    cells = spark.createDataFrame(rows, "row int, col int, elevation double")
+    got = {(r.row, r.col): (r.dx, r.dy) for r in raster.gradient(cells, F.lit(2.0), F.col("row") + 100.0).collect()}
+    assert set(got) == set(z)
+
+    def side(r, c, places):
+        parts = [z.get((r + dr, c + dc)) for dr, dc in places]
+        return None if None in parts else parts[0] + 2 * parts[1] + parts[2]
+
+    for (r, c), (dx, dy) in got.items():
+        e, w = side(r, c, [(-1, 1), (0, 1), (1, 1)]), side(r, c, [(-1, -1), (0, -1), (1, -1)])
+        n, s = side(r, c, [(-1, -1), (-1, 0), (-1, 1)]), side(r, c, [(1, -1), (1, 0), (1, 1)])
+        assert dx == (None if None in (e, w) else pytest.approx((e - w) / 16))
+        assert dy == (None if None in (n, s) else pytest.approx((n - s) / 8 / (r + 100.0)))
+    assert raster.gradient(cells.limit(0), F.lit(1.0)).isEmpty()
+
+
 def test_mode_ties_and_catalog(spark):
     fine = spark.createDataFrame([(0, 0, 3.0), (0, 1, 1.0), (1, 0, 3.0), (1, 1, 1.0)],
                                  "row bigint, col bigint, value double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import json
 
 import numpy as np
@@ -93,7 +94,7 @@ def test_documents_are_valid_json(spark, sf, tmp_path):
         y.select("site_id", "year", "emissions_avoided_mgco2e").toPandas().sort_values(["site_id", "year"]).reset_index(drop=True))
     assert total.filter("n_years IS NULL").isEmpty()
     path = str(tmp_path / "summary")
-    tables.write_document(source_queries.query.__globals__["QUERIES"]["sink_summary_json"](spark, sf), path)
+    tables.write_document(source_queries.summary_lines(spark, sf), path)
     doc = json.loads(read_text(path))
     assert doc["n_sites"] == len(doc["sites"]) and doc["task_id"] == "run"
 
@@ -151,6 +152,59 @@ def test_stale_reset(spark):
     assert messages == {"a": registry.STALE_MESSAGE, "b": "old b", "c": "old c"}
 
 
+def test_stale_reset_reaches_open_snapshots(spark):
+    now = F.lit("2024-01-01 01:00:00").cast("timestamp")
+    rows = spark.createDataFrame(
+        [(1, "merging", "2024-01-01 00:00:00"), (1, "pending_merge", "2024-01-01 00:10:00"), (2, "merging", "2024-01-01 00:50:00"),
+         (3, "merged", "2024-01-01 00:00:00"), (4, "merging", None)], "id int, status string, t string",
+    ).withColumn("started_at", F.to_timestamp("t"))
+    ended = {(r.id, r.status): r.completed_at is not None for r in registry.reset_stale(rows, now).collect()}
+    assert ended == {(1, "failed"): True, (2, "merging"): False, (3, "merged"): False, (4, "merging"): False}
+    snapshots = spark.createDataFrame(
+        [(10, 1, "merging", "x"), (11, 1, "merged", "y"), (12, 2, "merging", None), (13, None, "merging", None), (14, 1, None, None)],
+        "id int, covariate_id int, status string, error_message string")
+    got = {r.id: (r.status, r.error_message, r.merge_completed_at is not None)
+           for r in registry.reset_snapshots(snapshots, rows, now).collect()}
+    assert got == {10: ("failed", registry.SNAPSHOT_MESSAGE, True), 11: ("merged", "y", False),
+                   12: ("merging", None, False), 13: ("merging", None, False), 14: (None, None, False)}
+    assert registry.reset_snapshots(snapshots.limit(0), rows, now).isEmpty()
+
+
+def test_fingerprint_tree(spark):
+    tiles = [("l", f"t{i}", f"e{i}", i) for i in range(50)] + [("m", "t0", None, 1), (None, "t", "e", 1)]
+    schema = "covariate_name string, name string, etag string, size_bytes bigint"
+
+    def prints(rows):
+        return {r[0]: r[1] for r in registry.tile_fingerprint(spark.createDataFrame(rows, schema)).collect()}
+
+    before = prints(tiles)
+    buckets = {}
+    for _, name, etag, size in tiles[:50]:
+        buckets.setdefault(hashlib.md5(name.encode()).hexdigest()[:3], []).append(f"{name}:{etag}:{size}")
+    leaves = sorted(b + hashlib.sha256("|".join(sorted(e)).encode()).hexdigest() for b, e in buckets.items())
+    assert before["l"] == hashlib.sha256("|".join(leaves).encode()).hexdigest()[:16]
+    assert prints(tiles[::-1] + tiles[:7]) == before
+    changed = prints([("l", "t7", "new", 7) if t[1] == "t7" else t for t in tiles])
+    assert {k for k in before if before[k] != changed[k]} == {"l"}
+    assert set(before) == {"l", "m", None}
+
+
+def test_written_document_is_read_back(spark, tmp_path):
+    rows = [("a", '{"id":"a","n":1}'), ("a", '{"id":"a","n":1}'), ("b", '{"id":"b],[","n":2}'), ("c", '{"id":"{c}"}')]
+    items = spark.createDataFrame(rows, "key string, entry string")
+    errors = spark.createDataFrame([("z", '{"error":"line\\nbreak"}')], "key string, entry string")
+    path = str(tmp_path / "doc")
+    lines = tables.document(spark, ['{"name":"x","items":[', items, '],"errors":[', errors, "]}"])
+    tables.write_document(lines.repartition(3), path)
+    got = tables.document_members(spark, path, "id string, n int, error string").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [
+        ("a", 1, None), ("a", 1, None), ("b],[", 2, None), ("{c}", None, None), (None, None, "line\nbreak")]))
+    assert tables.document_head(spark, path, "name string").first().name == "x"
+    empty = str(tmp_path / "none")
+    tables.write_document(tables.document(spark, ['{"name":"y","items":[', items.limit(0), "]}"]), empty)
+    assert tables.document_members(spark, empty, "id string").isEmpty()
+
+
 def test_lists_with_null_and_repeated_keys_are_valid(spark, tmp_path):
     rows = [("b", '{"n":1}'), ("a", '{"n":2}'), ("a", '{"n":3}'), ("a", '{"n":3}'), (None, '{"n":4}'), (None, '{"n":4}')]
     items = spark.createDataFrame(rows, "key string, entry string")

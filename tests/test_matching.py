@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import numpy as np
 import pandas as pd
@@ -344,3 +345,26 @@ def test_full_matching_of_strata_out_of_reach(spark, sf):
     """A caliper no left-over control lies within: such a stratum adds no rows, and nothing fails."""
     m, _ = run(spark, sf, max_controls_per_treatment=0, caliper_width=1e-7)
     assert m.filter("NOT treatment AND distance > 1e-7").isEmpty()
+
+
+def test_controls_within_counts_without_pairs(spark):
+    rng = random.Random(9)
+    scores = [rng.choice([0.1 * k for k in range(-20, 20)] + [5 + 1e-9 * k for k in range(30)]) for _ in range(600)]
+    rows = [(i % 3, "g" if i % 5 else None, i, i % 4 == 0, s) for i, s in enumerate(scores)]
+    rows += [(0, "g", 1000 + i, i % 2 == 0, v) for i, v in enumerate(
+        [None, None, float("nan"), float("nan"), float("inf"), float("inf"), float("-inf"), float("-inf")])]
+    # a third of all rows on one score of one stratum
+    rows += [(1, "g", 2000 + i, False, 0.3) for i in range(300)]
+    df = spark.createDataFrame(rows, "id_numeric int, group string, cell int, treatment boolean, score double")
+    for caliper in (0.1, 0.2, 1e-9, 40.0):
+        want = {}
+        for i, g, cell, t, s in rows:
+            if t:
+                want[cell] = 0 if s is None or g is None else sum(
+                    1 for i2, g2, _, t2, s2 in rows
+                    if not t2 and s2 is not None and (i2, g2) == (i, g) and abs(s - s2) <= caliper)
+        got = {r.treated_cell: r.n_within for r in proximity.controls_within(df, caliper).collect()}
+        assert got == want
+    assert proximity.controls_within(df.limit(0), 0.1).isEmpty()
+    with pytest.raises(ValueError):
+        proximity.controls_within(df, 0.0)
