@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arborlift.config import MatchConfig
@@ -18,10 +17,9 @@ PIXEL_COLUMNS = (
 
 
 def _earlier_matches(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.option("mergeSchema", True).parquet(path)
-    except AnalysisException:
+    if not tables.has_rows(spark, path):
         return None
+    return spark.read.option("mergeSchema", True).parquet(path)
 
 
 def extract_step(sites: DataFrame, layers: DataFrame, cfg: MatchConfig, out: str):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from arborlift.config import REQUIRED_MATCH_COLUMNS, require_columns
 from arborlift.schema import FAILED_SITES, PAYLOAD
-from arborlift.session import shared_folder
+from arborlift.session import shared_folder, stage
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -22,21 +22,48 @@ def write_pixels(pixels: DataFrame, path: str) -> None:
     write_parquet(sorted_pixels, path)
 
 
-def write_matches(matches: DataFrame, path: str) -> None:
-    """Match table partitioned by site; only the sites given are replaced.
+BUCKETS = 64
+
+
+def replace_rows(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Write rows, replacing earlier rows of the same keys only.
 
-    Rows are rebalanced by site: small sites get one file each, and a large
-    one is split over several tasks.
+    Keys are hashed into a fixed number of folders, so their number does not
+    grow with the keys, and a large folder is split over several tasks. The
+    earlier rows of the folders touched are written again next to the new
+    ones. A key without new rows keeps its earlier ones; a null key is a key
+    like others. ``buckets`` must stay the same for a table.
     """
-    balanced = matches.hint("rebalance", F.col("id_numeric"))
-    balanced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
-        "compression", "zstd"
-    ).partitionBy("id_numeric").parquet(path)
+    spark = df.sparkSession
+    rows = df.withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    if has_rows(spark, path):
+        rows = stage(rows, "new-rows")
+        touched = rows.select("key_bucket").distinct()  # at most one row for each folder
+        new_keys = rows.select(F.col(key).alias("_new")).distinct()
+        earlier = spark.read.option("mergeSchema", True).parquet(path).join(
+            F.broadcast(touched), "key_bucket", "left_semi")
+        kept = earlier.join(new_keys, F.col(key).eqNullSafe(F.col("_new")), "left_anti")
+        rows = stage(rows.unionByName(kept, allowMissingColumns=True), "all-rows")
+    rows.hint("rebalance", F.col("key_bucket")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).option("compression", "zstd").partitionBy("key_bucket").parquet(path)
+
+
+def has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether :func:`replace_rows` has written anything there."""
+    folders = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/key_bucket=*")
+    found = folders.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(folders)
+    return found is not None and len(found) > 0
+
+
+def write_matches(matches: DataFrame, path: str) -> None:
+    """Match table in folders by site; only the sites given are replaced."""
+    replace_rows(matches, path, "id_numeric")
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
     """All match files; columns absent from older files read as NULL."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
+    df = spark.read.option("mergeSchema", True).parquet(path).drop("key_bucket")
     require_columns(df.columns, REQUIRED_MATCH_COLUMNS, "match table")
     return df
 
@@ -60,9 +87,7 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns) -> DataFrame:
 
 def replace_task(df: DataFrame, path: str) -> None:
     """Write result rows, replacing earlier rows of the same tasks only."""
-    df.hint("rebalance", F.col("task_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "task_id"
-    ).parquet(path)
+    replace_rows(df, path, "task_id")
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

@@ -108,6 +108,30 @@ def test_results_are_replaced_per_task(spark, tmp_path):
     assert {(r.task_id, r.v) for r in spark.read.parquet(path).collect()} == {("t1", 3), ("t2", 2)}
 
 
+def test_rows_are_replaced_in_a_fixed_number_of_folders(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    schema = "k string, v int"
+    first = [(str(i), i) for i in range(300)] + [("hot", i) for i in range(150)] + [(None, 1), (None, 2), ("7", 7)]
+    tables.replace_rows(spark.createDataFrame(first[:0], schema), path, "k", 8)
+    tables.replace_rows(spark.createDataFrame(first, schema), path, "k", 8)
+    assert len(glob.glob(f"{path}/key_bucket=*")) == 8
+
+    def rows():
+        return sorted(((r.k or "", r.v) for r in spark.read.parquet(path).collect()))
+
+    assert rows() == sorted((k or "", v) for k, v in first)
+    new = [("7", 70), ("hot", -1), (None, 3), ("new", 4)]
+    tables.replace_rows(spark.createDataFrame(new, schema), path, "k", 8)
+    left = [(k, v) for k, v in first if k not in ("7", "hot", None)]
+    assert rows() == sorted((k or "", v) for k, v in left + new)
+    tables.replace_rows(spark.createDataFrame(new, schema).limit(0), path, "k", 8)
+    assert rows() == sorted((k or "", v) for k, v in left + new)
+    wider = spark.createDataFrame([("7", 71, "x")], schema + ", extra string")
+    tables.replace_rows(wider, path, "k", 8)
+    back = spark.read.option("mergeSchema", True).parquet(path).filter("k IN ('7', 'new')").collect()
+    assert {(r.k, r.v, r.extra) for r in back} == {("7", 71, "x"), ("new", 4, None)}
+
+
 def test_markers_keep_their_file(spark, tmp_path):
     (tmp_path / "failed_3.json").write_text('{\n "id_numeric": 3,\n "error": "no cells"\n}')
     (tmp_path / "failed_4.json").write_text('{"id_numeric": 4}')
