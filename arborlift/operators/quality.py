@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from arborlift.functions.stats import even_quantiles, value_ranks
-from arborlift.session import stage
+from arborlift.session import stage, tasks_for
 
 # Scope label of the whole run, bin and point counts, thresholds.
 ALL_SCOPE = "__all__"
@@ -230,19 +230,23 @@ def qq_pairs(scores: DataFrame, adaptive: bool = False) -> DataFrame:
     Fixed mode gives 500 points; adaptive mode gives the larger arm's size up
     to 500. Scopes with fewer than two scores in an arm give none.
     """
-    scores = scores.select("site_id", "treatment", "pscore")
-    scoped = scores.unionByName(_whole_run(scores))
     keys = ["site_id", "treatment"]
-    ranks = value_ranks(scoped, keys, "pscore")
-    sizes = (
-        scoped.filter("pscore IS NOT NULL").groupBy("site_id")
-        .agg(F.count_if("treatment").alias("nt"), F.count_if(~F.col("treatment")).alias("nc"))
-        .filter("nt >= 2 AND nc >= 2")
+    counts = stage(
+        scores.filter("pscore IS NOT NULL").groupBy(*keys, "pscore").agg(F.count("*").alias("n")), "score-counts"
     )
+    scoped = counts.unionByName(_whole_run(counts.groupBy("treatment", "pscore").agg(F.sum("n").alias("n"))))
+    arm = F.col("treatment")
     points = F.lit(N_QQ_POINTS)
     if adaptive:
         points = F.least(points, F.greatest("nt", "nc"))
-    q = even_quantiles(ranks.join(sizes, "site_id"), keys, points.cast("long"))
+    sizes = stage(
+        scoped.groupBy("site_id").agg(F.sum(F.when(arm, F.col("n"))).alias("nt"), F.sum(F.when(~arm, F.col("n"))).alias("nc"))
+        .filter("nt >= 2 AND nc >= 2").select("site_id", points.cast("long").alias("points")), "scope-points"
+    )
+    asked = sizes.agg(F.coalesce(F.sum("points"), F.lit(0))).first()[0]
+    ranks = value_ranks(scoped.join(sizes, "site_id"), [*keys, "points"], "pscore", "n")
+    # two arms, and two values a point at most
+    q = even_quantiles(ranks, keys, F.col("points"), tasks_for(4 * asked))
     return q.groupBy("site_id", "index").agg(
         F.max("p").alias("quantile"),
         F.max(F.when(F.col("treatment"), F.col("quantile"))).alias("treatment_value"),
