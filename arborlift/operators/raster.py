@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from arborlift.session import stage, tasks_for
+
 # Land cover codes per class, in the order they are tested.
 LAND_COVER = {
     "forest": (111, 112, 113, 114, 115, 116, 121, 122, 123, 124, 125, 126),
@@ -122,7 +124,7 @@ BLOCK = 64
 def gradient(elevation: DataFrame, spacing_m: Column, north_m: Column | None = None) -> DataFrame:
     """East and north gradient of a 3 x 3 neighbourhood (third-order weights).
 
-    The grid is dealt out once in blocks of 64 x 64 cells; only cells on the
+    The grid is staged, counted and dealt out once, in blocks of 64 x 64 cells; only cells on the
     rim of a block go to the next block too, about 1.06 rows a cell. Inside a
     block, frames of one row or column look at the neighbours, so nothing is
     shuffled again and any grid size spreads evenly.
@@ -138,11 +140,13 @@ def gradient(elevation: DataFrame, spacing_m: Column, north_m: Column | None = N
         return F.explode(F.sequence(*near))
 
     block = ["_down", "_across"]
-    cells = (
+    known = stage(
         elevation.filter("row IS NOT NULL AND col IS NOT NULL AND elevation IS NOT NULL")
-        .select("row", "col", "elevation", blocks("row").alias("_down"))
-        .withColumn("_across", blocks("col"))
-        .repartition(*block).groupBy(*block, "row", "col").agg(F.max("elevation").alias("self"))
+        .select("row", "col", "elevation"), "elevation"
+    )
+    cells = (
+        known.withColumn("_down", blocks("row")).withColumn("_across", blocks("col"))
+        .repartition(tasks_for(known.count()), *block).groupBy(*block, "row", "col").agg(F.max("elevation").alias("self"))
     )
     by_row = Window.partitionBy(*block, "col").orderBy("row")
     by_col = Window.partitionBy(*block, "row").orderBy("col")
