@@ -270,7 +270,7 @@ def layer_histogram(values: DataFrame, nodata: float | None = None) -> DataFrame
     ).filter("lo <> hi")
     place = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PROFILE_BINS)
     hits = (
-        _valid(values, nodata).join(ends, "layer")
+        _valid(values, nodata).join(F.broadcast(ends), "layer")
         .filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
         .withColumn("bin", F.least(place.cast("int"), F.lit(PROFILE_BINS - 1)))
         .groupBy("layer", "bin").agg(F.count("*").alias("n"))
