@@ -129,12 +129,14 @@ def _long_values(matches: DataFrame, covariates) -> DataFrame:
     return long.filter("value IS NOT NULL")
 
 
-def _value_range(moments: DataFrame) -> DataFrame:
-    return moments.select(
-        "site_id", "covariate",
-        F.least("t_lo", "c_lo").alias("lo"), F.greatest("t_hi", "c_hi").alias("hi"),
-        (F.col("t_n") + F.col("c_n")).alias("n"),
-    )
+def _value_range(matches: DataFrame, covariates) -> DataFrame:
+    """Range and number of values of every covariate, per site and over the run, in one pass."""
+    parts = (("lo", F.min), ("hi", F.max), ("n", F.count))
+    by_site = stage(matches.filter("treatment IS NOT NULL").groupBy("site_id").agg(
+        *[how(_finite(c)).alias(f"{c}|{p}") for c in covariates for p, how in parts]), "site-ranges")
+    entry = [F.struct(F.lit(c).alias("covariate"), *[F.col(f"`{c}|{p}`").alias(p) for p, _ in parts])
+             for c in covariates]
+    return _roll_up(by_site).unionByName(by_site).select("site_id", F.inline(F.array(*entry)))
 
 
 def _binned(matches: DataFrame, covariates, ranges: DataFrame, bin_of) -> DataFrame:
@@ -193,19 +195,26 @@ def _left_closed(lo: str, hi: str) -> Column:
     return F.when(F.col(lo).isNotNull(), F.least(index, F.lit(N_BINS - 1)))
 
 
+def _values(matches: DataFrame, covariates) -> DataFrame:
+    """The columns of a histogram, written once: ranges and bins each read them."""
+    return stage(matches.select("site_id", "treatment", *covariates), "histogram-values")
+
+
 def histogram_local(matches: DataFrame, covariates) -> DataFrame:
     """40 bins over each scope's own range, closed on the right.
 
     The ranges are written first: they are tiny, and without them in hand
     every use would scan the matches again.
     """
-    ranges = _value_range(covariate_moments(matches, covariates)).filter("n >= 2 AND hi > lo")
+    matches = _values(matches, covariates)
+    ranges = _value_range(matches, covariates).filter("n >= 2 AND hi > lo")
     return _binned(matches, covariates, stage(ranges, "ranges"), _right_closed)
 
 
 def histogram_global(matches: DataFrame, covariates) -> DataFrame:
     """40 bins over the whole run's range for every scope, closed on the left."""
-    ranges = stage(_value_range(covariate_moments(matches, covariates)).filter("n > 0"), "ranges")
+    matches = _values(matches, covariates)
+    ranges = stage(_value_range(matches, covariates).filter("n > 0"), "ranges")
     run = ranges.filter((F.col("site_id") == ALL_SCOPE) & (F.col("hi") > F.col("lo")))
     shared = ranges.select("site_id", "covariate").join(
         F.broadcast(run.select("covariate", "lo", "hi")), "covariate"
