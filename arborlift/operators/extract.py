@@ -11,6 +11,7 @@ from arborlift.config import (
 from arborlift.functions import grid
 from arborlift.functions.stats import value_bucket, with_rank
 from arborlift.operators import polygons
+from arborlift.session import tasks_for
 
 CLIP_BUFFER_DEG = 0.1
 
@@ -70,7 +71,7 @@ def panel_years(sites: DataFrame) -> DataFrame:
 def pivot_layers(layers: DataFrame, names: list[str]) -> DataFrame:
     """Long (layer, cell, value) to one row per cell; listed names only."""
     listed = layers.filter(F.col("layer").isin(*names))
-    return listed.groupBy("cell").agg(*[
+    return listed.repartition(tasks_for(listed.count()), "cell").groupBy("cell").agg(*[
         F.max(F.when(F.col("layer") == n, F.col("value"))).alias(n) for n in names
     ])
 
