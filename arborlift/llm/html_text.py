@@ -18,13 +18,16 @@ Menus of random links differ between pages, so differencing alone cannot find
 all that is not content; the structure rules are the exact check that follows it.
 
 Only hashes of lines meet those of the neighbour; a hot host is one run of the
-global order, spread over range partitions. Null pages have no text; null URLs
-are a host of their own; equal rows get equal results; an empty table gives no rows.
+global order, spread over range partitions. Pages are parsed
+twice: for the hashes and zones that neighbours get, which alone are staged, and
+for the lines, which are shuffled once, compressed. Null pages have no text; null
+URLs are a host of their own; equal rows get equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -305,16 +308,28 @@ def _same_place(zones: list[int], lines: list[int], other: list[int], other_zone
     return begin | {k for k, v in zip(reversed(one), reversed(two)) if lines[k] == v}
 
 
-PARSED = "row_key long, page_id long, gone boolean, url string, has_main boolean, zones array<int>, lines array<string>"
+OUTLINE = "row_key long, zones array<int>, lines array<string>"
+PARSED = "row_key long, page_id long, gone boolean, url string, has_main boolean, zones array<int>, lines array<string>, packed binary"
+
+
+def _outline(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in by_size(frames, "html", 4_000_000):
+        read = [page_lines(h)[1] for h in frame["html"]]
+        out = frame[["row_key"]].reset_index(drop=True)
+        out["zones"] = [[z for z, _ in r] for r in read]
+        out["lines"] = [[t for _, t in r] for r in read]
+        yield out
 
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines twice: for their hashes, and packed; no line has a line end within."""
     for frame in by_size(frames, "html", 4_000_000):
         read = [page_lines(h) for h in frame["html"]]
         out = frame[["row_key", "page_id", "gone", "url"]].reset_index(drop=True)
         out["has_main"] = [r[0] for r in read]
         out["zones"] = [[z for z, _ in r[1]] for r in read]
         out["lines"] = [[t for _, t in r[1]] for r in read]
+        out["packed"] = [zlib.compress("\n".join(lines).encode(), 1) for lines in out["lines"]]
         yield out
 
 
@@ -325,7 +340,8 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             other = None if row.other is None else row.other.tolist()
             other_zones = None if row.other_zones is None else row.other_zones.tolist()
             kept = kept_lines(row.has_main, row.zones.tolist(), row.codes.tolist(), other, other_zones)
-            texts.append("\n\n".join(row.lines[k] for k in kept))
+            lines = zlib.decompress(row.packed).decode().split("\n")
+            texts.append("\n\n".join(lines[k] for k in kept))
         out = frame[["page_id", "gone", "url"]].reset_index(drop=True)
         out["text"], out["n_chars"] = texts, [len(t) for t in texts]
         yield out
@@ -357,10 +373,12 @@ def extract(pages: DataFrame, *, page: str = "page_id", url: str = "url", html:
         F.coalesce(F.col(page).cast("bigint"), F.lit(0)).alias("page_id"), F.col(page).isNull().alias("gone"),
         F.col(url).alias("url"), whole(html).alias("html"), F.xxhash64(page, url, html).alias("row_key"),
         ascii_lower(F.regexp_extract(rest, "^([^/?#]*)", 1)).alias("host"), F.regexp_extract(rest, "^[^/?#]*(.*)$", 1).alias("path"))
-    parsed = stage(keyed.select("row_key", "page_id", "gone", "url", "html").mapInPandas(_parse, PARSED), "page-lines")
     codes = F.transform("lines", lambda x: F.xxhash64(x))
-    others = parsed.select(F.col("row_key").alias("partner"), codes.alias("other"), F.col("zones").alias("other_zones")).dropDuplicates(["partner"])
+    outlines = keyed.select("row_key", "html").mapInPandas(_outline, OUTLINE).select(
+        F.col("row_key").alias("partner"), codes.alias("other"), F.col("zones").alias("other_zones"))
+    others = stage(outlines, "page-lines").dropDuplicates(["partner"])
     near = neighbours(keyed).where(F.col("partner").isNotNull()).join(others, "partner").select("row_key", "other", "other_zones")
-    whole_rows = parsed.withColumn("codes", codes).join(near, "row_key", "left")
+    parsed = keyed.select("row_key", "page_id", "gone", "url", "html").mapInPandas(_parse, PARSED)
+    whole_rows = parsed.withColumn("codes", codes).drop("lines").join(near, "row_key", "left")
     out = whole_rows.mapInPandas(_cut, "page_id long, gone boolean, url string, text string, n_chars long")
     return out.select(F.when(~F.col("gone"), F.col("page_id")).alias("page_id"), "url", "text", "n_chars")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from arborlift.llm import decontaminate, html_text, packing, quality, simple8b, token_files, url_rules
 from arborlift.llm.token_queries import vocabulary
-from arborlift.llm.tokens import encoder
-from arborlift.session import shared_path
+from arborlift.llm.tokens import Encoder, encoder
+from arborlift.session import shared_path, stage
 
 
 def lcs(a, b):
@@ -98,6 +98,20 @@ def test_template_inside_main_goes_by_alignment(spark):
     assert got[6] == got[7] == ["Sale ends soon", "Send to a friend", "Head 9", "same", "More of 9", "Written by us", "Read on"]
 
 
+def test_lines_of_pages_are_shuffled_once_and_not_staged(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(html_text, "stage", lambda df, name: staged.append((name, df.schema.simpleString())) or stage(df, name))
+    rng = random.Random(4)
+    bodies = [[" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(3)] for _ in range(40)]
+    alike = spark.createDataFrame([(1, "<p>s", None), (1, None, "<p>s")], "page_id long, url string, html string")
+    assert sorted(r.text for r in html_text.extract(alike).collect()) == ["", "s"]
+    rows = [(i, f"http://h.org/{i:02d}", "<body><div>Top of all</div>" + "".join(f"<div>{t}</div>" for t in b)) for i, b in enumerate(bodies)]
+    out = html_text.extract(spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string").repartition(3))
+    got = Counter((r.page_id, r.text) for r in out.collect())
+    assert got == Counter((i, "\n\n".join(b)) for i, b in enumerate(bodies)) + Counter((i, "\n\n".join(b)) for i, b in enumerate(bodies[:3]))
+    assert dict(staged)["page-lines"] == "struct<partner:bigint,other:array<bigint>,other_zones:array<int>>"
+
+
 def test_neighbours_are_next_in_path_order(spark):
     rng = random.Random(2)
     rows = [(i, f"h{rng.randrange(4)}", f"/{rng.randrange(40)}") for i in range(150)] + [(500, "single", "/")]
