@@ -51,36 +51,37 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     for selector in range(2, LAST + 1):
         for j in range(int(COUNTS[selector - 1]), int(COUNTS[selector])):
             np.maximum(widest, width[:, j:j + BLOCK], out=widest)
-        best[widest <= BITS[selector]] = selector
-    # all blocks go on together, a word each time
+        best += widest <= BITS[selector]  # what does not fit a selector fits none after it
+    # where the words start: all blocks go on together, a word each time
     sizes = np.full(blocks, BLOCK)
     sizes[-1] = n - BLOCK * (blocks - 1)
-    flat, chosen = grid.reshape(-1), best.reshape(-1)
-    out = np.zeros((blocks, 2 * BLOCK), np.uint64)
-    used, at, escapes = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64), 0
-    live = np.arange(blocks)
+    step = COUNTS[best]
+    starts = np.zeros((blocks, BLOCK), bool)
+    live, at = np.arange(blocks), np.zeros(blocks, np.int64)
     while len(live):
-        pos, first = at[live], live * room + at[live]
-        selector = chosen[live * BLOCK + pos]
-        count = np.minimum(COUNTS[selector], sizes[live] - pos)
-        bits = BITS[selector].astype(np.uint64)
-        word = selector.astype(np.uint64) << np.uint64(60)
-        packed, shift = selector > 0, np.zeros(len(live), np.uint64)
-        for j in range(int(count.max())):
-            on = packed & (count > j)
-            word |= np.where(on, flat[first + np.where(on, j, 0)] << shift, np.uint64(0))
-            shift = np.where(on, shift + bits, np.uint64(0))
-        out[live, used[live]] = word
-        used[live] += 1
-        if not packed.all():
-            raw = live[~packed]
-            out[raw, used[raw]] = grid[raw, at[raw]]
-            used[raw] += 1
-            escapes += len(raw)
-        at[live] = pos + count
-        live = live[at[live] < sizes[live]]
-    offsets = np.concatenate([[0], np.cumsum(used)[:-1]]).astype(np.uint32)
-    return out[np.arange(out.shape[1]) < used[:, None]], offsets, escapes
+        starts[live, at] = True
+        at = at + step[live, at]
+        on = at < sizes[live]
+        live, at = live[on], at[on]
+    block, place = np.nonzero(starts)
+    selector = best[block, place]
+    raw = selector == 0
+    # and what they hold, by selector; values behind a block's end are zero
+    slot = np.arange(len(selector)) + np.cumsum(raw) - raw  # an escape takes one word more
+    out = np.zeros(len(selector) + int(raw.sum()), np.uint64)
+    flat, at = grid.reshape(-1), block * room + place
+    for s in np.flatnonzero(np.bincount(selector)):
+        of = np.flatnonzero(selector == s)
+        cells = at[of]
+        if s == 0:
+            out[slot[of] + 1] = flat[cells]
+            continue
+        word = np.full(len(of), np.uint64(s) << np.uint64(60))
+        for j in range(int(COUNTS[s])):
+            word |= flat[cells + j] << np.uint64(j * BITS[s])
+        out[slot[of]] = word
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    return out, slot[first].astype(np.uint32), int(raw.sum())
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int, escapes: int = 0) -> np.ndarray:

@@ -1,10 +1,12 @@
 """Token ids of whole texts by the installed tokenizers, at a bounded cost per word.
 
 A BPE vocabulary is applied to each pre-token alone, so ids may be kept by word.
-Texts are cut at plain spaces and line ends, where both vocabularies always
-part pre-tokens; a word that was met lately is looked up, a plain word goes
-straight to the library's BPE model, and everything else (other scripts, and where
-spaces count other or repeated white space) through the library's whole encoding.
+Where spaces are part of tokens, a text of plain characters is cut into its
+pre-tokens at once. Other texts are cut at plain spaces and line ends, where both
+vocabularies always part pre-tokens. A word that was met lately is looked up, a
+plain word goes straight to the library's BPE model, and everything else (other
+scripts, and where spaces count other or repeated white space) through the
+library's whole encoding.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from array import array
 import regex
 
 #: Words kept by a worker: at most two times as many.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 500_000
 #: White space other than spaces, line ends, tabs and the like, and the mark that parts units here.
 RARE_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\0"
 #: What also needs the whole encoder where spaces are part of tokens.
@@ -34,6 +36,10 @@ def _has_any(text: str, parts) -> bool:
 # How the two vocabularies part words.
 WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 BYTE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
+#: Texts whose characters are of the same class in every version of Unicode, and their pre-tokens where spaces are part of tokens.
+EVEN_TEXT = re.compile(r"[\n !-~\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]*\Z")
+EVEN_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+EVEN_PARTS = re.compile(rf" ?[{EVEN_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^ \n0-9{EVEN_LETTERS}]+|[ \n]+(?![^ \n])|[ \n]+")
 #: Words of Latin-1 characters, which no normal form changes.
 PLAIN = re.compile(r" ?[!-~\xa1-\xac\xae-\xff]+\Z")
 
@@ -46,6 +52,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 BYTE_LETTERS = _byte_letters()
+LETTER_OF = [chr(BYTE_LETTERS[b]) for b in range(256)]
 #: Marks that often end a word.
 MARKS = ".,;:!?*%$&#|"
 
@@ -79,21 +86,22 @@ class Encoder:
 
     def _letters(self, letters: str) -> bytes:
         """Ids of one pre-token of plain characters."""
-        if not letters.isascii() or letters[0] == " ":
-            letters = letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+        if not letters.isascii():
+            letters = "".join([LETTER_OF[b] for b in letters.encode()])
+        elif letters[0] == " ":
+            letters = LETTER_OF[32] + letters[1:]
         return self._bytes([t.id for t in self.model.tokenize(letters)])
 
     def _word(self, word: str) -> bytes:
         """Ids of a word that is not among the latest; they are kept for the next time."""
         ids = self.before.get(word)
         if ids is None:
-            core = word.rstrip(MARKS)
-            if core and core != word and core[core[0] == " ":].isalpha():
+            if word[word[0] == " ":].isalpha():
+                ids = self._letters(word.lower() if self.drops_space else word) if PLAIN.match(word) else self._ids(word)
+            elif (core := word.rstrip(MARKS)) and core != word and core[core[0] == " ":].isalpha():
                 ids = self.lately[core] + self.lately[word[len(core):]]  # letters and marks are different pre-tokens
             elif not PLAIN.match(word):
                 ids = self._ids(word)
-            elif word[word[0] == " ":].isalpha():
-                ids = self._letters(word.lower() if self.drops_space else word)
             else:
                 parts = WORD_PARTS.findall(word.lower()) if self.drops_space else BYTE_PARTS.findall(word)
                 ids = b"".join([self._letters(p) for p in parts])
@@ -104,6 +112,8 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not self.drops_space and EVEN_TEXT.match(text):
+            return b"".join(map(self.lately.__getitem__, EVEN_PARTS.findall(text)))
         if _has_any(text, RARE_SPACE) or (not self.drops_space and _has_any(text, UNEVEN)):
             return self._ids(text)
         if self.drops_space:

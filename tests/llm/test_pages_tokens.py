@@ -191,6 +191,20 @@ def test_ids_are_those_of_the_library(spark, sf, name):
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == want, text
 
 
+def test_plain_texts_are_cut_into_pre_tokens_at_once(monkeypatch):
+    enc = Encoder(vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abÉß.,'’s \n\n 17_|*×ªº·") if k % 2 else rng.choice("aZé.,'strvel \n 09_-<>") for _ in range(40)) for k in range(600)]
+    texts += ["one, two.\n\nthree  four", " x\n y ", "we'll, it's; I'LL", "\n", "  ", "a²b ½ c\xadd", "tab\tx", "x_y é_1.", "a), b"]
+    want = [enc.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(enc.encode(t), "<u4").tolist() for t in texts] == want
+    calls = []
+    monkeypatch.setattr(enc, "_ids", lambda text, f=enc._ids: calls.append(text) or f(text))
+    enc.encode("Paragraphs, of plain-text.\n\nTwo  spaces; and\nmore (words), \"quoted\".")
+    assert all(not c.strip() for c in calls)  # never the whole text
+    assert {" of", " plain", "-", "text", " (", "words", "),"} <= set(enc.lately) and "words)," not in enc.lately
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 2**64 - 1), st.integers(0, 3), st.integers(0, 60000)), max_size=700))
 def test_simple8b_round_trip(values):
