@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlift.llm import simple8b
-from arborlift.llm.base import whole
+from arborlift.llm.base import by_size, whole
 
 GROUP = 1 << 18
+#: Characters whose texts are encoded together.
+BATCH = 1 << 21
 WRITTEN = (
     "part int, `group` int, first long, n_ids long, escapes int, words binary, offsets binary, "
     "ids array<long>, nulls array<boolean>, lengths array<int>"
@@ -43,26 +45,25 @@ def _coder(path: str, end_id: int | None):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from arborlift.llm.tokens import encoder
 
-        encode, part, group, first = encoder(path).encode, TaskContext.get().partitionId(), 0, 0
+        encode, part, group, first = encoder(path).encode_all, TaskContext.get().partitionId(), 0, 0
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        held: list[tuple[int, bool, bytes]] = []
+        held: list[tuple[int, bool, np.ndarray]] = []
         size = 0
 
         def close() -> pd.DataFrame:
-            values = np.frombuffer(b"".join(x[2] for x in held), "<u4")
+            values = np.concatenate([x[2] for x in held])
             words, offsets, escapes = simple8b.encode(values)
             return pd.DataFrame([{
                 "part": part, "group": group, "first": first, "n_ids": len(values), "escapes": escapes,
                 "words": words.astype("<u8").tobytes(), "offsets": offsets.astype("<u4").tobytes(),
-                "ids": [x[0] for x in held], "nulls": [x[1] for x in held], "lengths": [len(x[2]) // 4 for x in held],
+                "ids": [x[0] for x in held], "nulls": [x[1] for x in held], "lengths": [len(x[2]) for x in held],
             }])
 
-        for frame in frames:
-            for doc, null, text in zip(frame["doc"], frame["gone"], frame["text"], strict=True):
-                ids = encode(text) + end
-                if held and size + len(ids) > 4 * GROUP:
+        for frame in by_size(frames, "text", BATCH):
+            for doc, null, ids in zip(frame["doc"], frame["gone"], encode(frame["text"].tolist(), end), strict=True):
+                if held and size + len(ids) > GROUP:
                     yield close()
-                    group, first, held, size = group + 1, first + size // 4, [], 0
+                    group, first, held, size = group + 1, first + size, [], 0
                 held.append((doc, null, ids))
                 size += len(ids)
         if held:

@@ -205,6 +205,24 @@ def test_plain_texts_are_cut_into_pre_tokens_at_once(monkeypatch):
     assert {" of", " plain", "-", "text", " (", "words", "),"} <= set(enc.lately) and "words)," not in enc.lately
 
 
+def test_texts_of_a_batch_are_encoded_together(monkeypatch):
+    enc = Encoder(vocabulary("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    texts = ["", "\n", "é 'll 'lx ''s a's's 't\n\n", "x  ", *ODD_TEXTS, "", "日本", "'", "l'", "'r", "o'l", " 've"]
+    texts += ["".join(rng.choice("aéÿstvrelmdz''  \n.0¡") for _ in range(rng.randrange(30))) for _ in range(2000)]
+    want = [[*enc.whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert [x.tolist() for x in enc.encode_all(texts, b"\2\0\0\0")] == want
+    assert [x.tolist() for x in enc.encode_all(texts)] == [w[:-1] for w in want]
+    assert list(enc.encode_all([])) == [] and [x.tolist() for x in enc.encode_all([""])] == [[]]
+    words = [f"word{chr(97 + k)}" for k in range(20)]
+    monkeypatch.setattr("arborlift.llm.tokens.KEPT_PARTS", 1)  # nothing is kept from batch to batch
+    enc.lately.clear()
+    enc.before, calls = {}, []
+    monkeypatch.setattr(enc, "_letters", lambda part, f=enc._letters: calls.append(part) or f(part))
+    assert len(list(enc.encode_all([" " + " ".join(rng.sample(words, 20)) for _ in range(300)]))) == 300
+    assert sorted(calls) == [f" {w}" for w in words]  # and each is encoded once
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 2**64 - 1), st.integers(0, 3), st.integers(0, 60000)), max_size=700))
 def test_simple8b_round_trip(values):
