@@ -89,7 +89,7 @@ def score_stratum(pdf: pd.DataFrame, names: list[str], cfg: MatchConfig):
 
 
 def pair_stratum(pdf: pd.DataFrame, coords: np.ndarray, pscore: np.ndarray, cfg: MatchConfig,
-                 horizon: int | None = None) -> pd.DataFrame | None:
+                 horizon: int | None = None, most: bool = False) -> pd.DataFrame | None:
     """Match sets of one stratum; None when ``horizon`` is too short."""
     cells = pdf["cell"].to_numpy()
     treated = pdf["treatment"].to_numpy(dtype=bool)
@@ -98,7 +98,7 @@ def pair_stratum(pdf: pd.DataFrame, coords: np.ndarray, pscore: np.ndarray, cfg:
     c_at = c_at[np.argsort(cells[c_at], kind="stable")]
     pairs = solve.greedy_pairs(
         coords[t_at], cells[t_at], coords[c_at], cells[c_at],
-        cfg.max_controls_per_treatment, cfg.caliper_width, horizon,
+        cfg.max_controls_per_treatment, cfg.caliper_width, horizon, most,
     )
     if pairs is None:
         return None
@@ -172,7 +172,7 @@ def _near_controls(placed: DataFrame, cfg: MatchConfig, horizon: int) -> DataFra
         placed = stage(kept.unionByName(treated), "near-controls")
 
 
-def _pairs_of_large(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
+def _pairs_of_large(scored: DataFrame, cfg: MatchConfig, most: bool = False) -> DataFrame:
     """Exact pairing of strata too large for a task.
 
     Pairing rarely looks past a treated row's first few controls, so it runs
@@ -188,7 +188,7 @@ def _pairs_of_large(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
             if treated.all() or not treated.any():
                 return pd.DataFrame([], columns=names)
             coords = np.vstack(pdf["coords"].to_numpy())
-            out = pair_stratum(pdf, coords, pdf["pscore"].to_numpy(dtype=float), cfg, horizon)
+            out = pair_stratum(pdf, coords, pdf["pscore"].to_numpy(dtype=float), cfg, horizon, most)
             if out is None:
                 head = pdf.iloc[0]
                 row = (head["id_numeric"], head["group"], head["cell"], True, marker, None, None, None)
@@ -213,12 +213,13 @@ def _pairs_of_large(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
 def assign_full(placed: DataFrame, cfg: MatchConfig) -> DataFrame:
     """Full matching: sets of one treated and at least one control.
 
-    Every treated row gets a control of its own first, by 1:1 pairing; every
-    control left over then joins the nearest paired treated row within the
-    caliper. Treated rows that no control is left for are left out.
+    Every treated row gets a control of its own first, by 1:1 pairing with exchanges:
+    no way of pairing within the caliper pairs more. Every control left over
+    then joins the nearest paired treated row within the caliper. As a set has one treated row,
+    those are left out that no pairing has a control of their own for.
     """
     caliper = cfg.caliper_width
-    pairs = stage(_pairs_of_large(placed, replace(cfg, max_controls_per_treatment=1)), "full-pairs")
+    pairs = stage(_pairs_of_large(placed, replace(cfg, max_controls_per_treatment=1), most=True), "full-pairs")
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         treated = pdf["treatment"].to_numpy(dtype=bool)

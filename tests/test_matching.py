@@ -368,3 +368,55 @@ def test_controls_within_counts_without_pairs(spark):
     assert proximity.controls_within(df.limit(0), 0.1).isEmpty()
     with pytest.raises(ValueError):
         proximity.controls_within(df, 0.0)
+
+
+def most_pairs(near):
+    """Size of a largest pairing, by plain augmenting paths over each unit's near controls."""
+    owner = {}
+
+    def place(i, seen):
+        for j in near[i]:
+            if j not in seen:
+                seen.add(j)
+                if j not in owner or place(owner[j], seen):
+                    owner[j] = i
+                    return True
+        return False
+
+    return sum(place(i, set()) for i in range(len(near)))
+
+
+@pytest.mark.parametrize("dims", [1, 2])
+@pytest.mark.parametrize("horizon", [None, 3, 40])
+def test_exchanges_pair_as_many_as_can_be(dims, horizon):
+    rng = np.random.default_rng(dims)
+    gained = 0
+    for _ in range(40):
+        t, c = rng.normal(size=(30, dims)).round(2), rng.normal(size=(28, dims)).round(2)
+        tc, cc = rng.permutation(30), rng.permutation(28)
+        gaps = np.sqrt(((t[:, None] - c[None]) ** 2).sum(axis=2)).round(9)
+        want = most_pairs([np.flatnonzero(row <= 0.3).tolist() for row in gaps])
+        plain = solve.greedy_pairs(t, tc, c, cc, 1, 0.3)
+        got = solve.greedy_pairs(t, tc, c, cc, 1, 0.3, horizon, most=True)
+        if got is None:
+            assert horizon == 3
+            continue
+        at = {cell: j for j, cell in enumerate(cc.tolist())}
+        assert len(got) == want and set(plain) <= set(got)
+        assert len({cell for [(cell, _)] in got.values()}) == want
+        assert all(d == gaps[i, at[cell]] <= 0.3 for i, [(cell, d)] in got.items())
+        if horizon:
+            assert got == solve.greedy_pairs(t, tc, c, cc, 1, 0.3, most=True)
+        gained += want - len(plain)
+    assert gained or horizon == 3
+
+
+def test_full_matching_leaves_nobody_out_that_can_be_matched(spark):
+    """Treated 2 reaches control 10 alone, which the nearer treated 1 takes first; 1 can move on to control 11."""
+    from arborlift.operators import pairing
+
+    rows = [(1, "g", 1, True, [0.0]), (1, "g", 2, True, [0.15]), (1, "g", 10, False, [0.05]),
+            (1, "g", 11, False, [-0.15]), (1, "g", 13, False, [9.0])]
+    placed = spark.createDataFrame([(*r, None, None) for r in rows], pairing.COORDS_SCHEMA)
+    got = {(r.cell, r.match_group) for r in pairing.assign_full(placed, config(caliper_width=0.2)).collect()}
+    assert got == {(1, "g:1"), (11, "g:1"), (2, "g:2"), (10, "g:2")}
