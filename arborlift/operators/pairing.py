@@ -15,22 +15,22 @@ from arborlift.session import stage
 SET_KEY = ("site_id", "group", "match_group")
 
 
-def set_counts(matches: DataFrame) -> DataFrame:
+def set_counts(matches: DataFrame, keys=SET_KEY) -> DataFrame:
     """Treated and control rows of every match set."""
-    return matches.groupBy(*SET_KEY).agg(
+    return matches.groupBy(*keys).agg(
         F.count_if("treatment").alias("n_treated"),
         F.count_if(~F.col("treatment")).alias("n_controls"),
     )
 
 
-def with_match_weights(matches: DataFrame) -> DataFrame:
+def with_match_weights(matches: DataFrame, keys=SET_KEY) -> DataFrame:
     """Treated rows weigh 1; the controls of a set together weigh its treated.
 
     Rows of sets lacking an arm are dropped. Counts are combined map-side and
     joined back, so a set of any size stays spread over the tasks.
     """
-    both = set_counts(matches).filter("n_treated > 0 AND n_controls > 0")
-    weighted = matches.join(both, list(SET_KEY))
+    both = set_counts(matches, keys).filter("n_treated > 0 AND n_controls > 0")
+    weighted = matches.join(both, list(keys))
     return weighted.withColumn(
         "match_weight",
         F.when(F.col("treatment"), 1.0).otherwise(F.col("n_treated") / F.col("n_controls")),
@@ -74,15 +74,17 @@ def _guarded(work, schema: str):
 
 def score_stratum(pdf: pd.DataFrame, names: list[str], cfg: MatchConfig):
     """(coordinates, pscore) of one stratum; None when an arm is empty."""
-    treated = pdf["treatment"].to_numpy(dtype=bool)
+    return score_rows(pdf[names].to_numpy(dtype=float), pdf["treatment"].to_numpy(dtype=bool), cfg)
+
+
+def score_rows(x: np.ndarray, treated: np.ndarray, cfg: MatchConfig):
     n_t = int(treated.sum())
-    if n_t == 0 or n_t == len(pdf):
+    if n_t == 0 or n_t == len(x):
         return None
-    x = pdf[names].to_numpy(dtype=float)
     if not np.isfinite(x).all():
         raise ValueError("covariates are not finite")
     if n_t < cfg.min_glm_treatment_pixels:
-        return solve.whitened(x, treated), np.full(len(pdf), np.nan)
+        return solve.whitened(x, treated), np.full(len(x), np.nan)
     score = solve.logit_score(x, treated)
     scale = solve.pooled_scale(score, treated, cfg.distance_scale)
     return np.round(score / scale, solve.DECIMALS)[:, None], 1 / (1 + np.exp(-score))
@@ -91,8 +93,19 @@ def score_stratum(pdf: pd.DataFrame, names: list[str], cfg: MatchConfig):
 def pair_stratum(pdf: pd.DataFrame, coords: np.ndarray, pscore: np.ndarray, cfg: MatchConfig,
                  horizon: int | None = None, most: bool = False) -> pd.DataFrame | None:
     """Match sets of one stratum; None when ``horizon`` is too short."""
-    cells = pdf["cell"].to_numpy()
-    treated = pdf["treatment"].to_numpy(dtype=bool)
+    found = _paired(pdf["cell"].to_numpy(), pdf["treatment"].to_numpy(dtype=bool), coords, cfg, horizon, most)
+    if found is None:
+        return None
+    at, owner, distance = found
+    group = pdf["group"].iloc[0]
+    labels = np.array([f"{group}:{cell}" for cell in owner], dtype=object)
+    return pdf.iloc[at][[*STRATUM, "cell", "treatment"]].assign(
+        match_group=labels, distance=distance, pscore=pscore[at], error=None)[_columns(SETS_SCHEMA)]
+
+
+def _paired(cells: np.ndarray, treated: np.ndarray, coords: np.ndarray, cfg: MatchConfig,
+            horizon: int | None = None, most: bool = False):
+    """(rows, cell of the set's treated row, distance) of the pairs; None when ``horizon`` is too short."""
     t_at, c_at = np.flatnonzero(treated), np.flatnonzero(~treated)
     t_at = t_at[np.argsort(cells[t_at], kind="stable")]
     c_at = c_at[np.argsort(cells[c_at], kind="stable")]
@@ -102,16 +115,47 @@ def pair_stratum(pdf: pd.DataFrame, coords: np.ndarray, pscore: np.ndarray, cfg:
     )
     if pairs is None:
         return None
-    id_numeric, group = pdf["id_numeric"].iloc[0], pdf["group"].iloc[0]
-    rows = []
-    for i, got in pairs.items():
-        owner = cells[t_at[i]]
-        label = f"{group}:{owner}"
-        rows.append((id_numeric, group, owner, True, label, 0.0, pscore[t_at[i]], None))
-        chosen = c_at[np.searchsorted(cells[c_at], [c for c, _ in got])]
-        rows += [(id_numeric, group, c, False, label, d, pscore[at], None)
-                 for (c, d), at in zip(got, chosen)]
-    return pd.DataFrame(rows, columns=_columns(SETS_SCHEMA))
+    mine = t_at[np.fromiter(pairs, dtype=int, count=len(pairs))]
+    per = [len(got) for got in pairs.values()]
+    chosen = np.array([c for got in pairs.values() for c, _ in got], dtype=cells.dtype)
+    distance = np.array([d for got in pairs.values() for _, d in got], dtype=float)
+    theirs = c_at[np.searchsorted(cells[c_at], chosen)]
+    return (np.concatenate([mine, theirs]), np.concatenate([cells[mine], np.repeat(cells[mine], per)]),
+            np.concatenate([np.zeros(len(mine)), distance]))
+
+
+def _joined(cells: np.ndarray, treated: np.ndarray, coords: np.ndarray, cfg: MatchConfig):
+    """(rows, cell of the nearest treated row, distance) of the controls with one within the caliper."""
+    t_at, c_at = np.flatnonzero(treated), np.flatnonzero(~treated)
+    if not len(t_at) or not len(c_at):
+        return c_at[:0], cells[:0], np.zeros(0)
+    gap, spot = solve.nearest_each(coords[c_at], coords[t_at], cells[t_at])
+    within = gap <= cfg.caliper_width if cfg.caliper_width > 0 else np.ones(len(gap), dtype=bool)
+    return c_at[within], cells[t_at][spot][within], gap[within]
+
+
+def matched_rows(cells: np.ndarray, treated: np.ndarray, x: np.ndarray, cfg: MatchConfig) -> dict | None:
+    """Columns of the match sets of one stratum, weighted as by :func:`with_match_weights`."""
+    out = score_rows(x, treated, cfg)
+    if out is None:
+        return None
+    coords, pscore = out
+    if cfg.max_controls_per_treatment:
+        at, owner, distance = _paired(cells, treated, coords, cfg)
+    else:
+        at, owner, distance = _paired(cells, treated, coords, replace(cfg, max_controls_per_treatment=1), most=True)
+        # by cell, as a cell may come twice
+        gone = {arm: np.isin(cells, cells[at[treated[at] == arm]]) & (treated == arm) for arm in (True, False)}
+        rest = np.flatnonzero(gone[True] | (~treated & ~gone[False]))
+        more, nearest, gap = _joined(cells[rest], treated[rest], coords[rest], cfg)
+        at, owner = np.concatenate([at, rest[more]]), np.concatenate([owner, nearest])
+        distance = np.concatenate([distance, gap])
+    own = treated[at]
+    _, sets = np.unique(owner, return_inverse=True)
+    n_t, n_c = np.bincount(sets[own], minlength=len(sets)), np.bincount(sets[~own], minlength=len(sets))
+    weight = np.where(own, 1.0, n_t[sets] / np.maximum(n_c[sets], 1))
+    return {"cell": cells[at], "treatment": own, "owner": owner, "distance": distance,
+            "pscore": pscore[at], "match_weight": weight}
 
 
 def _sizes(placed: DataFrame, cfg: MatchConfig, horizon: int = 1) -> DataFrame:
@@ -218,7 +262,6 @@ def assign_full(placed: DataFrame, cfg: MatchConfig) -> DataFrame:
     then joins the nearest paired treated row within the caliper. As a set has one treated row,
     those are left out that no pairing has a control of their own for.
     """
-    caliper = cfg.caliper_width
     pairs = stage(_pairs_of_large(placed, replace(cfg, max_controls_per_treatment=1), most=True), "full-pairs")
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -226,19 +269,15 @@ def assign_full(placed: DataFrame, cfg: MatchConfig) -> DataFrame:
         names = _columns(SETS_SCHEMA)
         if treated.all() or not treated.any():
             return pd.DataFrame([], columns=names)
-        coords = np.vstack(pdf["coords"].to_numpy())
-        cells = pdf["cell"].to_numpy()
-        t_at, c_at = np.flatnonzero(treated), np.flatnonzero(~treated)
-        gap, spot = solve.nearest_each(coords[c_at], coords[t_at], cells[t_at])
-        within = gap <= caliper if caliper > 0 else np.ones(len(gap), dtype=bool)
+        coords, cells = np.vstack(pdf["coords"].to_numpy()), pdf["cell"].to_numpy()
+        at, owner, distance = _joined(cells, treated, coords, cfg)
         group = pdf["group"].iloc[0]
         return pd.DataFrame({
-            "id_numeric": pdf["id_numeric"].iloc[0], "group": group, "cell": cells[c_at][within],
-            "treatment": False,
+            "id_numeric": pdf["id_numeric"].iloc[0], "group": group, "cell": cells[at], "treatment": False,
             # of type object even where it is empty, as Arrow takes it for a string then
-            "match_group": np.array([f"{group}:{owner}" for owner in cells[t_at][spot][within]], dtype=object),
-            "distance": gap[within], "pscore": pdf["pscore"].to_numpy(dtype=float)[c_at][within],
-            "error": np.full(int(within.sum()), None, dtype=object),
+            "match_group": np.array([f"{group}:{cell}" for cell in owner], dtype=object),
+            "distance": distance, "pscore": pdf["pscore"].to_numpy(dtype=float)[at],
+            "error": np.full(len(at), None, dtype=object),
         }, columns=names)
 
     used = pairs.select(*STRATUM, "cell", "treatment")

@@ -420,3 +420,59 @@ def test_full_matching_leaves_nobody_out_that_can_be_matched(spark):
     placed = spark.createDataFrame([(*r, None, None) for r in rows], pairing.COORDS_SCHEMA)
     got = {(r.cell, r.match_group) for r in pairing.assign_full(placed, config(caliper_width=0.2)).collect()}
     assert got == {(1, "g:1"), (11, "g:1"), (2, "g:2"), (10, "g:2")}
+
+
+CHUNKED = ["id_numeric", "group", "cell", "treatment", "match_group", "match_weight", "pscore", "sampled_fraction",
+           "n_control_sampled", "n_control_pool"]
+
+
+@pytest.mark.parametrize("k", [0, 2])
+def test_chunks_give_what_dealt_out_rows_give(spark, sf, monkeypatch, k):
+    """Small chunks, runs that wrap round, treated rows over their cap; then the same with all rows dealt out to their sites."""
+    from arborlift.operators import chunks
+
+    changes = dict(max_controls_per_treatment=k, max_treatment_pixels=15, control_multiplier=3, caliper_width=0.5)
+    with monkeypatch.context() as patched:
+        patched.setattr(chunks, "NARROW", 16)
+        patched.setattr(chunks, "WIDE", 64)
+        patched.setattr(chunks, "ROWS_A_CHUNK", 100)
+        # sampled rows are not dealt out to the sites on this way
+        patched.setattr(matching, "sampled_cells", None)
+        small, lost = run(spark, sf, **changes)
+        small, lost = key_rows(small, CHUNKED), sorted(map(tuple, lost.collect()))
+    with monkeypatch.context() as patched:
+        patched.setattr(chunks, "fits", lambda *_: False)
+        dealt, failed = run(spark, sf, **changes)
+        dealt, failed = key_rows(dealt, CHUNKED), sorted(map(tuple, failed.collect()))
+    assert len(small) > 100 and lost == failed
+    pd.testing.assert_frame_equal(small, dealt, check_exact=False, rtol=1e-6)
+
+
+def test_missing_cover_in_chunks(spark, monkeypatch):
+    """Rows without initial cover leave, a missing final cover counts as entered, and a cell that comes twice goes the other way."""
+    from arborlift.operators import chunks
+
+    rng = random.Random(4)
+    first = [None, 0.0, float("nan"), 50.0, 60.0, 70.0]
+    rows = [(i, i % 2, rng.random(), rng.choice(first), rng.choice([None, float("nan"), 30.0, 40.0]), 1.0, 2.0)
+            for i in range(400)]
+    names = "cell bigint, pa int, elev double, fc_2000 double, fc_2005 double, area_ha double, total_biomass double"
+    key = spark.createDataFrame([(i, 1 + i % 3 % 2) for i in range(60)] + [(3, 9)], "cell bigint, id_numeric int")
+    sites = spark.createDataFrame([(1, "A", "a", 2005), (2, "B", "b", 2001), (9, "C", "c", None)],
+                                  "id_numeric int, site_id string, site_name string, start_year int")
+    cfg = MatchConfig(covariates=("elev",), exact_match_vars=("pa",), fc_years=(2000, 2005), random_seed=3,
+                      control_multiplier=4, min_glm_treatment_pixels=3, caliper_width=0.3)
+    for extra in ([], [rows[70]]):
+        pixels = spark.createDataFrame(rows + extra, names)
+        got = []
+        for way in (None, lambda *_: False):
+            with monkeypatch.context() as patched:
+                if way:
+                    patched.setattr(chunks, "fits", way)
+                m, _ = matching.match_sites(pixels, key, sites, cfg)
+                got.append(key_rows(m, [*CHUNKED, "distance"]))
+        assert len(got[0]) > 10 and set(got[0].id_numeric) >= {1, 2}
+        pd.testing.assert_frame_equal(*got, check_exact=False, rtol=1e-6)
+    narrow, _ = matching.match_sites(pixels.dropDuplicates(["cell"]), key, sites, cfg, with_pixels=False)
+    wide, _ = matching.match_sites(pixels.dropDuplicates(["cell"]), key, sites, cfg)
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.select(narrow.columns).collect()))

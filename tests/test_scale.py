@@ -96,3 +96,23 @@ def test_columns_join_controls_before_they_are_dealt_out(spark):
     names = ["id_numeric", "group", "cell", "treatment", "elev"]
     assert sorted(map(tuple, rows.select(names).collect())) == sorted(map(tuple, plain.select(names).collect()))
     assert rows.count() > 12
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    """What was shuffled for a staged table goes from the disks, and the setting is as before."""
+    import time
+    from pathlib import Path
+
+    from arborlift import session
+
+    def files():
+        return {p for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+
+    before, setting = files(), spark.conf.get(session.SHUFFLE_CLEANUP, None)
+    staged = session.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    for _ in range(100):  # files are removed in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and staged.count() == 7
+    assert spark.conf.get(session.SHUFFLE_CLEANUP, None) == setting
