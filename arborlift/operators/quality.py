@@ -11,6 +11,7 @@ from arborlift.session import stage, tasks_for
 ALL_SCOPE = "__all__"
 N_BINS = 40
 N_QQ_POINTS = 500
+FEW_SCORES = 20_000
 SMD_CRITICAL = 0.25
 SMD_WARN = 0.1
 SMD_POOR_SHARE = 0.20
@@ -250,12 +251,14 @@ def qq_pairs(scores: DataFrame, adaptive: bool = False) -> DataFrame:
         points = F.least(points, F.greatest("nt", "nc"))
     sizes = stage(
         scoped.groupBy("site_id").agg(F.sum(F.when(arm, F.col("n"))).alias("nt"), F.sum(F.when(~arm, F.col("n"))).alias("nc"))
-        .filter("nt >= 2 AND nc >= 2").select("site_id", points.cast("long").alias("points")), "scope-points"
+        .filter("nt >= 2 AND nc >= 2")
+        .select("site_id", points.cast("long").alias("points"), (F.greatest("nt", "nc") <= FEW_SCORES).alias("few")),
+        "scope-points",
     )
     asked = sizes.agg(F.coalesce(F.sum("points"), F.lit(0))).first()[0]
-    ranks = value_ranks(scoped.join(sizes, "site_id"), [*keys, "points"], "pscore", "n")
-    # two arms, and two values a point at most
-    q = even_quantiles(ranks, keys, F.col("points"), tasks_for(4 * asked))
+    ranks = value_ranks(scoped.join(sizes, "site_id"), [*keys, "points", "few"], "pscore", "n", F.col("few"))
+    # two arms; both arms of a scope meet in one task, whose points are bounded
+    q = even_quantiles(ranks, keys, F.col("points"), tasks_for(2 * asked))
     return q.groupBy("site_id", "index").agg(
         F.max("p").alias("quantile"),
         F.max(F.when(F.col("treatment"), F.col("quantile"))).alias("treatment_value"),

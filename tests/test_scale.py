@@ -116,3 +116,37 @@ def test_staging_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not left and staged.count() == 7
     assert spark.conf.get(session.SHUFFLE_CLEANUP, None) == setting
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_score_quantiles_are_dealt_out_before_they_are_points(spark, capsys, monkeypatch, few):
+    """Values that answer points are shuffled, not the points, and scopes ranked whole or in buckets give the same."""
+    import numpy as np
+
+    monkeypatch.setattr(quality, "FEW_SCORES", few)
+    rows = [("A", i % 3 == 0, float((i * 37) % 101) / 7) for i in range(200)] + [("B", i % 2 == 0, 0.5) for i in range(40)]
+    rows += [("C", True, None), ("C", False, 1.0), ("D", True, 2.0), ("D", True, -3.0), ("D", False, 0.0), ("D", False, 1e9)]
+    rows += [("E", i % 2 == 0, i / 1000) for i in range(3000)]
+    out = quality.qq_pairs(spark.createDataFrame(rows, "site_id string, treatment boolean, pscore double"))
+    plan = plan_of(out, capsys)
+    assert plan.index("Generate explode(sequence(") < plan.index("Exchange ")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.site_id, []).append((r["index"], r.quantile, r.treatment_value, r.control_value))
+    assert set(got) == {"A", "B", "D", "E", "__all__"}
+    for scope, points in got.items():
+        points.sort()
+        assert [p[0] for p in points] == list(range(500))
+        for at, arm in ((2, True), (3, False)):
+            values = [v for s, t, v in rows if t == arm and v is not None and scope in (s, "__all__")]
+            want = np.quantile(values, [p[1] for p in points])
+            assert [p[at] for p in points] == pytest.approx(want.tolist(), rel=1e-9, abs=1e-9)
+
+
+def test_few_columns_of_the_matches_are_the_same_rows(spark, sf):
+    from arborlift.sources import shared_tables as T
+
+    names = ["site_id", "group", "match_group", "treatment", "pscore", "match_weight"]
+    few, all_of_them = T.matches(spark, sf, "pscore"), T.matches(spark, sf)
+    assert sorted(few.columns) == sorted(names)
+    assert few.select(names).exceptAll(all_of_them.select(names)).isEmpty() and few.count() == all_of_them.count()
