@@ -476,3 +476,16 @@ def test_missing_cover_in_chunks(spark, monkeypatch):
     narrow, _ = matching.match_sites(pixels.dropDuplicates(["cell"]), key, sites, cfg, with_pixels=False)
     wide, _ = matching.match_sites(pixels.dropDuplicates(["cell"]), key, sites, cfg)
     assert sorted(map(str, narrow.collect())) == sorted(map(str, wide.select(narrow.columns).collect()))
+
+
+@pytest.mark.parametrize("caliper", [0.0, 0.25])
+@pytest.mark.parametrize("decimals", [1, 12])
+def test_walk_goes_in_the_order_of_the_nearest(caliper, decimals):
+    rng = np.random.default_rng(decimals)
+    c = rng.normal(size=(300, 1)).round(decimals)
+    c[:40] = c[0] + np.arange(40)[:, None] * 3e-10  # nearer to each other than distances count
+    cells = rng.permutation(np.arange(300) // 2)
+    pool = solve.NearestControls(c, cells)
+    for point in [*rng.normal(size=20).round(decimals).tolist(), float(c[0, 0]), 50.0]:
+        distance, position = pool.nearest(np.array([point]), 300, caliper)
+        assert list(pool.walk(point, caliper)) == list(zip(distance.tolist(), position.tolist()))
