@@ -94,7 +94,8 @@ def chunk_runs(strata_table: DataFrame, sites: DataFrame, cfg: MatchConfig, year
 def chunked(placed: DataFrame, runs: DataFrame, chunks: DataFrame, cfg: MatchConfig):
     """Treated rows and controls, both with the chunk they go to."""
     digest = matching._digest(cfg.random_seed, F.col("cell"))
-    controls = placed.where("NOT treatment AND cell IS NOT NULL").drop("id_numeric", "treatment", "times").withColumn(
+    # pixels without a cell are in no bucket, but the order counts them first
+    controls = placed.where("NOT treatment").drop("id_numeric", "treatment", "times").withColumn(
         "h", matching._hex_number(digest, HASH_DIGITS)).withColumn("bucket", F.shiftright("h", BUCKET_BITS))
     counts = controls.groupBy("group", "bucket").agg(F.count("*").alias("n_here"))
     along = Window.partitionBy("group").orderBy("bucket")

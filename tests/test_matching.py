@@ -456,6 +456,8 @@ def test_missing_cover_in_chunks(spark, monkeypatch):
     first = [None, 0.0, float("nan"), 50.0, 60.0, 70.0]
     rows = [(i, i % 2, rng.random(), rng.choice(first), rng.choice([None, float("nan"), 30.0, 40.0]), 1.0, 2.0)
             for i in range(400)]
+    # pixels without a cell are never matched, but count in the order
+    rows += [(None, i % 2, 0.5, 50.0, 40.0, 1.0, 2.0) for i in range(9)]
     names = "cell bigint, pa int, elev double, fc_2000 double, fc_2005 double, area_ha double, total_biomass double"
     key = spark.createDataFrame([(i, 1 + i % 3 % 2) for i in range(60)] + [(3, 9)], "cell bigint, id_numeric int")
     sites = spark.createDataFrame([(1, "A", "a", 2005), (2, "B", "b", 2001), (9, "C", "c", None)],
